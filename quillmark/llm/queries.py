@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import language_id, mixing, ngram_join, quality_rules
 
 
 def queries() -> dict:
     return {
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
+        "op8_language_id": language_id.op8_language_id,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {
+        "op3_quality_rules": quality_rules.ORACLE,
+        "op7_ngram_jaccard": ngram_join.ORACLE,
+        "op10_mixing": mixing.ORACLE,
+    }
