@@ -23,7 +23,8 @@ is sent to the driver. Intermediate tables go to the shared checkpoint folder.
 
 Edge cases: a null, empty or blank text has an empty set, is linked with nothing and is its own component; a
 text of fewer words than the n-gram width has one n-gram, the whole sequence; equal texts link (one class);
-rows with the same id are one document for the component; rows with a null id are never linked and get a null
+rows with the same id are one document for the component, and where their texts differ the largest set is
+compared with others; rows with a null id are never linked and get a null
 component; an empty table gives no rows; other columns are not read. Texts are used whole.
 """
 
@@ -149,19 +150,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heads = cut(prefixes(docs, width, percent, frequent_ngrams(docs, width, column)))
     named = heads.where("id IS NOT NULL AND n > 0")
     classes = cut(named.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
-    # One row a class: of several rows with the smallest id, those of this very set; they are equal.
-    firsts = named.join(classes.select(F.col("rep").alias("id"), "s1", "s2", "n"), ["id", "s1", "s2", "n"], "left_semi").dropDuplicates(["id", "s1", "s2"])
-    # Rows with one id and different texts are one document with several sets: keep the sets apart, tie them below.
-    firsts = firsts.select("id", "n", F.xxhash64("id", "s1", "s2").alias("set"), "prefix")
-    entries = firsts.select(F.col("set"), F.col("id").alias("rep"), "n", F.size("prefix").alias("p"), F.explode("prefix").alias("s"))
+    # One row a class. Of several rows with one id, those with the largest set (then hash) stand for it in products.
+    first = classes.groupBy("rep").agg(F.max(F.struct("n", "s1", "s2")).alias("x")).select(F.col("rep").alias("id"), "x.*")
+    firsts = named.join(first, ["id", "s1", "s2", "n"], "left_semi").dropDuplicates(["id"])
+    entries = firsts.select(F.col("id").alias("rep"), "n", F.size("prefix").alias("p"), F.explode("prefix").alias("s"))
     columns = cut(entries.groupBy("s").agg(F.count("*").alias("width"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("width > 1"))
     block = cut(entries.join(columns, "s"))
     short, long = block.where(F.col("width") <= column), cut(block.where(F.col("width") > column))
 
     # 3. short columns in full
     beyond = long.groupBy("rep").agg(F.count("*").alias("in_long"))
-    row = short.join(beyond, "rep", "left").select("s", "rep", "n", (F.col("n") - F.col("p") + F.coalesce("in_long", F.lit(0))).alias("rest"))
-    row = cut(row)
+    row = cut(short.join(beyond, "rep", "left").select("s", "rep", "n", (F.col("n") - F.col("p") + F.coalesce("in_long", F.lit(0))).alias("rest")))
     a = row.select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"))
     b = row.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
     pairs = a.join(b, "s").where("a < b").where(_sized(percent))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, ngram_join, quality_rules
+from . import bpe, language_id, mixing, ngram_join, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op1_bpe": bpe.op1_bpe,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
         "op8_language_id": language_id.op8_language_id,
