@@ -89,8 +89,8 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", buc
     return langs, np.ascontiguousarray(np.log(share / share.sum(1, keepdims=True)).T.astype(np.float32)), np.log(np.maximum(prior, 1e-12))
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
-    """id, further columns, lang_pred and score (the posterior of the predicted language)."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", columns: list[Column] | None = None, keep_text: bool = False) -> DataFrame:
+    """The given columns (all others of docs by default), lang_pred and score (the posterior of the language)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     buckets = len(model[1])
 
@@ -108,15 +108,16 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id
                 else:
                     picked.append(UNKNOWN)
                     scores.append(0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(picked, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(picked, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col), *more, F.col(text_col))
-    names = rows.columns[:-1]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] if columns is None else columns
+    rows = docs.select(*others, F.col(text_col))
+    names = rows.columns if keep_text else rows.columns[:-1]
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(names)])
     return rows.mapInArrow(score, f"{fields}lang_pred string, score double")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     held_out = id_mod(F.col("doc_id"), 4) == 2
-    return predict(docs, fit(docs.where(~held_out)), "doc_id", "text", held_out.alias("held_out"))
+    return predict(docs, fit(docs.where(~held_out)), "text", [F.col("doc_id"), held_out.alias("held_out")])
