@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, mixing, ngram_join, pii, quality_rules
+from . import bpe, fingerprints, language_id, mixing, ngram_join, pii, quality_model, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_quality": quality_model.op2_quality,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_pii": pii.op4_pii,
+        "op5_fingerprints": fingerprints.op5_fingerprints,
         "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
         "op8_language_id": language_id.op8_language_id,
         "op10_mixing": mixing.op10_mixing,
