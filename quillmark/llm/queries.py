@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, language_id, mixing, ngram_join, pii, quality_model, quality_rules
+from . import bpe, fingerprints, language_id, mixing, ngram_join, pii, quality_model, quality_rules, repeats
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
         "op8_language_id": language_id.op8_language_id,
+        "op9_repeats": repeats.op9_repeats,
         "op10_mixing": mixing.op10_mixing,
     }
 
