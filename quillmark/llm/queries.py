@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, language_id, mixing, ngram_join, pii, quality_model, quality_rules, repeats
+from . import bpe, fingerprints, language_id, language_model, mixing, ngram_join, pii, quality_model, quality_rules, repeats
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_pii": pii.op4_pii,
         "op5_fingerprints": fingerprints.op5_fingerprints,
+        "op6_language_model": language_model.op6_language_model,
         "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
         "op8_language_id": language_id.op8_language_id,
         "op9_repeats": repeats.op9_repeats,
