@@ -1,18 +1,3 @@
-"""Registers the queries."""
+"""Registers all queries."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from .registry import query
-
-
-@query(
-    "agg_day_counts",
-    "SELECT CAST(ts + INTERVAL 9 HOUR AS DATE) AS day, count(*) AS n FROM events GROUP BY 1",
-)
-def agg_day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows a day in Korea Standard Time."""
-    day = F.to_date(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Seoul"))
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(day.alias("day")).agg(F.count("*").alias("n"))
+from . import aggregates, documents, events, pages, relations, vectors  # noqa: F401
