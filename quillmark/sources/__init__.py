@@ -1 +1 @@
-
+"""Landed files as DataFrames, and sinks."""
