@@ -1,3 +1,3 @@
 """Registers all queries."""
 
-from . import aggregates, documents, events, pages, relations, sources, vectors  # noqa: F401
+from . import aggregates, curation, documents, events, pages, relations, sources, vectors  # noqa: F401
