@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 PUBLISHER_TAIL = r"(?iu)\s*[-–—|]\s*(?:frieze|프리즈|dezeen|designboom|vogue|코리아타임스|the korea times|koreaherald\.com|frieze\.com)\s*$"
 # The five entities that page texts decode.
 ENTITIES = (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"))
+# Words of paragraphs that are not content.
+BOILERPLATE = "cookie|subscribe|newsletter|sign up|all rights reserved|privacy policy|advertisement"
 SPACE = r"[\s ﻿]+"
 
 
@@ -51,7 +53,7 @@ def distinct_matches(html: Column, pattern: str, most: int) -> Column:
 def paragraphs(html: Column, least: int = 45) -> Column:
     """Distinct texts of paragraphs, headings, quotes and list items, without boilerplate, in order."""
     found = F.regexp_extract_all(html, F.lit(r"(?is)<(p|h2|h3|blockquote|li)\b[^>]*>(.*?)</\1>"), F.lit(2))
-    texts = F.filter(F.transform(found, strip_html), lambda t: (F.length(t) >= least) & ~F.lower(t).rlike("cookie|subscribe|newsletter|sign up|all rights reserved|privacy policy|advertisement"))
+    texts = F.filter(F.transform(found, strip_html), lambda t: (F.length(t) >= least) & ~F.lower(t).rlike(BOILERPLATE))
     return F.array_distinct(texts)
 
 
@@ -120,9 +122,18 @@ def hits(text: Column, terms: list[str]) -> Column:
     return out
 
 
+# Sentences that publishing systems append to feed summaries.
+FEED_TAILS = (
+    r"(?i)The post .{0,200}? appeared first on .{0,80}?\.?$",
+    r"(?i)appeared first on [^.]{0,80}\.?",
+    r"\[(?:Watch|Read more|Read More|…|\.\.\.)\]",
+    r"(?i)\s*(?:Continue reading|Read more)\s*(?:\.{3}|…)?\s*$",
+)
+
+
 def clean_feed(text: Column) -> Column:
     """A feed summary without the sentences that publishing systems append."""
-    for pattern in (r"(?i)The post .{0,200}? appeared first on .{0,80}?\.?$", r"(?i)appeared first on [^.]{0,80}\.?", r"\[(?:Watch|Read more|Read More|…|\.\.\.)\]", r"(?i)\s*(?:Continue reading|Read more)\s*(?:\.{3}|…)?\s*$"):
+    for pattern in FEED_TAILS:
         text = F.regexp_replace(text, pattern, "")
     return F.trim(F.regexp_replace(text, SPACE, " "))
 

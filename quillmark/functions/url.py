@@ -10,6 +10,9 @@ TRACKING = r"^(utm_.*|fbclid|gclid|mc_cid|mc_eid|ref|source|lang)$"
 # Locale segments and slug prefixes that identity keys ignore.
 LOCALE = r"(?i)^/(?:ko|kr|en|fr|de|ja|jp|zh|cn|es|it|pt|nl)(?:[-_][a-z]{2,4})?(?=/)"
 SLUG_LOCALE = r"(?i)^(?:ph|hk|sg|my|id|th|kr|jp|uk|us|au|ca|in)-"
+# Entities and their characters in titles; words of a tail that names its site.
+TITLE_ENTITIES = ((r"&#8211;|&#8212;|&ndash;|&mdash;", "-"), (r"&#0?38;|&amp;", "&"), (r"&#8217;|&#8216;|&rsquo;|&lsquo;", "'"))
+SITE_WORDS = r"magazine|news|times|herald|\.com"
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]+))?([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
@@ -56,11 +59,11 @@ def path_segments(url: Column) -> Column:
 def normal_title(title: Column, h: Column) -> Column:
     """Lower-case letters and digits of an original title, without a tail that names its site."""
     t = F.lower(F.coalesce(title, F.lit("")))
-    for pattern, by in ((r"&#8211;|&#8212;|&ndash;|&mdash;", "-"), (r"&#0?38;|&amp;", "&"), (r"&#8217;|&#8216;|&rsquo;|&lsquo;", "'")):
+    for pattern, by in TITLE_ENTITIES:
         t = F.regexp_replace(t, pattern, by)
     tail = F.regexp_extract(t, r"(?U)(\s+[-–—|]\s+[^-–—|]{2,40})$", 1)
     site = F.element_at(F.split(h, r"\."), 1)
-    named = (tail != "") & (tail.contains(site) | tail.rlike(r"magazine|news|times|herald|\.com"))
+    named = (tail != "") & (tail.contains(site) | tail.rlike(SITE_WORDS))
     t = F.when(named, F.left(t, F.length(t) - F.length(tail))).otherwise(t)
     return F.trim(F.regexp_replace(F.regexp_replace(t, "['’‘\"“”`]", ""), r"[^\p{L}\p{N}]+", " "))
 

@@ -79,10 +79,12 @@ def select_novel(candidates: DataFrame, limit: int, per_source: int, similarity:
 def select_balanced(items: DataFrame, lanes: list[str], limit: int, per_source: int) -> DataFrame:
     """Round-robin over lanes in a fixed order with a cap a source, then the first rows whatever their source.
 
-    items: lane, pos, id, source. Each lane gives at most ``limit * (sources it can be blocked by + 1)`` rows; rows
-    past the first ``limit`` of a (lane, source) can't be taken in either pass and are dropped before the task.
+    items: lane, pos, id, source. The choice itself is one task over a bounded list: rows past the first ``limit`` of
+    a (lane, source) can't be taken in either pass; of the rest a lane passes over at most ``limit`` rows of each of
+    the ``limit // per_source`` sources that can be full, and takes ``limit`` at most.
     """
     short = cap_per_group(items, F.struct("lane", "source"), ["pos"], limit)
+    short = cap_per_group(short, "lane", ["pos"], limit + limit * (limit // per_source))
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("pos")
