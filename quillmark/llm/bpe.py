@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 WORDS_A_QUERY = 20_000
-CACHED_CHUNKS, CACHED_PIECES = 500_000, 300_000
+CACHED_CHUNKS, CACHED_PIECES = 250_000, 150_000
 LONG_PIECE = 256
-MEMORY_LIMIT = "200MB"
+MEMORY_LIMIT = "120MB"
 
 ENCODE_SQL = """
 WITH RECURSIVE step AS (
@@ -271,7 +271,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
                 ids, n = codec.encode(texts[start:end].to_pylist())
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[c[start : end] for c in batch.columns[:-1]], lists], names)
+                yield pa.RecordBatch.from_arrays([*[c[start:end] for c in batch.columns[:-1]], lists], names)
+        codec.chunks, codec.pieces = {}, {}  # the worker may go on to other work
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{fields}`{ids_col}` array<int>")

@@ -43,7 +43,7 @@ def ngrams(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[c]
     if not letter.any():
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first of a run of other characters stays, as a space
     c = np.where(letter, c, np.uint32(32))[keep]
@@ -51,7 +51,7 @@ def ngrams(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     for n, by in enumerate(_MULTIPLIERS, 1):
         h = h[: len(c) - n + 1] * np.uint32(31) + (c[n - 1 :] + np.uint32(n)) * np.uint32(by)
         grams.append((h * np.uint32(0x9E3779B1)) >> shift)
-    return np.concatenate(grams).astype(np.int64)
+    return np.concatenate(grams).astype(np.int32)
 
 
 def count_ngrams(labelled: DataFrame, lang_col: str, text_col: str, buckets: int = BUCKETS) -> DataFrame:
@@ -60,15 +60,12 @@ def count_ngrams(labelled: DataFrame, lang_col: str, text_col: str, buckets: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
         for batch in batches:
-            found: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 grams = ngrams(text.as_py(), buckets)
                 if len(grams):
-                    found.setdefault(lang, []).append(grams)
-            for lang, grams in found.items():
-                table = tables.setdefault(lang, np.zeros(buckets + 1, np.int64))
-                table[1:] += np.bincount(np.concatenate(grams), minlength=buckets)
-                table[0] += len(grams)
+                    table = tables.setdefault(lang, np.zeros(buckets + 1, np.int64))
+                    table[1:] += np.bincount(grams, minlength=buckets)
+                    table[0] += 1
         for lang, table in tables.items():
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at - 1), pa.array(table[at])], ["lang", "bucket", "n"])
