@@ -32,3 +32,14 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             links.join(near, "u").join(far, "v").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).where("u < v").distinct()
         )
     raise RuntimeError("links remain after all rounds")
+
+
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links (u, v); only components that links touch are worked on."""
+    links = cut(links)
+    new = links.select(F.col("u").alias("node")).union(links.select("v")).distinct().join(labels, "node", "left_anti")
+    labels = cut(labels.union(new.select("node", F.col("node").alias("component"))))
+    of_u, of_v = labels.select(F.col("node").alias("u"), F.col("component").alias("cu")), labels.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+    between = links.join(of_u, "u").join(of_v, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    merged = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return cut(labels.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")))

@@ -5,16 +5,20 @@ that the set sizes rule out are dropped between blocks:
 
 1. Rows of X with equal n-gram sets become one class (two 64-bit set hashes and the size).
 2. All n-grams get one global order: by 64-bit hash, the frequent ones last. (Which are frequent is counted
-   over all documents for the lowest quarter of the hash range, where prefixes lie; any order gives right
-   results, a good one gives short columns.) Two sets of Jaccard >= t share one of their first
-   n - ceil(t * n) + 1 n-grams in that order, so only this prefix block of X is multiplied first.
+   over all documents for the lowest part of the hash range, where prefixes lie: a quarter, half or all of it
+   for long, medium and short sets. Any order gives right results, a good one gives short columns.) Two sets
+   of Jaccard >= t share one of their first n - ceil(t * n) + 1 n-grams in that order, so only this prefix
+   block of X is multiplied first.
 3. Columns of up to ``column`` entries are multiplied in full and the overlaps accumulated a pair. A pair
    stays only if that overlap, plus all that the sizes leave outside the block, can still reach
    ceil(t / (1 + t) * (n_a + n_b)).
-4. Longer columns (one passage or one group of copies in thousands of documents) are not multiplied in full
-   at once: each round takes one pivot a column against the members of other components, and members that
-   turn out connected need no further products. What is still unconnected after the pivot rounds is
-   multiplied in full, so no link between two components is lost.
+4. Longer columns (one passage or one group of copies in thousands of documents) are not multiplied in full.
+   Each member is first compared with a pivot, the most central member of its columns (the original of a
+   group of copies has the largest share of its n-grams in long columns). Members that turn out connected
+   need no further products. Two others with overlaps o_a and o_b with one pivot can reach the needed overlap
+   only if they share enough n-grams outside the pivot (those columns are multiplied instead), or if o_a and
+   o_b are both that large. Members of one column with different pivots are multiplied in full. No link between
+   two components is lost.
 5. Surviving pairs get their whole overlap from the whole sets, computed again from the texts of the
    documents involved only. Pairs inside one component are skipped, as they cannot change the result.
 
@@ -39,11 +43,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents
-from .components import connected_components
+from .components import connected_components, joined_components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Share of the hash range in which n-gram frequencies are counted, as a signed upper bound.
-_COUNTED = int(-(2**63) + 0.25 * 2**64)
+#: Set size from which on only that share of the hash range is counted.
+_COUNTED = ((400, 0.25), (128, 0.5), (0, 1.0))
 FREQUENT = 1 << 20  # most frequent n-grams that tasks hold, 8 MB
 BROADCAST_IDS = 1 << 20
 CACHED_WORDS = 400_000
@@ -78,13 +82,17 @@ class Shingler:
         return np.unique(s.view(np.int64))
 
 
+def _counted_below(n: int) -> float:
+    return -(2.0**63) + next(share for least, share in _COUNTED if n >= least) * 2.0**64
+
+
 def frequent_ngrams(docs: DataFrame, width: int, more_than: int) -> np.ndarray:
     """Sorted n-grams of the counted range in more than so many documents, the ``FREQUENT`` most frequent at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
         for batch in batches:
-            found = [s[: np.searchsorted(s, _COUNTED)] for s in (shingles(t.as_py()) for t in batch.column(0))]
+            found = [s[: np.searchsorted(s, _counted_below(len(s)))] for s in (shingles(t.as_py()) for t in batch.column(0))]
             if found:
                 s, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n)], ["s", "n"])
@@ -144,6 +152,11 @@ def _sized(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
+def _in_short_prefix(percent: int):
+    """True for the first n - ceil(2t / (1 + t) * n) + 1 entries of a row; a set that is no smaller can't miss them all."""
+    return F.col("at") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, column: int = 48) -> DataFrame:
     """Per row: id, n_shingles and component_id, the smallest id reachable by links of Jaccard >= percent / 100."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -153,13 +166,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # One row a class. Of several rows with one id, those with the largest set (then hash) stand for it in products.
     first = classes.groupBy("rep").agg(F.max(F.struct("n", "s1", "s2")).alias("x")).select(F.col("rep").alias("id"), "x.*")
     firsts = named.join(first, ["id", "s1", "s2", "n"], "left_semi").dropDuplicates(["id"])
-    entries = firsts.select(F.col("id").alias("rep"), "n", F.size("prefix").alias("p"), F.explode("prefix").alias("s"))
+    entries = firsts.select(F.col("id").alias("rep"), "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("at", "s"))
     columns = cut(entries.groupBy("s").agg(F.count("*").alias("width"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("width > 1"))
     block = cut(entries.join(columns, "s"))
-    short, long = block.where(F.col("width") <= column), cut(block.where(F.col("width") > column))
+    short, long = block.where(F.col("width") <= column), block.where(F.col("width") > column)
+    beyond = cut(long.groupBy("rep").agg(F.count("*").alias("in_long")))
+    long = cut(long.join(beyond, "rep").select("s", "rep", "n", _in_short_prefix(percent).alias("early"), F.struct((F.col("in_long") / F.col("p")).alias("share"), (-F.col("rep")).alias("low")).alias("central")))
 
     # 3. short columns in full
-    beyond = long.groupBy("rep").agg(F.count("*").alias("in_long"))
     row = cut(short.join(beyond, "rep", "left").select("s", "rep", "n", (F.col("n") - F.col("p") + F.coalesce("in_long", F.lit(0))).alias("rest")))
     a = row.select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"))
     b = row.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
@@ -175,35 +189,65 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = candidates.join(left, "a").join(right, "b")
         return both.where(F.size(F.array_intersect("sa", "sb")) >= _needed(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    def against(pivot: str) -> DataFrame:
-        """Members of long columns against one pivot a column."""
-        p = long.where(F.col("rep") == F.col(pivot)).select("s", F.col("n").alias("np"), F.col("rep").alias("pivot"))
-        x = long.where(F.col("rep") != F.col(pivot)).join(p, "s")
-        swap = F.col("rep") > F.col("pivot")
-        return x.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), F.when(swap, F.col("np")).otherwise(F.col("n")).alias("na"), F.when(swap, F.col("n")).otherwise(F.col("np")).alias("nb")).where(_sized(percent)).distinct()
-
-    def apart(candidates: DataFrame, labels: DataFrame) -> DataFrame:
-        """Candidates whose ends are not connected yet."""
-        la, lb = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        both = candidates.join(la, "a", "left").join(lb, "b", "left")
-        return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-    # 4. and 5. each document against its smallest partner and the pivots; then what is not connected yet
+    def tagged(rows: DataFrame, rep: str, labels: DataFrame, c: str) -> DataFrame:
+        """rows with the component c of their column rep."""
+        known = labels.select(F.col("node").alias(rep), F.col("component").alias(c))
+        return rows.join(known, rep, "left").withColumn(c, F.coalesce(c, rep))
+
+    def unsettled(labels: DataFrame) -> DataFrame:
+        """Entries of long columns whose members are in several components."""
+        every = tagged(long, "rep", labels, "c")
+        split = every.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+        return cut(every.join(split.select("s"), "s"))
+
+    def with_pivots(rows: DataFrame) -> DataFrame:
+        """(rep, n, p, np, o, u): for each member the most central pivot of its columns, the overlap, and the n-grams outside it."""
+        pivots = rows.groupBy("s").agg(F.max(F.struct("central", "rep", "n")).alias("pivot"))
+        of = rows.join(pivots, "s").groupBy("rep", "n").agg(F.max("pivot").alias("pivot")).select("rep", "n", F.col("pivot.rep").alias("p"), F.col("pivot.n").alias("np"))
+        own, other = sets.select(F.col("id").alias("rep"), F.col("s").alias("sx")), sets.select(F.col("id").alias("p"), F.col("s").alias("sp"))
+        both = of.join(own, "rep").join(other, "p")
+        return cut(both.select("rep", "n", "p", "np", F.size(F.array_intersect("sx", "sp")).alias("o"), F.array_except("sx", "sp").alias("u")))
+
+    def ends(rows: DataFrame, x: str) -> DataFrame:
+        """The columns of one end of a pair."""
+        return rows.select(*[c for c in ("s", "p", "v") if c in rows.columns], *[F.col(c).alias(x if c == "rep" else c + x) for c in ("rep", "n", "c", "o")])
+
+    def possible(rows: DataFrame) -> DataFrame:
+        """Pairs of unconnected members of long columns that the overlaps with their pivots don't rule out.
+
+        With one pivot p, |x & y| <= min(|x & p|, |y & p|) + |(x - p) & (y - p)|: a pair either shares
+        n-grams outside of p, or both overlap p as much as the pair itself must.
+        """
+        apart = (F.col("ca") != F.col("cb")) & _sized(percent)
+        members = rows.select("rep", "n", "c", "p", "o", "u").dropDuplicates(["rep"])
+        outside = members.withColumn("v", F.explode("u"))
+        shared = ends(outside, "a").join(ends(outside, "b"), ["p", "v"]).where("a < b").where(apart)
+        shared = shared.groupBy("a", "b", "na", "nb", "oa", "ob").agg(F.count("*").alias("shared"))
+        shared = shared.where(F.col("shared") + F.least("oa", "ob") >= _needed(percent))
+        # the smaller set of a pair shares one of its early n-grams, and must itself overlap p by 2t / (1 + t)
+        smaller = rows.where("early").where((100 + percent) * F.col("o") >= 2 * percent * F.col("n"))
+        inside = ends(smaller, "a").join(ends(rows, "b"), ["s", "p"]).where("na < nb OR na = nb AND a < b").where(apart)
+        inside = inside.where(F.least("oa", "ob") >= _needed(percent))
+        # members of one column with different pivots
+        main = rows.groupBy("s").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1")
+        few = ends(rows.join(main, "s").where("p <> p1"), "a").withColumnRenamed("p", "pa")
+        across = few.join(ends(rows, "b").withColumnRenamed("p", "pb"), "s").where("pa <> pb").where(apart)
+        pick = lambda x, y, name: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(name)
+        across = across.select(F.least("a", "b").alias("a0"), F.greatest("a", "b").alias("b0"), pick("na", "nb", "n0"), pick("nb", "na", "n1")).toDF("a", "b", "na", "nb")
+        return shared.select("a", "b", "na", "nb").union(inside.select("a", "b", "na", "nb")).union(across).distinct()
+
+    # 4. and 5. each document against its smallest partner, the other pairs, pivots, then what is not connected yet
     nearest = pairs.groupBy("b").agg(F.min_by(F.struct("a", "na", "nb"), "a").alias("x")).select("x.a", "b", "x.na", "x.nb")
-    found = cut(links(nearest.unionByName(against("low")).distinct()))
-    labels = connected_components(found)
-    left = cut(apart(pairs.unionByName(against("high")).distinct(), labels))
-    if not left.isEmpty():
-        found = cut(found.union(links(left)))
-        labels = connected_components(found)
-    tagged = long.join(labels, long.rep == labels.node, "left").select("s", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    split = tagged.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
-    mixed = cut(tagged.join(split.select("s"), "s", "left_semi"))
-    a = mixed.select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    b = mixed.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = cut(a.join(b, "s").where("a < b AND ca <> cb").where(_sized(percent)).select("a", "b", "na", "nb").distinct())
-    if not rest.isEmpty():
-        labels = connected_components(cut(found.union(links(rest))))
+    labels = connected_components(links(nearest))
+    left = tagged(tagged(pairs, "a", labels, "ca"), "b", labels, "cb").where("ca <> cb").select("a", "b", "na", "nb")
+    labels = joined_components(labels, links(left))
+    rows = unsettled(labels)
+    if not rows.isEmpty():
+        pivoted = with_pivots(rows)
+        direct = pivoted.where("rep <> p").where(F.col("o") >= F.ceil(F.lit(percent) * (F.col("n") + F.col("np")) / F.lit(100 + percent)))
+        labels = joined_components(labels, direct.select(F.col("rep").alias("u"), F.col("p").alias("v")))
+        rows = cut(unsettled(labels).join(pivoted.select("rep", "p", "o", "u"), "rep"))
+        labels = joined_components(labels, links(possible(rows)))
 
     rows = heads.select("id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").join(labels, F.col("rep") == labels.node, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
