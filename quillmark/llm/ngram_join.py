@@ -16,8 +16,8 @@ that the set sizes rule out are dropped between blocks:
    Each member is first compared with a pivot, the most central member of its columns (the original of a
    group of copies has the largest share of its n-grams in long columns). Members that turn out connected
    need no further products. Two others with overlaps o_a and o_b with one pivot can reach the needed overlap
-   only if they share enough n-grams outside the pivot (those columns are multiplied instead), or if o_a and
-   o_b are both that large. Members of one column with different pivots are multiplied in full. No link between
+   only if they share enough n-grams outside the pivot (those columns are multiplied instead, by the same
+   rules: a pivot for long ones, then the prefixes that the sizes leave), or if o_a and o_b are both that large. Members of one column with different pivots are multiplied in full. No link between
    two components is lost.
 5. Surviving pairs get their whole overlap from the whole sets, computed again from the texts of the
    documents involved only. Pairs inside one component are skipped, as they cannot change the result.
@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, documents
@@ -210,7 +210,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def ends(rows: DataFrame, x: str) -> DataFrame:
         """The columns of one end of a pair."""
-        return rows.select(*[c for c in ("s", "p", "v") if c in rows.columns], *[F.col(c).alias(x if c == "rep" else c + x) for c in ("rep", "n", "c", "o")])
+        return rows.select(*[c for c in ("s", "p", "v") if c in rows.columns], *[F.col(c).alias(x if c == "rep" else c + x) for c in ("rep", "n", "c", "o", "r") if c in rows.columns])
+
+    def residual(rows: DataFrame) -> DataFrame:
+        """Each member's n-grams outside of its pivot, with k, how many members of that pivot have them."""
+        members = rows.select("rep", "n", "c", "p", "o", "u").dropDuplicates(["rep"])
+        outside = members.select("rep", "n", "c", "p", "o", F.size("u").alias("size"), F.explode("u").alias("v"))
+        return cut(outside.join(outside.groupBy("p", "v").agg(F.count("*").alias("k"), F.min("rep").alias("low")), ["p", "v"]))
+
+    def second_pivots(rows: DataFrame) -> DataFrame:
+        """Members of a long column outside of their pivot (a family inside a group of copies) against its first member."""
+        of = residual(rows).where(F.col("k") > column).groupBy("rep", "n", "c").agg(F.max_by("low", F.struct("k", "low")).alias("low"))
+        other = rows.select(F.col("rep").alias("low"), F.col("n").alias("n2"), F.col("c").alias("c2")).dropDuplicates(["low"])
+        return of.join(other, "low").where("c <> c2").select(F.col("low").alias("a"), F.col("rep").alias("b"), F.col("n2").alias("na"), F.col("n").alias("nb")).where(_sized(percent))
 
     def possible(rows: DataFrame) -> DataFrame:
         """Pairs of unconnected members of long columns that the overlaps with their pivots don't rule out.
@@ -219,11 +231,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         n-grams outside of p, or both overlap p as much as the pair itself must.
         """
         apart = (F.col("ca") != F.col("cb")) & _sized(percent)
-        members = rows.select("rep", "n", "c", "p", "o", "u").dropDuplicates(["rep"])
-        outside = members.withColumn("v", F.explode("u"))
-        shared = ends(outside, "a").join(ends(outside, "b"), ["p", "v"]).where("a < b").where(apart)
-        shared = shared.groupBy("a", "b", "na", "nb", "oa", "ob").agg(F.count("*").alias("shared"))
-        shared = shared.where(F.col("shared") + F.least("oa", "ob") >= _needed(percent))
+        outside = residual(rows)
+        # x shares at least ceil(t * n) - o n-grams outside of p with any partner, so among its first
+        # size - that + 1 of them, rarest first, one is shared
+        least = F.greatest(F.ceil(F.lit(percent) * F.col("n") / 100) - F.col("o"), F.lit(1))
+        order = F.row_number().over(Window.partitionBy("rep").orderBy("k", "v"))
+        first = outside.withColumn("place", order).withColumn("m", F.greatest(F.col("size") - least + 1, F.lit(0))).where("place <= m AND k > 1")
+        first = first.withColumn("r", F.col("size") - F.col("m"))
+        shared = ends(first, "a").join(ends(first, "b"), ["p", "v"]).where("a < b").where(apart)
+        shared = shared.groupBy("a", "b", "na", "nb", "oa", "ob", "ra", "rb").agg(F.count("*").alias("shared"))
+        shared = shared.where(F.col("shared") + F.greatest("ra", "rb") + F.least("oa", "ob") >= _needed(percent))
         # the smaller set of a pair shares one of its early n-grams, and must itself overlap p by 2t / (1 + t)
         smaller = rows.where("early").where((100 + percent) * F.col("o") >= 2 * percent * F.col("n"))
         inside = ends(smaller, "a").join(ends(rows, "b"), ["s", "p"]).where("na < nb OR na = nb AND a < b").where(apart)
@@ -246,8 +263,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pivoted = with_pivots(rows)
         direct = pivoted.where("rep <> p").where(F.col("o") >= F.ceil(F.lit(percent) * (F.col("n") + F.col("np")) / F.lit(100 + percent)))
         labels = joined_components(labels, direct.select(F.col("rep").alias("u"), F.col("p").alias("v")))
-        rows = cut(unsettled(labels).join(pivoted.select("rep", "p", "o", "u"), "rep"))
-        labels = joined_components(labels, links(possible(rows)))
+        known = pivoted.select("rep", "p", "o", "u")
+        labels = joined_components(labels, links(second_pivots(cut(unsettled(labels).join(known, "rep")))))
+        labels = joined_components(labels, links(possible(cut(unsettled(labels).join(known, "rep")))))
 
     rows = heads.select("id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").join(labels, F.col("rep") == labels.node, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
