@@ -1,13 +1,15 @@
 """LM scoring: a gated recurrent language model with class-factored output.
 
 What covers all training documents: the count of every token (Spark sums task counters; the table grows with the
-corpus and stays in Spark), their total N and number V, and the totals of each spelling group. What is bounded:
-
-* the ``VOCABULARY`` most frequent tokens have symbols of their own; every other token is the symbol of its
-  spelling group (a hash of its last two bytes), times its smoothed share of that group, (c + 1) / (N_g + V_g + 1),
-  so that the probabilities of all known tokens and one unknown a group add up to 1;
-* the recurrent weights are fitted by truncated backpropagation in numpy to ``TRAIN_DOCS`` training documents of
-  lowest seeded hash (a documented sample of the same size for every corpus);
+corpus and stays in Spark), their total N and number V, the totals of each spelling group, and the recurrent weights:
+all training rows are dealt by a hash of id and text into shards of about ``SHARD_TOKENS`` tokens, whose symbols are
+written once. In each of ``PASSES`` rounds every shard is fitted by truncated backpropagation in numpy from the same
+start (in blocks of ``TRAIN_BLOCK`` tokens), and the next start is the mean of the shards' weights by tokens, which
+Spark adds up. What is bounded:
+
+* tokens with a share of at least ``SHARE`` of N (so 1 / ``SHARE`` at most) have symbols of their own; every other
+  token is the symbol of its spelling group (a hash of its last two bytes), times its smoothed share of that group,
+  (c + 1) / (N_g + V_g + 1), so that the probabilities of all known tokens and one unknown a group add up to 1;
 * the counts of the ``FREQUENT`` most frequent tokens are broadcast (a few MB), so that only rare tokens are
   joined with the table of counts, as rows of (row, 64-bit hash); none of them is a hot key.
 
@@ -22,6 +24,7 @@ training (crc32 of no text); an empty table gives no rows; other columns are not
 
 from __future__ import annotations
 
+import copy
 import heapq
 import zlib
 from collections import Counter
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, id_mod
 
-VOCABULARY, GROUPS, CLASSES, FREQUENT = 1500, 48, 40, 100_000
-TRAIN_DOCS, PASSES = 600, 3
+SHARE, GROUPS, CLASSES, FREQUENT = 4e-5, 48, 40, 100_000
+PASSES, SHARD_TOKENS, TRAIN_BLOCK, WEIGHTS = 3, 1_000_000, 1_000_000, 4096
 HIDDEN, INPUT, LANES, WINDOW = 24, 24, 512, 64
 TRAIN_LANES, TRAIN_WINDOW = 48, 24
 BLOCK_TOKENS = 3_000_000
@@ -223,31 +226,42 @@ class GatedModel:
         grads["W"] += self.p["E"].T @ dgates
         grads["b"] += dgates.sum(0)
 
-    def fit(self, docs: list[np.ndarray], end: int, passes: int = PASSES, rate: float = 0.01) -> None:
-        """Truncated backpropagation through time with Adam."""
+    def fit(self, docs: list[np.ndarray], end: int, state: dict, turn: int = 0, rate: float = 0.01) -> None:
+        """Truncated backpropagation through time with Adam, once over docs, in round turn of PASSES; state is carried
+        from one block of a shard to the next."""
         x, y, first, doc = laid_out(docs, end, TRAIN_LANES)
-        m, v, step = {k: np.zeros_like(w) for k, w in self.p.items()}, {k: np.zeros_like(w) for k, w in self.p.items()}, 0
-        windows = range(0, len(x), TRAIN_WINDOW)
-        for turn in range(passes):
-            h = np.zeros((x.shape[1], HIDDEN), np.float32)
-            for at in windows:
-                w = slice(at, at + TRAIN_WINDOW)
-                real = doc[w] >= 0
-                if not real.any():
-                    break
-                grads, kept = {k: np.zeros_like(g) for k, g in self.p.items()}, []
-                states = self.run(self.gates(), x[w], first[w], h, kept)
-                _, dh = self.log_probability(states[real], y[w][real], grads, 1 / real.sum())
-                dout = np.zeros_like(states)
-                dout[real] = dh
-                self.backward(x[w], first[w], kept, dout, grads)
-                h, step = states[-1], step + 1
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-                lr = rate * min(1.0, 1.0 / max(norm, 1e-9)) * (1 - 0.9 * (turn + at / len(x)) / passes)
-                for k, g in grads.items():
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.01 * (g * g - v[k])
-                    self.p[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+        if not state:
+            state |= {"m": {k: np.zeros_like(w) for k, w in self.p.items()}, "v": {k: np.zeros_like(w) for k, w in self.p.items()}, "step": 0}
+        m, v, step = state["m"], state["v"], state["step"]
+        h = np.zeros((x.shape[1], HIDDEN), np.float32)
+        for at in range(0, len(x), TRAIN_WINDOW):
+            w = slice(at, at + TRAIN_WINDOW)
+            real = doc[w] >= 0
+            grads, kept = {k: np.zeros_like(g) for k, g in self.p.items()}, []
+            states = self.run(self.gates(), x[w], first[w], h, kept)
+            _, dh = self.log_probability(states[real], y[w][real], grads, 1 / real.sum())
+            dout = np.zeros_like(states)
+            dout[real] = dh
+            self.backward(x[w], first[w], kept, dout, grads)
+            h, step = states[-1], step + 1
+            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+            lr = rate * min(1.0, 1.0 / max(norm, 1e-9)) * (1 - 0.9 * (turn + at / len(x)) / PASSES)
+            for k, g in grads.items():
+                m[k] += 0.1 * (g - m[k])
+                v[k] += 0.01 * (g * g - v[k])
+                self.p[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+        state["step"] = step
+
+    def flat(self) -> np.ndarray:
+        """All weights, one after the other."""
+        return np.concatenate([w.ravel() for w in self.p.values()])
+
+    def take(self, flat: np.ndarray) -> None:
+        """Weights as flat() gives them."""
+        at = 0
+        for k, w in self.p.items():
+            self.p[k] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
+            at += w.size
 
     def score(self, docs: list[np.ndarray], end: int) -> np.ndarray:
         """log10 probability of each document's symbols."""
@@ -269,13 +283,81 @@ def _symbols(ws: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
     return np.array([known[w] if w in known else groups[group_of(w)] for w in ws], np.int32)
 
 
+def shards(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(shard, h, symbols as unsigned 16-bit numbers) of all rows of docs (id, text), a shard in one file and in order of h."""
+    spark, n = docs.sparkSession, max(1, round(vocabulary.total / SHARD_TOKENS))
+    sent = spark.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()  # deals rows of the same id and text out over the shards
+        for batch in batches:
+            out = [[], [], []]
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for c, x in zip(out, ((h + seen[h]) % n, h, _symbols(tokens(t.as_py()), sent.value).astype(np.uint16).tobytes()), strict=True):
+                    c.append(x)
+                seen[h] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "h", "symbols"])
+
+    rows = docs.select(F.xxhash64("id", "text").alias("h"), "text").mapInArrow(run, "shard int, h long, symbols binary")
+    return cut(rows.repartition(n, "shard").sortWithinPartitions("shard", "h"))
+
+
+def fit_round(parts: DataFrame, model: GatedModel, end: int, turn: int) -> int:
+    """Sets the weights to the mean, by tokens, of those fitted to each shard of parts from the present ones; returns the tokens."""
+    sent = parts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summed, seen = np.zeros(sent.value.flat().size), 0
+        own, state, shard, block, size, read = None, {}, None, [], 0, 0
+        start = sent.value.p
+
+        def end_block() -> None:
+            nonlocal block, size, read
+            if block:
+                own.fit(block, end, state, turn)
+            block, size, read = [], 0, read + size
+
+        def end_shard() -> None:
+            nonlocal seen, summed, read
+            end_block()
+            if read:
+                summed += own.flat() * float(read)
+            seen, read = seen + read, 0
+
+        for batch in batches:
+            for s, symbols in zip(batch.column("shard").to_pylist(), batch.column("symbols"), strict=True):
+                if s != shard:
+                    end_shard()
+                    own, state, shard = copy.copy(sent.value), {}, s
+                    own.p = {k: w.copy() for k, w in start.items()}
+                block.append(np.frombuffer(symbols.as_py(), np.uint16))
+                size += len(block[-1])
+                if size >= TRAIN_BLOCK:
+                    end_block()
+        end_shard()
+        if seen:
+            sums = [summed[i : i + WEIGHTS].tobytes() for i in range(0, len(summed), WEIGHTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([seen] * len(sums), pa.int64()), pa.array(sums, pa.binary())], ["k", "n", "w"])
+
+    def add(table: pa.Table) -> pa.Table:
+        w = sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("w"))
+        return pa.table({"k": table.column("k").slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "w": pa.array([w.tobytes()], pa.binary())})
+
+    fitted = parts.select("shard", "symbols").mapInArrow(run, "k int, n long, w binary")
+    got = sorted(fitted.groupBy("k").applyInArrow(add, "k int, n long, w binary").collect())
+    if not got:
+        return 0
+    model.take(np.concatenate([np.frombuffer(bytes(r.w), np.float64) for r in got]) / got[0].n)
+    return got[0].n
+
+
 def learn(docs: DataFrame) -> tuple[Vocabulary, dict[bytes, int], GatedModel, DataFrame]:
     """(vocabulary, counts of frequent tokens, model, table of (hash, c) of the other tokens) from docs (id, text)."""
     counts = cut(count_tokens(docs))
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
     words, numbers = top.column("word").to_pylist(), top.column("c").to_pylist()
-    own, own_counts = words[:VOCABULARY], numbers[:VOCABULARY]
+    own, own_counts = [list(x) for x in zip(*[(w, c) for w, c in zip(words, numbers, strict=True) if c >= SHARE * total])] or ([], [])
     if END not in own:
         own, own_counts = [*own, END], [*own_counts, dict(zip(words, numbers, strict=True)).get(END, 0)]
     names = docs.sparkSession.createDataFrame([(bytearray(w),) for w in own], "word binary")
@@ -285,11 +367,11 @@ def learn(docs: DataFrame) -> tuple[Vocabulary, dict[bytes, int], GatedModel, Da
     size[groups.g], kinds_in[groups.g] = groups.n, groups.v
     vocabulary = Vocabulary(own, own_counts, size, kinds_in, total, kinds)
     frequent = dict(zip(words, numbers, strict=True))
-    sample = docs.where("id IS NOT NULL").select("id").orderBy(F.xxhash64("id", F.lit("lm")), "id").limit(TRAIN_DOCS)
-    rows = docs.join(F.broadcast(sample.distinct()), "id").select("id", "text").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     model = GatedModel(vocabulary.frequency)
-    if rows.num_rows:
-        model.fit([_symbols(tokens(t), vocabulary) for t in rows.column("text").to_pylist()], vocabulary.end)
+    if total:
+        parts = shards(docs, vocabulary)
+        for turn in range(PASSES):
+            fit_round(parts, model, vocabulary.end, turn)
     held = docs.sparkSession.createDataFrame([(token_hash(w),) for w in words], "h long") if words else None
     others = counts.select(F.xxhash64("word").alias("h"), "c")
     return vocabulary, frequent, model, others.join(F.broadcast(held), "h", "left_anti") if held is not None else others

@@ -227,6 +227,27 @@ def test_language_model(spark, sf, edge, empty):
     assert language_model.score_documents(empty, F.lit(True)).count() == 0
 
 
+def test_weights_learn_from_all_training_rows(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 30_000)
+    ids = spark.range(1400).select("id")
+    few = ids.orderBy(F.xxhash64("id", F.lit("lm")), "id").limit(600)  # all that a sample of 600 documents would see
+    same = few.select("id", F.lit("x " * 60).alias("text"))
+    told = ids.join(few, "id", "left_anti").select(F.col("id"), F.lit("p q r " * 20).alias("text"))
+    rows = same.unionByName(told).unionByName(spark.createDataFrame([(None, "p q r")] * 3, "id long, text string"))
+    vocabulary, _, model, _ = language_model.learn(rows)
+    parts = language_model.shards(rows, vocabulary)
+    assert parts.count() == rows.count() and parts.select("shard").distinct().count() > 1
+    assert language_model.fit_round(parts, model, vocabulary.end, 2) == vocabulary.total == 1400 * 61 + 3 * 4
+    got = language_model.score_documents(rows, F.lit(True), "id").where("id IS NOT NULL").join(told.select("id"), "id").toPandas()
+    assert ((got.score - got.base_score) / got.n_tokens > 0.2).all()
+
+
+def test_frequent_tokens_have_symbols_of_their_own(spark):
+    text = " ".join(f"w{i}" for i in range(1700))
+    vocabulary, *_ = language_model.learn(spark.createDataFrame([(i, text) for i in range(3)], "id long, text string"))
+    assert all(f"w{i}".encode() in vocabulary.symbol for i in range(1700))
+
+
 def test_model_is_a_distribution_and_gradients_are_right():
     m = language_model.GatedModel(np.arange(1, 31, dtype=float), 5)
     for k in m.p:
