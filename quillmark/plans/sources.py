@@ -11,17 +11,21 @@ from .registry import query
 from .tables import DOC_ITEMS, doc_items, table
 
 
+#: Ids of one landed page of a feed, a sitemap or posts; a page is one string.
+PAGE = 200
+
+
 def _xml(c):
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
 def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feed a source: RSS for even documents, Atom for odd ones."""
+    """Feeds of a source, a page for each PAGE ids: RSS for even documents, Atom for odd ones."""
     d = doc_items(spark, sf_dir).where("title <> ''").select("id", "source", "title", F.regexp_replace(F.left("text", F.lit(600)), r"\s+", " ").alias("body"))
     rss = F.concat(F.lit("<item><title>"), _xml(F.col("title")), F.lit("</title><link>/doc/"), F.col("id").cast("string"), F.lit("</link><pubDate>Tue, 05 Mar 2024 10:00:00 +0000</pubDate><description>"), _xml(F.col("body")), F.lit("</description></item>"))
     atom = F.concat(F.lit("<entry><title>"), _xml(F.col("title")), F.lit('</title><link rel="self" href="/self"/><link rel="alternate" href="https://feeds.example.com/doc/'), F.col("id").cast("string"), F.lit('"/><updated>2024-03-05T10:00:00Z</updated><summary>'), _xml(F.col("body")), F.lit("</summary></entry>"))
     block = F.when(F.col("id") % 2 == 0, rss).otherwise(atom)
-    g = d.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", block.alias("b")))), lambda x: x["b"]), "").alias("xml"))
+    g = d.groupBy("source", F.floor(F.col("id") / PAGE).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", block.alias("b")))), lambda x: x["b"]), "").alias("xml"))
     return g.select("source", F.lit("https://feeds.example.com/a/feed.xml").alias("feed_url"), F.concat(F.lit("<rss>"), "xml", F.lit("</rss>")).alias("xml"))
 
 
@@ -61,19 +65,25 @@ def feed_items_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src13_sitemap", "SELECT url, CAST(TIMESTAMP '2024-01-01 00:00:00' + page_id % 28 * INTERVAL 1 DAY AS VARCHAR) AS modified, false AS is_index FROM pages WHERE NOT contains(url, '&')")
 def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.parse_sitemaps(_sitemaps(spark, sf_dir)).select("url", F.col("modified").cast("string").alias("modified"), "is_index")
+
+
+def _sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").where("NOT contains(url, '&')")
     one = F.concat(F.lit("<url><loc>"), _xml(F.col("url")), F.lit("</loc><lastmod>2024-01-"), F.lpad(((F.col("page_id") % 28) + 1).cast("string"), 2, "0"), F.lit("</lastmod></url>"))
-    maps = p.groupBy((F.col("page_id") % 7).alias("m")).agg(F.array_join(F.collect_list(one), "\n").alias("x")).select(F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("xml"))
-    return feeds.parse_sitemaps(maps).select("url", F.col("modified").cast("string").alias("modified"), "is_index")
+    return p.groupBy(F.floor(F.col("page_id") / PAGE).alias("m")).agg(F.array_join(F.collect_list(one), "\n").alias("x")).select(F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("xml"))
 
 
 @query("src10_posts", f"WITH {DOC_ITEMS} SELECT id, {_CLEAN.format('title')} AS title FROM docs WHERE title <> '' AND NOT contains(title, '&')")
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = feeds.parse_posts(_posts(spark, sf_dir))
+    return p.select(F.regexp_extract("url", r"/(\d+)$", 1).cast("long").alias("id"), "title")
+
+
+def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = doc_items(spark, sf_dir).where("title <> '' AND NOT contains(title, '&')")
     post = F.struct(F.struct(F.col("title").alias("rendered")).alias("title"), F.concat(F.lit("https://posts.example.com/"), F.col("id").cast("string")).alias("link"), F.lit("2024-03-05T10:00:00").alias("date_gmt"))
-    landed = d.groupBy("source").agg(F.to_json(F.collect_list(post)).alias("json"))
-    p = feeds.parse_posts(landed)
-    return p.select(F.regexp_extract("url", r"/(\d+)$", 1).cast("long").alias("id"), "title")
+    return d.groupBy("source", F.floor(F.col("id") / PAGE).alias("page")).agg(F.to_json(F.collect_list(post)).alias("json"))
 
 
 @query("src35_link_health", """SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'timeout' WHEN page_id % 13 = 0 THEN 'network-error' WHEN 200 + page_id % 5 * 101 IN (401, 403, 429) THEN 'restricted' WHEN 200 + page_id % 5 * 101 BETWEEN 200 AND 399 THEN 'reachable' ELSE 'error' END AS health FROM pages""")

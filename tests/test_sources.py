@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from quillmark.operators import curate, quality
+from quillmark.plans import sources
 from quillmark.sources import feeds, registry_files
 from quillmark.streaming import streams
 
@@ -27,6 +28,13 @@ def test_feeds(spark):
     assert got["Three"].url == "https://example.com/d" and str(got["Three"].date) == "2024-03-05 10:00:00"
 
 
+def test_landed_pages_are_bounded(spark, sf, monkeypatch):
+    monkeypatch.setattr(sources, "PAGE", 20)
+    for landed, column, block in ((sources._feeds, "xml", "</item>|</entry>"), (sources._sitemaps, "xml", "</url>"), (sources._posts, "json", '"rendered":')):
+        n = landed(spark, sf).select(F.regexp_count(column, F.lit(block)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+        assert 0 < n[0] <= 20 < n[1]
+
+
 def test_first_full_feed(spark):
     items = spark.createDataFrame([("s", "f2", "x"), ("s", "f3", "y")], "source string, feed_url string, title string")
     order = spark.createDataFrame([("s", 0, "f1"), ("s", 1, "f2"), ("s", 2, "f3")], "source string, feed_pos int, feed_url string")
