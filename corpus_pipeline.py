@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 Stages between two writes keep nothing in memory, so a lost executor costs the tasks of one stage.
 
 Edge cases follow the operators: null, empty and letterless texts are rejected by the first stage; of rows with
-equal ids and texts the duplicate stage keeps one, and all rows without an id; an empty table passes through with its columns.
+equal ids and texts the duplicate stage keeps one, and all rows without an id; the mixing stage takes each row as often
+as its own place asks for, also rows without an id or of one id; an empty table passes through with its columns.
 """
 
 from __future__ import annotations
@@ -47,10 +48,8 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks for: none, once, or up to three times."""
-    times = mixing.mix_sources(docs).where("times > 0").select("doc_id", "times")
-    times = times.groupBy("doc_id").agg(F.max("times").alias("times"))
-    copies = docs.join(times, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return copies.select(*docs.columns)
+    mixed = mixing.mix_sources(docs, row_col="row").where("times > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,9 +56,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix",
+    weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", row_col: str | None = None,
 ) -> DataFrame:
-    """Per document: id, source, size, source_size, target (of its source), taken (words) and times (copies)."""
+    """Per document: id, source, size, source_size, target (of its source), taken (words) and times (copies).
+
+    With row_col, also the row of docs itself as a struct of that name, so that no join on the id is needed.
+    """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     sized = (
         docs.select(
@@ -68,6 +71,7 @@ def mix_sources(
             F.coalesce(F.col(source_col), F.lit("")).alias("src"),
             F.regexp_count(text_or_empty(F.col(text_col)), F.lit(WORD)).cast("long").alias("size"),
             key.alias("h"),
+            *([F.struct(*docs.columns).alias("row")] if row_col else []),
         )
         .withColumn("part", F.substring("h", 1, RANGE_DIGITS))
         .repartition("no_source", "src", "part")
@@ -86,6 +90,7 @@ def mix_sources(
     return placed.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
         (F.col("size") * times).alias("taken"), F.when(F.col("size") > 0, times).otherwise(F.lit(0)).cast("long").alias("times"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )
 
 

@@ -4,8 +4,10 @@ import re
 from collections import Counter
 
 import corpus_pipeline as cp
-from test_operators import brute_components, tiktoken_encoding
+from pyspark.sql import functions as F
+from test_operators import brute_components, edge, tiktoken_encoding  # noqa: F401
 
+from quillmark.llm import mixing
 from quillmark.llm.common import cut
 
 
@@ -33,6 +35,24 @@ def test_stages(spark, sf):
     assert Counter((r.doc_id, tuple(r.ids)) for r in ids.collect()) == want
 
 
+def test_mixture_keeps_rows_without_an_id_and_of_one_id(spark, sf):
+    texts = ["a b c", "d e f g", "h i", "k l m n o", "p"]
+    docs = spark.createDataFrame(list(zip([None, None, 1, 1, 2], texts, ["s"] * 5, strict=True)), "doc_id long, text string, source string")
+    assert sorted(r.text for r in cp.mixture(spark, docs, sf).collect()) == sorted(texts)
+
+
+def test_edge_rows_through_all_stages(spark, sf, edge):  # noqa: F811
+    seen = [edge.withColumn("n_chars", F.length("text").cast("long"))]
+    for _, stage in cp.STAGES:
+        seen.append(cut(stage(spark, seen[-1], sf)))
+    start, told, single, private, mixed, ids = seen
+    lost = lambda df: df.where("doc_id IS NULL").count()
+    assert lost(start) == lost(told) == lost(single) == lost(private) == 1
+    sized = mixing.mix_sources(private)
+    assert mixed.count() == ids.count() == sized.agg(F.sum("times")).first()[0]
+    assert lost(mixed) == lost(ids) == sized.where("doc_id IS NULL").agg(F.sum("times")).first()[0] > 0
+
+
 def test_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     for _, stage in cp.STAGES:
