@@ -348,6 +348,15 @@ def test_ngram_join_edges(edge, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_ngram_join_of_repeated_ids(spark):
+    """Each text of an id keeps its links, whichever of the id's sets is the larger."""
+    a = [f"w{i}" for i in range(60)]
+    near = " ".join([*a[:-1], "other"])
+    data = [(1, " ".join(a)), (1, " ".join(f"v{i}" for i in range(90))), (2, " ".join(a)), (3, near), (4, "x y"), (5, "x y"), (5, ""), (5, "q r s"), (6, "q r s"), (6, None), (7, None), (7, "")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"), width=4, percent=85).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 7)} and len(got) == len(data)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 60), (60, 80), (7, 7)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
