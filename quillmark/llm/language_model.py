@@ -2,16 +2,16 @@
 
 What covers all training documents: the count of every token (Spark sums task counters; the table grows with the
 corpus and stays in Spark), their total N and number V, the totals of each spelling group, and the recurrent weights:
-all training rows are dealt by a hash of id and text into shards of about ``SHARD_TOKENS`` tokens, whose symbols are
-written once. In each of ``PASSES`` rounds every shard is fitted by truncated backpropagation in numpy from the same
-start (in blocks of ``TRAIN_BLOCK`` tokens), and the next start is the mean of the shards' weights by tokens, which
-Spark adds up. What is bounded:
+all training rows are dealt by a hash of id and text into shards of about ``SHARD_TOKENS`` tokens (``ROUNDS`` shards
+at least), whose symbols are written once. Round r takes the shards r, r + ``ROUNDS``, ...: each is fitted once by
+truncated backpropagation in numpy from the same start (in blocks of ``TRAIN_BLOCK`` tokens), and the next start is
+the mean of the shards' weights by tokens, which Spark adds up. So every training token is learned from once. Bounded:
 
 * tokens with a share of at least ``SHARE`` of N (so 1 / ``SHARE`` at most) have symbols of their own; every other
   token is the symbol of its spelling group (a hash of its last two bytes), times its smoothed share of that group,
   (c + 1) / (N_g + V_g + 1), so that the probabilities of all known tokens and one unknown a group add up to 1;
-* the counts of the ``FREQUENT`` most frequent tokens are broadcast (a few MB), so that only rare tokens are
-  joined with the table of counts, as rows of (row, 64-bit hash); none of them is a hot key.
+* the counts of the ``FREQUENT`` most frequent training tokens are broadcast (a few MB); the others of a document are
+  counted a document at a time and joined with the table of counts, as rows of (row, 64-bit hash, times).
 
 Output: P(symbol) = P(class) * P(symbol in class), classes being bands of frequency. Scoring runs documents side
 by side in ``LANES`` lanes (longest first onto the shortest lane) and in windows of ``WINDOW`` steps; the state
@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, id_mod
 
-SHARE, GROUPS, CLASSES, FREQUENT = 4e-5, 48, 40, 100_000
-PASSES, SHARD_TOKENS, TRAIN_BLOCK, WEIGHTS = 3, 1_000_000, 1_000_000, 4096
-HIDDEN, INPUT, LANES, WINDOW = 24, 24, 512, 64
-TRAIN_LANES, TRAIN_WINDOW = 48, 24
+SHARE, GROUPS, CLASSES, FREQUENT = 1e-4, 48, 32, 100_000
+ROUNDS, SHARD_TOKENS, TRAIN_BLOCK, WEIGHTS = 4, 1_000_000, 1_000_000, 4096
+HIDDEN, INPUT, LANES, WINDOW = 12, 12, 512, 64
+TRAIN_LANES, TRAIN_WINDOW, LEAST_STEPS = 256, 32, 64
 BLOCK_TOKENS = 3_000_000
 COUNTED = 400_000
 END = b""
@@ -128,8 +128,26 @@ def laid_out(docs: list[np.ndarray], end: int, most: int) -> tuple[np.ndarray, .
     return x, y, first, doc
 
 
-def _sigmoid(a: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * a) + 0.5
+def busy(w: slice, x: np.ndarray, y: np.ndarray, first: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same without the lanes that are through before window w, once these are a fifth of all."""
+    on = doc[w.start] >= 0
+    return (x, y, first, doc, h) if 5 * on.sum() > 4 * len(on) else (x[:, on], y[:, on], first[:, on], doc[:, on], h[on])
+
+
+def room(shape: tuple[int, int], kind: type = np.float32) -> tuple[np.ndarray, ...]:
+    """Arrays by step and lane for what the backward pass needs: states before, gates, new states, their recurrent part."""
+    return tuple(np.empty((*shape, k * HIDDEN), kind) for k in (1, 2, 1, 1))
+
+
+def _exponents(e: np.ndarray, weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(log softmax at each row's own place, exponents, their sums) of products of states and weights, with a bias."""
+    e += bias
+    if (np.abs(weights).sum(0) + np.abs(bias)).max() > 60:  # states are in -1..1: else no exponent can overflow
+        e -= e.max(1, keepdims=True)
+    said = e[rows, own]
+    np.exp(e, out=e)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    return said - np.log(total), e, total
 
 
 class GatedModel:
@@ -148,108 +166,124 @@ class GatedModel:
             "S": small(s, HIDDEN), "sb": np.log(frequency / of_class[self.class_of]).astype(np.float32),
         }
 
-    def run(self, gates: np.ndarray, x: np.ndarray, first: np.ndarray, h: np.ndarray, kept: list | None = None) -> np.ndarray:
+    def run(self, gates: np.ndarray, x: np.ndarray, first: np.ndarray, h: np.ndarray, kept: tuple | None = None) -> np.ndarray:
         """States after each step, from state h on."""
-        n, out, u = HIDDEN, np.empty((*x.shape, HIDDEN), np.float32), self.p["U"]
+        n, out, u = HIDDEN, np.empty((*x.shape, HIDDEN), h.dtype), self.p["U"]
+        again = (~first).astype(h.dtype)[:, :, None]
         for t in range(len(x)):
-            if first[t].any():
-                h = h * ~first[t][:, None]
+            h = h * again[t]
             a, g = gates[x[t]], h @ u
-            zr = _sigmoid(a[:, : 2 * n] + g[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
+            zr = a[:, : 2 * n] + g[:, : 2 * n]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            new = zr[:, n:] * g[:, 2 * n :]
+            new += a[:, 2 * n :]
+            np.tanh(new, out=new)
             if kept is not None:
-                kept.append((h, z, r, new, g[:, 2 * n :]))
-            h = new + z * (h - new)
-            out[t] = h
+                for of, value in zip(kept, (h, zr, new, g[:, 2 * n :]), strict=True):
+                    of[t] = value
+            h = np.add(new, zr[:, :n] * (h - new), out=out[t])
         return out
 
     def gates(self) -> np.ndarray:
         return self.p["E"] @ self.p["W"] + self.p["b"]
 
     def log_probability(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log of P(y) at states h; with grads, adds gradients of the mean loss and returns that of h."""
+        """Natural log of P(y) at states h; with grads, adds gradients of the loss, times scale, and returns that of h."""
         p, k = self.p, self.class_of[y]
-        a = h @ p["C"] + p["cb"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        total = e.sum(1)
-        out = a[np.arange(len(y)), k] - np.log(total)
+        order = np.argsort(k.astype(np.uint8), kind="stable")  # by class; classes are at most 256
+        h, y, k, rows = h[order], y[order], k[order], np.arange(len(y))
+        said, e, total = _exponents(h @ p["C"], p["C"], p["cb"], rows, k)
         dh = None
         if grads is not None:
-            d = e / total[:, None]
-            d[np.arange(len(y)), k] -= 1
-            d *= scale
-            grads["C"] += h.T @ d
-            grads["cb"] += d.sum(0)
-            dh = d @ p["C"].T
-        order = np.argsort(k, kind="stable")
-        ends = np.searchsorted(k[order], np.arange(len(self.bounds)), side="left")
+            e *= (scale / total)[:, None]
+            e[rows, k] -= scale
+            grads["C"] += h.T @ e
+            grads["cb"] += e.sum(0)
+            dh = e @ p["C"].T
+        ends = np.searchsorted(k, np.arange(len(self.bounds)), side="left")
         for c in range(len(self.bounds) - 1):
-            rows = order[ends[c] : ends[c + 1]]
-            if not len(rows):
+            at = slice(ends[c], ends[c + 1])
+            if at.start == at.stop:
                 continue
             lo, hi = self.bounds[c], self.bounds[c + 1]
-            hc = h[rows]
-            b = hc @ p["S"][lo:hi].T + p["sb"][lo:hi]
-            b -= b.max(1, keepdims=True)
-            e = np.exp(b)
-            total = e.sum(1)
-            own = y[rows] - lo
-            out[rows] += b[np.arange(len(rows)), own] - np.log(total)
+            rows_c, own_c, hc, s = rows[: at.stop - at.start], y[at] - lo, h[at], p["S"][lo:hi]
+            own, e, total = _exponents(hc @ s.T, s.T, p["sb"][lo:hi], rows_c, own_c)
+            said[at] += own
             if grads is not None:
-                d = e / total[:, None]
-                d[np.arange(len(rows)), own] -= 1
-                d *= scale
-                grads["S"][lo:hi] += d.T @ hc
-                grads["sb"][lo:hi] += d.sum(0)
-                dh[rows] += d @ p["S"][lo:hi]
-        return out, dh
-
-    def backward(self, x: np.ndarray, first: np.ndarray, kept: list, dout: np.ndarray, grads: dict) -> None:
+                e *= (scale / total)[:, None]
+                e[rows_c, own_c] -= scale
+                grads["S"][lo:hi] += e.T @ hc
+                grads["sb"][lo:hi] += e.sum(0)
+                dh[at] += e @ s
+        out = np.empty_like(said)
+        out[order] = said
+        if dh is None:
+            return out, None
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back
+
+    def backward(self, x: np.ndarray, first: np.ndarray, kept: tuple, dout: np.ndarray, grads: dict) -> None:
         """Adds the gradients of one window, from its last step to its first."""
-        n, u = HIDDEN, self.p["U"]
-        dgates = np.zeros((len(self.p["E"]), 3 * n), np.float32)
-        dh = np.zeros_like(dout[0])
+        n, ut, shape = HIDDEN, self.p["U"].T.copy(), (*x.shape, 3, HIDDEN)
+        h, zr, new, gn = kept
+        z, r = zr[..., :n], zr[..., n:]
+        # what a state's gradient is multiplied by to give those of the sums inside z, r and the new state
+        of_a = np.empty(shape, dout.dtype)
+        np.multiply(1 - z, 1 - new * new, out=of_a[:, :, 2])
+        np.multiply(of_a[:, :, 2] * gn, r * (1 - r), out=of_a[:, :, 1])
+        np.multiply(h - new, z * (1 - z), out=of_a[:, :, 0])
+        of_g = of_a.copy()
+        of_g[:, :, 2] *= r
+        again, dh, dhs = (~first).astype(dout.dtype)[:, :, None], np.zeros_like(dout[0]), dout.copy()
         for t in range(len(x) - 1, -1, -1):
-            h, z, r, new, gn = kept[t]
-            dh = dh + dout[t]
-            dn = dh * (1 - z) * (1 - new * new)
-            dz = dh * (h - new) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            da = np.concatenate([dz, dr, dn], 1)
-            dg = np.concatenate([dz, dr, dn * r], 1)
-            np.add.at(dgates, x[t], da)
-            grads["U"] += h.T @ dg
-            dh = (dh * z + dg @ u.T) * ~first[t][:, None]
-        grads["E"] += dgates @ self.p["W"].T
-        grads["W"] += self.p["E"].T @ dgates
-        grads["b"] += dgates.sum(0)
-
-    def fit(self, docs: list[np.ndarray], end: int, state: dict, turn: int = 0, rate: float = 0.01) -> None:
-        """Truncated backpropagation through time with Adam, once over docs, in round turn of PASSES; state is carried
+            dhs[t] += dh
+            of_g[t] *= dhs[t][:, None, :]
+            dh = (dhs[t] * z[t] + of_g[t].reshape(-1, 3 * n) @ ut) * again[t]
+        of_a *= dhs[:, :, None, :]
+        grads["U"] += h.reshape(-1, n).T @ of_g.reshape(-1, 3 * n)
+        # the gradients of the gates, added up a symbol
+        order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
+        symbols, starts = np.unique(x.ravel()[order], return_index=True)
+        of = np.add.reduceat(of_a.reshape(-1, 3 * n)[order], starts)
+        grads["E"][symbols] += of @ self.p["W"].T
+        grads["W"] += self.p["E"][symbols].T @ of
+        grads["b"] += of.sum(0)
+
+    def fit(self, docs: list[np.ndarray], end: int, state: dict, turn: int = 0, rate: float = 0.02) -> None:
+        """Truncated backpropagation through time with Adam, once over docs, in round turn of ROUNDS; state is carried
         from one block of a shard to the next."""
-        x, y, first, doc = laid_out(docs, end, TRAIN_LANES)
+        most = int(np.clip(sum(map(len, docs)) // (TRAIN_WINDOW * LEAST_STEPS), 4, TRAIN_LANES))
+        x, y, first, doc = laid_out(docs, end, most)
         if not state:
             state |= {"m": {k: np.zeros_like(w) for k, w in self.p.items()}, "v": {k: np.zeros_like(w) for k, w in self.p.items()}, "step": 0}
         m, v, step = state["m"], state["v"], state["step"]
         h = np.zeros((x.shape[1], HIDDEN), np.float32)
-        for at in range(0, len(x), TRAIN_WINDOW):
-            w = slice(at, at + TRAIN_WINDOW)
+        at = upto = 0
+        while upto < len(x):
+            # a window is longer where few lanes are left, so that updates are of about as many tokens
+            at, upto = upto, upto + TRAIN_WINDOW * int(np.clip(most // x.shape[1], 1, 8))
+            w = slice(at, upto)
+            x, y, first, doc, h = busy(w, x, y, first, doc, h)
             real = doc[w] >= 0
-            grads, kept = {k: np.zeros_like(g) for k, g in self.p.items()}, []
+            grads, kept = {k: np.zeros_like(g) for k, g in self.p.items()}, room(x[w].shape)
             states = self.run(self.gates(), x[w], first[w], h, kept)
-            _, dh = self.log_probability(states[real], y[w][real], grads, 1 / real.sum())
+            # of the summed loss: those of the mean are small enough for their squares to lose digits
+            _, dh = self.log_probability(states[real], y[w][real], grads)
             dout = np.zeros_like(states)
             dout[real] = dh
             self.backward(x[w], first[w], kept, dout, grads)
             h, step = states[-1], step + 1
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            lr = rate * min(1.0, 1.0 / max(norm, 1e-9)) * (1 - 0.9 * (turn + at / len(x)) / PASSES)
+            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / real.sum()
+            lr = np.float32(rate * np.sqrt(real.sum() / (most * TRAIN_WINDOW)) * min(1.0, 1.0 / max(norm, 1e-9)) * (1 - 0.9 * (turn + at / len(x)) / ROUNDS))
+            of_m, of_v = np.float32(1 / (1 - 0.9**step)), np.float32(1 / (1 - 0.99**step))
             for k, g in grads.items():
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                self.p[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+                m[k] += np.float32(0.1) * (g - m[k])
+                v[k] += np.float32(0.01) * (g * g - v[k])
+                self.p[k] -= lr * of_m * m[k] / (np.sqrt(of_v * v[k]) + np.float32(1e-8))
         state["step"] = step
 
     def flat(self) -> np.ndarray:
@@ -269,37 +303,61 @@ class GatedModel:
         out, gates, h = np.zeros(len(docs)), self.gates(), np.zeros((x.shape[1], HIDDEN), np.float32)
         for at in range(0, len(x), WINDOW):
             w = slice(at, at + WINDOW)
-            busy = (doc[w] >= 0).any(0)  # lanes that are not through yet
-            if not busy.all():
-                x, y, first, doc, h = x[:, busy], y[:, busy], first[:, busy], doc[:, busy], h[busy]
+            x, y, first, doc, h = busy(w, x, y, first, doc, h)
             states = self.run(gates, x[w], first[w], h)
             h, real = states[-1], doc[w] >= 0
             out += np.bincount(doc[w][real], self.log_probability(states[real], y[w][real])[0], len(docs))
         return out / _LN10
 
 
-def _symbols(ws: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
-    known, groups = vocabulary.symbol, vocabulary.of_group
-    return np.array([known[w] if w in known else groups[group_of(w)] for w in ws], np.int32)
+class Lexicon:
+    """What is known of frequent tokens, by their place in a list, for whole blocks of tokens at once."""
+
+    def __init__(self, vocabulary: Vocabulary, frequent: dict[bytes, int]):
+        words = list(frequent.keys() | (vocabulary.symbol.keys() - set(range(GROUPS))))
+        self.place, self.of_group = {w: i for i, w in enumerate(words)}, vocabulary.of_group
+        groups = np.array([group_of(w) for w in words], np.int64)
+        own = np.array([w in vocabulary.symbol for w in words], bool)
+        self.symbols = np.array([vocabulary.symbol[w] if w in vocabulary.symbol else self.of_group[g] for w, g in zip(words, groups, strict=True)], np.int32)
+        self.log = np.array([np.log10(frequent.get(w, 0) + 1) for w in words], np.float64)
+        self.known = np.array([frequent.get(w, 0) > 0 for w in words], bool)
+        # of tokens in a spelling group: log10(c + 1) less the group's total (of rare ones log10(c + 1) comes by the join)
+        self.share = np.where(own, 0.0, self.log - vocabulary.tail[groups])
+        self.tail = vocabulary.tail
+
+    def read(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """(place of each token or -1, symbols, tokens without a place, their groups), all docs in a row."""
+        get = self.place.get
+        at = np.array([get(w, -1) for ws in docs for w in ws], np.int32)
+        symbols = self.symbols[at]
+        missing = np.flatnonzero(at < 0)
+        flat = [w for ws in docs for w in ws] if len(missing) else []
+        rare = [flat[i] for i in missing.tolist()]
+        groups = np.array([group_of(w) for w in rare], np.int64)
+        symbols[missing] = self.of_group[groups]
+        return at, symbols, rare, groups
 
 
 def shards(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(shard, h, symbols as unsigned 16-bit numbers) of all rows of docs (id, text), a shard in one file and in order of h."""
-    spark, n = docs.sparkSession, max(1, round(vocabulary.total / SHARD_TOKENS))
-    sent = spark.sparkContext.broadcast(vocabulary)
+    """(turn, shard, h, symbols as unsigned 16-bit numbers) of all rows of docs (id, text), a shard in one file and in order of h."""
+    spark, n = docs.sparkSession, max(ROUNDS, round(vocabulary.total / SHARD_TOKENS))
+    sent = spark.sparkContext.broadcast(Lexicon(vocabulary, {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()  # deals rows of the same id and text out over the shards
         for batch in batches:
-            out = [[], [], []]
-            for h, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for c, x in zip(out, ((h + seen[h]) % n, h, _symbols(tokens(t.as_py()), sent.value).astype(np.uint16).tobytes()), strict=True):
-                    c.append(x)
+            docs = [tokens(t.as_py()) for t in batch.column(1)]
+            symbols = sent.value.read(docs)[1].astype(np.uint16)
+            parts = [x.tobytes() for x in np.split(symbols, np.cumsum([len(d) for d in docs])[:-1])] if docs else []
+            dealt = []
+            for h in batch.column(0).to_pylist():
+                dealt.append((h + seen[h]) % n)
                 seen[h] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "h", "symbols"])
+            yield pa.RecordBatch.from_arrays([pa.array(dealt, pa.int32()), batch.column(0), pa.array(parts, pa.binary())], ["shard", "h", "symbols"])
 
     rows = docs.select(F.xxhash64("id", "text").alias("h"), "text").mapInArrow(run, "shard int, h long, symbols binary")
-    return cut(rows.repartition(n, "shard").sortWithinPartitions("shard", "h"))
+    rows = cut(rows.repartition(n, "shard").sortWithinPartitions("shard", "h"))
+    return rows.withColumn("turn", F.col("shard") % ROUNDS)
 
 
 def fit_round(parts: DataFrame, model: GatedModel, end: int, turn: int) -> int:
@@ -370,8 +428,8 @@ def learn(docs: DataFrame) -> tuple[Vocabulary, dict[bytes, int], GatedModel, Da
     model = GatedModel(vocabulary.frequency)
     if total:
         parts = shards(docs, vocabulary)
-        for turn in range(PASSES):
-            fit_round(parts, model, vocabulary.end, turn)
+        for turn in range(ROUNDS):
+            fit_round(parts.where(F.col("turn") == turn), model, vocabulary.end, turn)
     held = docs.sparkSession.createDataFrame([(token_hash(w),) for w in words], "h long") if words else None
     others = counts.select(F.xxhash64("word").alias("h"), "c")
     return vocabulary, frequent, model, others.join(F.broadcast(held), "h", "left_anti") if held is not None else others
@@ -381,31 +439,33 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     """Per document: id, n_tokens, n_known, train_tokens, base_score and score; training marks the rows to learn from."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), training.alias("training"))
     vocabulary, frequent, model, others = learn(rows.where("training").select("id", "text"))
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, frequent, model))
+    sent = docs.sparkSession.sparkContext.broadcast((Lexicon(vocabulary, frequent), vocabulary.end, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, frequent, model = sent.value
-        logs = {w: float(np.log10(c + 1)) for w, c in frequent.items()}
+        lexicon, end, model = sent.value
 
         def scored(block: list) -> pa.RecordBatch:
-            out = [[] for _ in range(6)]
-            symbols = []
-            for key, text in block:
-                ws = tokens(text)
-                s = _symbols(ws, vocabulary)
-                symbols.append(s)
-                rare = [w for w in ws if w not in logs]
-                inside = sum([logs[w] for w in ws if w in logs])
-                # of tokens in a spelling group: the log10(c + 1) of frequent ones here, of rare ones by the join
-                tail = [w for w in ws if w not in vocabulary.symbol]
-                share = sum([logs[w] for w in tail if w in logs]) - sum([of_group[group_of(w)] for w in tail])
-                for c, v in zip(out, (key, len(ws), len(ws) - len(rare), inside, share, [token_hash(w) for w in rare]), strict=True):
-                    c.append(v)
-            neural = model.score(symbols, vocabulary.end)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(out, kinds, strict=True)], pa.array(neural)], ["id", "n_tokens", "known", "inside", "share", "rare", "neural"])
-
-        of_group = vocabulary.tail.tolist()
+            docs = [tokens(text) for _, text in block]
+            size = np.array([len(ws) for ws in docs])
+            ends = np.cumsum(size)
+            at, symbols, rare, groups = lexicon.read(docs)
+            del docs
+            missing = np.flatnonzero(at < 0)
+            known, inside, share = lexicon.known[at].astype(np.int64), lexicon.log[at], lexicon.share[at]
+            known[missing], inside[missing], share[missing] = 0, 0.0, -lexicon.tail[groups]
+            known, inside, share = (np.add.reduceat(x, ends - size) for x in (known, inside, share))
+            found = np.searchsorted(missing, np.concatenate([[0], ends]))
+            # a token of a document is one row (hash, times) of the join
+            hashed = np.array([token_hash(w) for w in rare], np.int64)
+            parts = [np.unique(hashed[i:j], return_counts=True) for i, j in zip(found[:-1], found[1:], strict=True)]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]), pa.int32())
+            hashes, times = (pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int64())) for x in zip(*parts, strict=True))
+            neural = model.score(np.split(symbols, ends[:-1]), end)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key for key, _ in block], pa.int64()), pa.array(size), pa.array(known), pa.array(inside), pa.array(share), hashes, times, pa.array(neural)],
+                ["id", "n_tokens", "known", "inside", "share", "rare", "times", "neural"],
+            )
+
         block, total = [], 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -417,10 +477,11 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
         if block:
             yield scored(block)
 
-    done = rows.select("id", "text").mapInArrow(run, "id long, n_tokens long, known long, inside double, share double, rare array<long>, neural double")
+    done = rows.select("id", "text").mapInArrow(run, "id long, n_tokens long, known long, inside double, share double, rare array<long>, times array<long>, neural double")
     done = cut(done.withColumn("row", F.monotonically_increasing_id()))
-    found = done.select("row", F.explode("rare").alias("h")).join(others, "h").groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("c") + 1)).alias("more"))
-    out = done.drop("rare").join(found, "row", "left").na.fill({"k": 0, "more": 0.0})
+    held = done.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), "x.times")
+    found = held.join(others, "h").groupBy("row").agg(F.sum("times").alias("k"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"))
+    out = done.drop("rare", "times").join(found, "row", "left").na.fill({"k": 0, "more": 0.0})
     whole = float(np.log10(vocabulary.total + 1 * (vocabulary.kinds + 1)))
     return out.select(
         F.col("id").alias(id_col), "n_tokens", (F.col("known") + F.col("k")).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"),

@@ -236,8 +236,9 @@ def test_weights_learn_from_all_training_rows(spark, monkeypatch):
     rows = same.unionByName(told).unionByName(spark.createDataFrame([(None, "p q r")] * 3, "id long, text string"))
     vocabulary, _, model, _ = language_model.learn(rows)
     parts = language_model.shards(rows, vocabulary)
-    assert parts.count() == rows.count() and parts.select("shard").distinct().count() > 1
-    assert language_model.fit_round(parts, model, vocabulary.end, 2) == vocabulary.total == 1400 * 61 + 3 * 4
+    assert parts.count() == rows.count() and parts.select("shard").distinct().count() >= language_model.ROUNDS
+    seen = [language_model.fit_round(parts.where(F.col("turn") == t), model, vocabulary.end, t) for t in range(language_model.ROUNDS)]
+    assert min(seen) > 0 and sum(seen) == vocabulary.total == 1400 * 61 + 3 * 4
     got = language_model.score_documents(rows, F.lit(True), "id").where("id IS NOT NULL").join(told.select("id"), "id").toPandas()
     assert ((got.score - got.base_score) / got.n_tokens > 0.2).all()
 
@@ -261,7 +262,7 @@ def test_model_is_a_distribution_and_gradients_are_right():
     def loss():
         return -m.log_probability(m.run(m.gates(), x, first, zero)[real].astype(np.float64), y[real])[0].mean()
 
-    grads, kept = {k: np.zeros_like(v) for k, v in m.p.items()}, []
+    grads, kept = {k: np.zeros_like(v) for k, v in m.p.items()}, language_model.room(x.shape, np.float64)
     states = m.run(m.gates(), x, first, zero, kept)
     _, dh = m.log_probability(states[real], y[real], grads, 1 / real.sum())
     dout = np.zeros_like(states)
@@ -277,6 +278,49 @@ def test_model_is_a_distribution_and_gradients_are_right():
         flat[i] = was
 
 
+def test_scores_against_a_plain_forward_pass(spark, monkeypatch):
+    """score of every document, token by token in plain Python floats, from the fitted weights and all counts."""
+    monkeypatch.setattr(language_model, "FREQUENT", 40)  # so that most tokens are scored by the join
+    r = random.Random(4)
+    data = [(i, " ".join(r.choice(["the", "of", "and", f"w{r.randint(0, 90)}", f"Z{r.randint(0, 9)}"]) for _ in range(r.randint(0, 90)))) for i in range(60)] + [(60, None), (3, "of of unseen"), (None, "the the")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    training = F.coalesce(F.col("doc_id") % 5 != 0, F.lit(True))
+    fitted = []
+    learn = language_model.learn
+    monkeypatch.setattr(language_model, "learn", lambda rows: fitted.append(learn(rows)) or fitted[0])
+    got = Counter((x.doc_id, round(x.score, 4)) for x in language_model.score_documents(docs, training).collect())
+    vocabulary, _, model, _ = fitted[0]
+    counts = Counter(w for i, t in data if i is None or i % 5 for w in language_model.tokens(t))
+    size, kinds = Counter(), Counter()
+    for w, c in counts.items():
+        if w not in vocabulary.symbol:
+            size[language_model.group_of(w)] += c
+            kinds[language_model.group_of(w)] += 1
+    p, n = {k: v.astype(float) for k, v in model.p.items()}, language_model.HIDDEN
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+
+    def plain(text):
+        h, before, total = np.zeros(n), vocabulary.end, 0.0
+        for w in language_model.tokens(text):
+            g = language_model.group_of(w)
+            y = vocabulary.symbol.get(w, vocabulary.symbol[g])
+            a, b = p["E"][before] @ p["W"] + p["b"], h @ p["U"]
+            z, s = sigmoid(a[:n] + b[:n]), sigmoid(a[n : 2 * n] + b[n : 2 * n])
+            h = (1 - z) * np.tanh(a[2 * n :] + s * b[2 * n :]) + z * h
+            k = int(model.class_of[y])
+            lo, hi = model.bounds[k], model.bounds[k + 1]
+            of_class, inside = np.exp(h @ p["C"] + p["cb"]), np.exp(p["S"][lo:hi] @ h + p["sb"][lo:hi])
+            total += np.log10(of_class[k] / of_class.sum()) + np.log10(inside[y - lo] / inside.sum())
+            if w not in vocabulary.symbol:
+                total += np.log10((counts[w] + 1) / (size[g] + kinds[g] + 1))
+            before = y
+        return total
+
+    want = [(i, plain(t)) for i, t in data]
+    assert sum(got.values()) == len(want)
+    assert all(any(i == j and abs(x - y) < 2e-3 for j, y in got) for i, x in want)
+
+
 def test_state_is_carried_across_windows():
     m = language_model.GatedModel(np.ones(20))
     docs = [np.random.default_rng(n).integers(0, 20, n) for n in (1, 300, 70)]
