@@ -19,11 +19,11 @@ meet in one task, whatever documents they stand in, and no task may get an unbou
    make a block too large; its windows are told apart by their own 128-bit hashes, in rows that Spark counts.
 5. Each segment's repeated windows are joined back to all its occurrences, and a last pass cuts the texts.
 
-Tables of places are broadcast if they have at most ``BROADCAST_ROWS`` rows, else joined by a shuffle.
+Tables of places are broadcast if they have at most ``BROADCAST_BYTES`` bytes, else joined by a shuffle.
 
 Edge cases: a null text counts as empty; texts shorter than ``length`` lose nothing; overlapping repeats inside
 one document count; rows with equal ids and equal texts are two documents, so both go (from length on); rows
-without an id are documents too; an empty table gives no rows; other columns are not read. Texts are used whole.
+without an id are documents too, told apart by two 64-bit hashes of their texts; an empty table gives no rows; other columns are not read. Texts are used whole.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from .common import cut, documents
 GRAM = 32
 BLOCK_BYTES = 1 << 20
 MOST_SEGMENTS = 4096
-BROADCAST_ROWS = 1 << 19
+BROADCAST_BYTES, KEY_BYTES, ROW_BYTES = 32 << 20, 64, 40  # of an entry's key and of one of its places
 _PIECE = 1 << 23
 _PLACE = np.uint64((1 << 24) - 1)
 _RANDOM = np.random.default_rng(9)
@@ -200,13 +200,14 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
             i = pa.array(i)
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(s), batch.column(0).take(i), batch.column(1).take(i), pa.array(lo), pa.array(hi)], ["gram", "s", "id", "h", "lo", "hi"])
 
-    return docs.select("id", "h", "text").mapInArrow(run, "gram long, s long, id long, h int, lo long, hi long")
+    return docs.select("id", "h", "text").mapInArrow(run, "gram long, s long, id long, h long, lo long, hi long")
 
 
-def _with_places(docs: DataFrame, places: DataFrame, how: str = "inner") -> DataFrame:
-    """docs joined with a table of one row a document (id, h)."""
+def _with_places(docs: DataFrame, places: DataFrame, places_col: str, how: str = "inner") -> DataFrame:
+    """docs joined with a table of one row a text of an id (id, h), broadcast if its places are few."""
     places = cut(places)
-    if places.count() <= BROADCAST_ROWS:
+    size = places.agg(F.coalesce(F.sum(KEY_BYTES + ROW_BYTES * F.size(places_col)), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
         places = F.broadcast(places)
     return docs.join(places, ["id", "h"], how)
 
@@ -214,20 +215,24 @@ def _with_places(docs: DataFrame, places: DataFrame, how: str = "inner") -> Data
 def cut_out(docs: DataFrame, spots: DataFrame, length: int) -> DataFrame:
     """(gram, s, id, h, lo, bytes) of the segments at spots (gram, s, id, h, lo, hi)."""
     places = spots.groupBy("id", "h").agg(F.collect_list(F.struct("gram", "s", "lo", "hi")).alias("spots"))
-    rows = _with_places(docs, places)
+    rows = _with_places(docs, places, "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()  # rows of one id and text hold the same spots; each is sent once a task
         for batch in batches:
             out = [[] for _ in range(6)]
             for key, h, text, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, h) in done:
+                    continue
+                done.add((key, h))
                 raw = _raw(text)
                 for p in spots:
                     for c, v in zip(out, (p["gram"], p["s"], key, h, p["lo"], raw[p["lo"] : p["hi"] + length]), strict=True):
                         c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            kinds = [*[pa.int64()] * 5, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["gram", "s", "id", "h", "lo", "bytes"])
 
-    return rows.select("id", "h", "text", "spots").mapInArrow(run, "gram long, s long, id long, h int, lo long, bytes binary")
+    return rows.select("id", "h", "text", "spots").mapInArrow(run, "gram long, s long, id long, h long, lo long, bytes binary")
 
 
 def expand_blocks(pieces: DataFrame, length: int) -> DataFrame:
@@ -276,7 +281,7 @@ def window_hashes(pieces: DataFrame, length: int) -> DataFrame:
             i = pa.array(i)
             yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), batch.column(0).take(i), batch.column(1).take(i), pa.array(lo)], ["w1", "w2", "id", "h", "lo"])
 
-    return pieces.select("id", "h", "lo", "bytes").mapInArrow(run, "w1 long, w2 long, id long, h int, lo long")
+    return pieces.select("id", "h", "lo", "bytes").mapInArrow(run, "w1 long, w2 long, id long, h long, lo long")
 
 
 def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
@@ -303,10 +308,11 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))  # rows without an id share one
-    docs = docs.select(key.alias("id"), F.hash(text).alias("h"), text.alias("text"), F.col(id_col).cast("long").alias("given"))
-    by_doc = repeated_runs(docs, length).groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-    rows = _with_places(docs, by_doc, "left").select("given", "text", "runs")
+    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("no id"), text))  # with h: 128 bits of hash
+    docs = docs.select(key.alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), F.col(id_col).cast("long").alias("given"))
+    # Rows of one id and text have the same runs, which count once: a group is never larger than one text's runs.
+    by_doc = repeated_runs(docs, length).groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    rows = _with_places(docs, by_doc, "runs", "left").select("given", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
