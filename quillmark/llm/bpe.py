@@ -8,9 +8,10 @@ once (a text with other or repeated white space is split whole):
 * all others become words of byte ids in DuckDB. A recursive query unnests them into token-position rows,
   joins neighbours with the merge table (left id, right id -> rank of the joined bytes), contracts each word's
   leftmost pair of minimum rank, and goes on with the words that still had a pair.
-* A piece of over ``LONG_PIECE`` bytes contracts all places of its minimum rank in one round where no token
-  that contains the new one has a lower rank (then the order of rounds can't matter), so a run of one
-  character takes a logarithmic number of rounds.
+* A piece of over ``LONG_PIECE`` bytes is a table of its own, which each round replaces. A round contracts every
+  pair that no merge near it can forestall (no token that a pair within reach of the longest token could become
+  part of has a lower rank) and the leftmost pair of minimum rank, which gives the tokens of one contraction at a
+  time in rounds that hardly depend on the length.
 
 The merge table holds every split of every token into two tokens, which makes the joins equal to looking the
 joined bytes up among the ranks. Decoding joins (document, position, id) rows with the vocabulary and
@@ -60,25 +61,39 @@ WITH RECURSIVE step AS (
 )
 SELECT ids FROM step WHERE NOT open ORDER BY w
 """
-ENCODE_LONG_SQL = """
-WITH RECURSIVE step AS (
-    SELECT 0 AS it, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM words
-  UNION ALL
-    (WITH ranked AS (SELECT it, p, id, rank, alone FROM (SELECT *, CAST(id AS BIGINT) * 4294967296 + lead(id) OVER (ORDER BY p) AS pair FROM step) LEFT JOIN merges USING (pair)),
-          least AS (SELECT min(rank) AS rank, min(rank * 4294967296 + p) & 4294967295 AS p FROM ranked),
-          hits AS (SELECT r.p, r.p - row_number() OVER (ORDER BY r.p) AS run FROM ranked r JOIN least l ON r.rank = l.rank AND (NOT r.alone OR r.p = l.p)),
-          taken AS (SELECT p FROM (SELECT p, row_number() OVER (PARTITION BY run ORDER BY p) AS k FROM hits) WHERE k % 2 = 1)
-     SELECT it + 1, CAST(CASE WHEN t.p IS NULL THEN r.id ELSE r.rank END AS INTEGER), row_number() OVER (ORDER BY r.p)
-     FROM ranked r LEFT JOIN taken t ON t.p = r.p
-     WHERE r.p - 1 NOT IN (SELECT p FROM taken) AND EXISTS (SELECT 1 FROM taken))
-)
-SELECT list(id ORDER BY p) AS ids FROM step WHERE it = (SELECT max(it) FROM step)
+#: A round over a long piece, which is the table ``piece`` (p, id). A pair is contracted if neither neighbour comes
+#: first and no pair within {reach} places that does come before it can lead to a token of no higher rank (and, where its
+#: own token is part of one of lower rank, if no pair there comes before it at all); the leftmost of least rank always.
+#: Ranks are doubled, so that a bound can lie between two.
+LONG_TAKEN_SQL = """
+CREATE OR REPLACE TABLE taken AS
+WITH ranked AS (
+    SELECT p, rank, after, CASE WHEN after > rank THEN 2 * after ELSE 2 * rank END AS soon
+    FROM (SELECT p, CAST(id AS BIGINT) * 4294967296 + lead(id) OVER (ORDER BY p) AS pair FROM piece) LEFT JOIN near USING (pair)),
+  seen AS (
+    SELECT p, rank, after, lag(rank) OVER (ORDER BY p) AS left_rank, lead(rank) OVER (ORDER BY p) AS right_rank,
+           min(rank) OVER (ORDER BY p ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS lowest,
+           min(soon) OVER (ORDER BY p ROWS BETWEEN {reach} PRECEDING AND 1 PRECEDING) AS before,
+           min(soon + CAST(after < rank AS INTEGER)) OVER (ORDER BY p ROWS BETWEEN 1 FOLLOWING AND {reach} FOLLOWING) AS behind,
+           min(rank * 4294967296 + p) OVER () AS first
+    FROM ranked),
+  judged AS (
+    SELECT p, rank, p - row_number() OVER (PARTITION BY rank ORDER BY p) AS run,
+           rank * 4294967296 + p = first
+           OR 2 * rank < coalesce(before, 2 * rank + 1) AND 2 * rank < coalesce(behind, 2 * rank + 1)
+              AND rank <= coalesce(left_rank, rank) AND rank <= coalesce(right_rank, rank) AND (after > rank OR rank = lowest) AS safe
+    FROM seen WHERE rank IS NOT NULL)
+SELECT p, rank FROM (SELECT p, rank, row_number() OVER w AS k, bool_and(safe) OVER w AS safe FROM judged WINDOW w AS (PARTITION BY rank, run ORDER BY p))
+WHERE safe AND k % 2 = 1
+"""
+LONG_CONTRACTED_SQL = """
+CREATE OR REPLACE TABLE piece AS
+SELECT row_number() OVER (ORDER BY r.p) AS p, CAST(coalesce(t.rank, r.id) AS INTEGER) AS id
+FROM piece r LEFT JOIN taken t ON t.p = r.p WHERE r.p - 1 NOT IN (SELECT p FROM taken)
 """
-#: One thread streams the unnested ids in order through the join (its sides are not swapped, see connect), so the
-#: aggregate receives the rows of a document in order of position.
 DECODE_SQL = """
-SELECT d, string_agg(piece, '') AS chars, count(*) - count(piece) AS unknown
-FROM (SELECT d, unnest(ids) AS id FROM id_lists) LEFT JOIN vocabulary USING (id)
+SELECT d, string_agg(piece, '' ORDER BY p) AS chars, count(*) - count(piece) AS unknown
+FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM id_lists) LEFT JOIN vocabulary USING (id)
 GROUP BY d
 """
 
@@ -119,14 +134,13 @@ class Codec:
                     right.append(b)
                     rank.append(r)
         left, right, rank = (np.array(x, np.int64) for x in (left, right, rank))
-        alone = np.zeros(max(ranks.values(), default=0) + 1, bool)  # tokens inside a token of lower rank
-        alone[left[rank < left]] = alone[right[rank < right]] = True
-        self.create("merges", pa.table({"pair": left * (1 << 32) + right, "rank": rank, "alone": alone[rank]}))
+        self.merges = left, right, rank
+        self.create("merges", pa.table({"pair": left * (1 << 32) + right, "rank": rank}))
         self.create("vocabulary", pa.table({"id": np.fromiter(ranks.values(), np.int32, len(ranks)), "piece": [t.decode("latin-1") for t in ranks]}))
 
     def create(self, name: str, table: pa.Table) -> None:
         self.con.register("given", table)
-        self.con.execute(f"CREATE TABLE {name} AS FROM given")
+        self.con.execute(f"CREATE OR REPLACE TABLE {name} AS FROM given")
         self.con.unregister("given")
 
     def query(self, sql: str, name: str, table: pa.Table) -> pa.Table:
@@ -135,17 +149,37 @@ class Codec:
         self.con.unregister(name)
         return out
 
-    def contract(self, raw: list[bytes], sql: str) -> list[bytes]:
+    def contract(self, raw: list[bytes]) -> list[bytes]:
         """Token ids, as bytes of int32, of each of the given words."""
         n = np.array([len(x) for x in raw])
         ids = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         if (ids < 0).any():
             raise ValueError("the vocabulary lacks a byte")
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids))
-        out = self.query(sql, "words", pa.table({"w": np.arange(len(raw)), "ids": lists})).column("ids").combine_chunks()
+        out = self.query(ENCODE_SQL, "words", pa.table({"w": np.arange(len(raw)), "ids": lists})).column("ids").combine_chunks()
         flat, ends = out.flatten().to_numpy().astype(np.int32).tobytes(), (np.cumsum(out.value_lengths().to_numpy()) * 4).tolist()
         return [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
+    def contract_long(self, raw: bytes) -> bytes:
+        """Token ids of one long word: rounds over a table that holds the present tokens only."""
+        ids = self.byte_ids[np.frombuffer(raw, np.uint8)]
+        if (ids < 0).any():
+            raise ValueError("the vocabulary lacks a byte")
+        held = [(len(token), r) for token, r in self.ranks.items() if token in raw]  # no other token can come up
+        known = np.zeros(max(self.ranks.values()) + 1, bool)
+        known[[r for _, r in held]] = True
+        left, right, rank = (x[known[self.merges[2]]] for x in self.merges)
+        after = np.full(len(known), 1 << 31)  # the least rank of a pair with the token
+        np.minimum.at(after, left, rank)
+        np.minimum.at(after, right, rank)
+        self.create("near", pa.table({"pair": left * (1 << 32) + right, "rank": rank, "after": after[rank]}))
+        self.create("piece", pa.table({"p": np.arange(1, len(ids) + 1), "id": ids}))
+        while True:
+            self.con.execute(LONG_TAKEN_SQL.format(reach=max(held)[0]))
+            if not self.con.execute("SELECT count(*) FROM taken").fetchall()[0][0]:
+                return self.con.sql("SELECT id FROM piece ORDER BY p").to_arrow_table().column(0).to_numpy().astype(np.int32).tobytes()
+            self.con.execute(LONG_CONTRACTED_SQL)
+
     def learn_pieces(self, pieces: set[str]) -> None:
         """Puts the tokens of pieces into the cache."""
         rest = []
@@ -159,10 +193,10 @@ class Codec:
         short = [x for x in rest if len(x[1]) <= LONG_PIECE]
         for i in range(0, len(short), WORDS_A_QUERY):
             part = short[i : i + WORDS_A_QUERY]
-            self.pieces.update(zip([w for w, _ in part], self.contract([raw for _, raw in part], ENCODE_SQL), strict=True))
+            self.pieces.update(zip([w for w, _ in part], self.contract([raw for _, raw in part]), strict=True))
         for w, raw in rest:
             if len(raw) > LONG_PIECE:
-                self.pieces[w] = self.contract([raw], ENCODE_LONG_SQL)[0]
+                self.pieces[w] = self.contract_long(raw)
 
     def chunked(self, text: str) -> list[str] | None:
         """Chunks that the pattern splits alike alone and in place: cut at single spaces and line ends.
