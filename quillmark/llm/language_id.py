@@ -3,7 +3,7 @@
 Training counts cover every labelled training row: each task adds up one (languages x buckets) table with
 ``numpy.bincount``, Spark sums the tables, and the driver receives at most languages x ``buckets`` cells,
 whatever the corpus size. The smoothed log-probabilities are broadcast as one matrix (buckets x languages,
-float32); tasks score Arrow batches by gathering the matrix rows of a text's n-grams and adding them up.
+float32); tasks score Arrow batches as products of a sparse matrix of texts by n-grams with it.
 
 A text is lower-cased, every run of other characters than letters becomes one space, and 1- to 3-grams of
 code points are hashed.
@@ -11,7 +11,8 @@ code points are hashed.
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is every text when nothing was
 learned (no labelled rows). Rows without a language aren't learned from. Repeated rows count each in
 training. Ties go to the first language by code point. An empty table gives no rows. Other columns are not
-read. Texts are used whole.
+read, or passed on; ``predict`` takes other names for its own two columns where docs has columns of these names.
+Texts are used whole.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import documents, id_mod
 
 BUCKETS = 1 << 14
+BLOCK_GRAMS = 1 << 19
 UNKNOWN = "und"
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
@@ -86,32 +88,65 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", buc
     return langs, np.ascontiguousarray(np.log(share / share.sum(1, keepdims=True)).T.astype(np.float32)), np.log(np.maximum(prior, 1e-12))
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", columns: list[Column] | None = None, keep_text: bool = False) -> DataFrame:
-    """The given columns (all others of docs by default), lang_pred and score (the posterior of the language)."""
+def log_probabilities(texts: list[str | None], matrix: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts x languages of log P(language, text), n-grams of each text).
+
+    The batch is a sparse matrix of texts by buckets, held as the columns and row ends of its entries; its product
+    with the log-probability matrix is taken in blocks of at most ``BLOCK_GRAMS`` entries.
+    """
+    out, sizes = np.tile(prior, (len(texts), 1)), np.zeros(len(texts), np.int64)
+    block, ids, total = [], [], 0
+
+    def multiply() -> None:
+        columns = np.concatenate(block)
+        ends = np.cumsum([len(g) for g in block])
+        for at in range(0, len(columns), BLOCK_GRAMS):  # of a longer text, piece by piece
+            upto = min(at + BLOCK_GRAMS, len(columns))
+            first = np.searchsorted(ends, at, side="right")
+            last = np.searchsorted(ends, upto, side="left")
+            starts = np.maximum(np.concatenate([[0], ends[:-1]])[first : last + 1], at) - at
+            out[np.array(ids)[first : last + 1]] += np.add.reduceat(matrix[columns[at:upto]], starts, dtype=np.float64)
+
+    for i, text in enumerate(texts):
+        grams = ngrams(text, len(matrix))
+        sizes[i] = len(grams)
+        if len(grams):
+            block.append(grams)
+            ids.append(i)
+            total += len(grams)
+        if total >= BLOCK_GRAMS:
+            multiply()
+            block, ids, total = [], [], 0
+    if block:
+        multiply()
+    return out, sizes
+
+
+def predict(
+    docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", columns: list[Column] | None = None,
+    keep_text: bool = False, lang_pred: str = "lang_pred", score: str = "score",
+) -> DataFrame:
+    """The given columns (all others of docs by default), and under the given names the language and its posterior."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    buckets = len(model[1])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, matrix, prior = sent.value
         for batch in batches:
-            picked, scores = [], []
-            for text in batch.column(batch.num_columns - 1):
-                grams = ngrams(text.as_py(), buckets) if langs else ()
-                if len(grams):
-                    log = prior + matrix[grams].sum(0, dtype=np.float64)
-                    best = int(log.argmax())
-                    picked.append(langs[best])
-                    scores.append(float(1 / np.exp(log - log[best]).sum()))
-                else:
-                    picked.append(UNKNOWN)
-                    scores.append(0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(picked, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            n = batch.num_rows
+            picked, scores = [UNKNOWN] * n, np.zeros(n)
+            if langs and n:
+                log, sizes = log_probabilities(batch.column(batch.num_columns - 1).to_pylist(), matrix, prior)
+                best = log.argmax(1)
+                told = sizes > 0
+                scores = np.where(told, 1 / np.exp(log - log[np.arange(n), best][:, None]).sum(1), 0.0)
+                picked = [langs[b] if known else UNKNOWN for b, known in zip(best.tolist(), told.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(picked, pa.string()), pa.array(scores, pa.float64())], [*names, lang_pred, score])
 
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] if columns is None else columns
     rows = docs.select(*others, F.col(text_col))
     names = rows.columns if keep_text else rows.columns[:-1]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(names)])
-    return rows.mapInArrow(score, f"{fields}lang_pred string, score double")
+    return rows.mapInArrow(run, f"{fields}`{lang_pred}` string, `{score}` double")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,8 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list | None = None) -> DataFrame:
-    """The given columns (all others of docs by default), score and predicted."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list | None = None, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """The given columns (all others of docs by default), and under the given names the score and the class."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] if columns is None else columns
     rows = docs.select(*others, F.col(text_col))
@@ -174,10 +174,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list |
         of, m = Features(), sent.value
         for batch in batches:
             p = np.array([m.score(of(t.as_py())) for t in batch.column(batch.num_columns - 1)], np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, score_col, predicted_col])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}score double, predicted int")
+    return rows.mapInArrow(run, f"{fields}`{score_col}` double, `{predicted_col}` int")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
