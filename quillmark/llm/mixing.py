@@ -14,6 +14,8 @@ half of it fits, so the source misses its target by half a document at most. The
 order has two levels (4096 hash ranges a source, then the documents of one range), so a source that holds a
 third of all rows is spread over thousands of window groups.
 
+Rows without an id are dealt by their texts.
+
 Edge cases: a null or blank text has size 0 and is taken 0 times; a null source is a source of its own;
 repeated rows count each; an empty table gives no rows; other columns are not read.
 """
@@ -62,7 +64,7 @@ def mix_sources(
 
     With row_col, also the row of docs itself as a struct of that name, so that no join on the id is needed.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), text_or_empty(F.col(text_col))))).cast("binary"))
     sized = (
         docs.select(
             F.col(id_col).alias("id"),
@@ -101,7 +103,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'text ' || coalesce(text, ''))) AS h
   FROM documents),
 src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

@@ -8,8 +8,8 @@
    on candidates from seeded templates (``training_texts``: ``EXAMPLES`` rows, a documented bound; it needs no
    corpus rows), and compiled into one SQL expression, so that scoring is part of the same projection.
 4. Thresholds a kind are calibrated on templates kept out of training: the larger of ``LEAST_PROBABILITY`` and
-   the highest score of a negative. Candidates over the threshold that don't touch a base span are added; of
-   those that overlap each other the likelier one stays, then the earlier, then the longer.
+   the highest score of a negative. Candidates over the threshold that don't touch a base span are added, unless
+   they overlap a likelier one (of equals the earlier, then the longer), whether or not that one is added itself.
 
 Offsets count code points; ends are exclusive. A row costs time in proportion to its text, times its number of
 matches only where offsets are taken. No shuffle, no Python on the executors.
