@@ -5,7 +5,8 @@ Stages between two writes keep nothing in memory, so a lost executor costs the t
 
 Edge cases follow the operators: null, empty and letterless texts are rejected by the first stage; of rows with
 equal ids and texts the duplicate stage keeps one, and all rows without an id; the mixing stage takes each row as often
-as its own place asks for, also rows without an id or of one id; an empty table passes through with its columns.
+as its own place asks for, also rows without an id or of one id; an empty table passes through with its columns;
+further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import bpe, language_id, mixing, ngram_join, pii
-from quillmark.llm.common import cut, shared_dir
+from quillmark.llm.common import cut, free_name, shared_dir
 
 #: A document is rejected if its language can't be told at all, or not with this posterior.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -24,8 +25,9 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID learned from the documents' own language labels; rejected documents go."""
-    told = language_id.predict(docs, language_id.fit(docs), keep_text=True)
-    told = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    lang, score = free_name("lang_pred", docs.columns), free_name("score", docs.columns)
+    told = language_id.predict(docs, language_id.fit(docs), keep_text=True, lang_pred=lang, score=score)
+    told = told.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE))
     return told.select(*docs.columns)
 
 
@@ -53,12 +55,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the columns of docs but the text."""
+    """Columns ids and n_tokens of each document, with the columns of docs but the text (``ids_`` if docs has one of that name)."""
     import public_tokenizers
 
+    ids_col, n_col = free_name("ids", docs.columns), free_name("n_tokens", docs.columns)
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return ids.withColumn("n_tokens", F.size("ids").cast("long"))
+    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN, ids_col=ids_col)
+    return ids.withColumn(n_col, F.size(ids_col).cast("long"))
 
 
 STAGES = [
