@@ -15,10 +15,11 @@ that the set sizes rule out are dropped between blocks:
 4. Longer columns (one passage or one group of copies in thousands of documents) are not multiplied in full.
    Each member is first compared with a pivot, the most central member of its columns (the original of a
    group of copies has the largest share of its n-grams in long columns). Members that turn out connected
-   need no further products. Those left take a new order of all their n-grams, rarest first among themselves,
-   and their first n-grams in that order make the block: columns that are long again are compared with one
-   member first, and what stays unconnected is multiplied, pairs of one component left out. Work on a wide
-   column is dealt over tasks by its members. No link between two components is lost.
+   need no further products. Two others with overlaps o_a and o_b with one pivot can reach the needed overlap
+   only if they share enough n-grams outside the pivot (those columns are multiplied instead, by the same rules: a
+   pivot for long ones, then the prefixes that the sizes leave), or if o_a and o_b are both that large. Members of
+   one column with different pivots are multiplied in full. Joins with what is known of a wide column or of a pivot
+   are dealt over tasks by their members. No link between two components is lost.
 5. Surviving pairs get their whole overlap from the whole sets, computed again from the texts of the
    documents involved only. Pairs inside one component are skipped, as they cannot change the result.
 
@@ -168,6 +169,11 @@ def _sized(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
+def _in_short_prefix(percent: int):
+    """True for the first n - ceil(2t / (1 + t) * n) + 1 entries of a row; a set that is no smaller can't miss them all."""
+    return F.col("at") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
+
+
 def beside(rows: DataFrame, keys: list[str], *columns) -> DataFrame:
     """rows (with rep) and aggregates of their group; the members of a wide group are dealt over ``PARTS`` tasks."""
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(PARTS)))
@@ -189,7 +195,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     block = cut(entries.join(columns, "s"))
     short, long = block.where(F.col("width") <= column), block.where(F.col("width") > column)
     beyond = cut(long.groupBy("rep").agg(F.count("*").alias("in_long")))
-    long = cut(long.join(beyond, "rep").select("s", "rep", "n", F.struct((F.col("in_long") / F.col("p")).alias("share"), (-F.col("rep")).alias("low")).alias("central")))
+    long = cut(long.join(beyond, "rep").select("s", "rep", "n", _in_short_prefix(percent).alias("early"), F.struct((F.col("in_long") / F.col("p")).alias("share"), (-F.col("rep")).alias("low")).alias("central")))
 
     # 3. short columns in full
     row = cut(short.join(beyond, "rep", "left").select("s", "rep", "n", (F.col("n") - F.col("p") + F.coalesce("in_long", F.lit(0))).alias("rest")))
@@ -217,43 +223,64 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         every = cut(tagged(long, "rep", labels, "c"))
         return cut(beside(every, ["s"], F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").drop("c0", "c1"))
 
-    def pivot_links(rows: DataFrame) -> DataFrame:
-        """Links of each member with the most central pivot of its columns."""
-        of = beside(rows, ["s"], F.max(F.struct("central", "rep", "n")).alias("pivot")).groupBy("rep", "n").agg(F.max("pivot").alias("pivot"))
-        of = cut(of.select("rep", F.col("n").alias("nb"), F.col("pivot.rep").alias("p"), F.col("pivot.n").alias("na")).where("rep <> p"))
-        whole = sets.join(of.select(F.col("p").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("p"), F.col("s").alias("sp"))
-        dealt = of.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(PARTS)))
+    def with_sets(of: DataFrame) -> DataFrame:
+        """of (p, rep, ...), many members rep with few pivots p, and both sets sx and sp; a pivot's members are dealt over tasks."""
+        dealt = cut(of).withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(PARTS)))
+        whole = sets.join(dealt.select(F.col("p").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("p"), F.col("s").alias("sp"))
         whole = dealt.select("p", "part").distinct().join(whole, "p")
-        both = dealt.join(sets, "rep").join(whole, ["p", "part"])
-        return both.where(F.size(F.array_intersect("s", "sp")) >= _needed(percent)).select(F.col("rep").alias("u"), F.col("p").alias("v"))
+        return dealt.join(sets.withColumnRenamed("s", "sx"), "rep").join(whole, ["p", "part"])
 
-    def local_prefixes(rows: DataFrame) -> DataFrame:
-        """(rep, n, c, rest, v, k, w, low): the n-grams of each member that come first in the members' own order, rarest first.
-
-        k members have the n-gram v, w of them among their first ones, low being the least of these.
+    def with_pivots(rows: DataFrame) -> DataFrame:
+        """(rep, n, p, np, o, u): for each member the most central pivot of its columns, the overlap, and the n-grams outside it."""
+        of = beside(rows, ["s"], F.max(F.struct("central", "rep", "n")).alias("pivot")).groupBy("rep", "n").agg(F.max("pivot").alias("pivot"))
+        both = with_sets(of.select("rep", "n", F.col("pivot.rep").alias("p"), F.col("pivot.n").alias("np")))
+        return cut(both.select("rep", "n", "p", "np", F.size(F.array_intersect("sx", "sp")).alias("o"), F.array_except("sx", "sp").alias("u")))
+
+    def ends(rows: DataFrame, x: str) -> DataFrame:
+        """The columns of one end of a pair."""
+        return rows.select(*[c for c in ("s", "p", "v") if c in rows.columns], *[F.col(c).alias(x if c == "rep" else c + x) for c in ("rep", "n", "c", "o", "r") if c in rows.columns])
+
+    def residual(rows: DataFrame) -> DataFrame:
+        """Each member's n-grams outside of its pivot, with k, how many members of that pivot have them."""
+        members = rows.select("rep", "n", "c", "p", "o", "u").dropDuplicates(["rep"])
+        outside = members.select("rep", "n", "c", "p", "o", F.size("u").alias("size"), F.explode("u").alias("v"))
+        return cut(beside(cut(outside), ["p", "v"], F.count("*").alias("k"), F.min(F.struct("rep", "n", "c")).alias("low")))
+
+    def second_pivots(rows: DataFrame) -> DataFrame:
+        """Links of members of a long column outside of their pivot (a family inside a group of copies) with its first member."""
+        of = residual(rows).where(F.col("k") > column).groupBy("rep", "n", "c").agg(F.max_by("low", F.struct("k", "low")).alias("low"))
+        of = of.where(F.col("low.c") != F.col("c")).select("rep", F.col("n").alias("nb"), F.col("low.rep").alias("p"), F.col("low.n").alias("na"))
+        both = with_sets(of.where(_sized(percent)))
+        return both.where(F.size(F.array_intersect("sx", "sp")) >= _needed(percent)).select(F.col("rep").alias("u"), F.col("p").alias("v"))
+
+    def possible(rows: DataFrame) -> DataFrame:
+        """Pairs of unconnected members of long columns that the overlaps with their pivots don't rule out.
+
+        With one pivot p, |x & y| <= min(|x & p|, |y & p|) + |(x - p) & (y - p)|: a pair either shares
+        n-grams outside of p, or both overlap p as much as the pair itself must.
         """
-        members = rows.select("rep", "n", "c").distinct()
-        whole = cut(members.join(sets, "rep").select("rep", "n", "c", F.explode("s").alias("v")))
-        place = F.row_number().over(Window.partitionBy("rep").orderBy("k", "v"))
-        first = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-        early = beside(whole, ["v"], F.count("*").alias("k")).withColumn("place", place).where((F.col("place") <= first) & (F.col("k") > 1))
-        early = cut(early.select("rep", "n", "c", (F.col("n") - first).alias("rest"), "v"))
-        return cut(beside(early, ["v"], F.count("*").alias("w"), F.min("rep").alias("low")).where("w > 1"))
-
-    def local_pivots(first: DataFrame) -> DataFrame:
-        """Members of columns that are long in the local order too (a family inside a group) against the column's first member."""
-        of = first.where(F.col("w") > column).groupBy("rep", "n", "c").agg(F.max_by("low", F.struct("w", "low")).alias("low"))
-        other = first.select(F.col("rep").alias("low"), F.col("n").alias("n2"), F.col("c").alias("c2")).dropDuplicates(["low"])
-        return of.join(other, "low").where("c <> c2").select(F.col("low").alias("a"), F.col("rep").alias("b"), F.col("n2").alias("na"), F.col("n").alias("nb")).where(_sized(percent))
-
-    def local_pairs(first: DataFrame) -> DataFrame:
-        """Pairs of members of two components that the local prefixes don't rule out; a wide column's product is dealt in parts."""
-        parts = F.ceil(F.col("w") / column).cast("int")
-        a = first.select("v", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), *[F.col(c).alias(c[0] + "a" if c != "rep" else "a") for c in ("rep", "n", "c", "rest")])
-        b = first.select("v", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(c[0] + "b" if c != "rep" else "b") for c in ("rep", "n", "c", "rest")])
-        found = a.join(b, ["v", "part"]).where("a < b AND ca <> cb").where(_sized(percent))
-        found = found.groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.count("*").alias("shared"))
-        return found.where(F.col("shared") + F.greatest("ra", "rb") >= _needed(percent)).select("a", "b", "na", "nb")
+        apart = (F.col("ca") != F.col("cb")) & _sized(percent)
+        outside = residual(rows)
+        # x shares at least ceil(t * n) - o n-grams outside of p with any partner, so among its first
+        # size - that + 1 of them, rarest first, one is shared
+        least = F.greatest(F.ceil(F.lit(percent) * F.col("n") / 100) - F.col("o"), F.lit(1))
+        order = F.row_number().over(Window.partitionBy("rep").orderBy("k", "v"))
+        first = outside.withColumn("place", order).withColumn("m", F.greatest(F.col("size") - least + 1, F.lit(0))).where("place <= m AND k > 1")
+        first = first.withColumn("r", F.col("size") - F.col("m"))
+        shared = ends(first, "a").join(ends(first, "b"), ["p", "v"]).where("a < b").where(apart)
+        shared = shared.groupBy("a", "b", "na", "nb", "oa", "ob", "ra", "rb").agg(F.count("*").alias("shared"))
+        shared = shared.where(F.col("shared") + F.greatest("ra", "rb") + F.least("oa", "ob") >= _needed(percent))
+        # the smaller set of a pair shares one of its early n-grams, and must itself overlap p by 2t / (1 + t)
+        smaller = rows.where("early").where((100 + percent) * F.col("o") >= 2 * percent * F.col("n"))
+        inside = ends(smaller, "a").join(ends(rows, "b"), ["s", "p"]).where("na < nb OR na = nb AND a < b").where(apart)
+        inside = inside.where(F.least("oa", "ob") >= _needed(percent))
+        # members of one column with different pivots
+        several = beside(rows, ["s"], F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1 AND p <> p1").drop("p0", "p1")
+        few = ends(several, "a").withColumnRenamed("p", "pa")
+        across = few.join(ends(rows, "b").withColumnRenamed("p", "pb"), "s").where("pa <> pb").where(apart)
+        pick = lambda x, y, name: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(name)
+        across = across.select(F.least("a", "b").alias("a0"), F.greatest("a", "b").alias("b0"), pick("na", "nb", "n0"), pick("nb", "na", "n1")).toDF("a", "b", "na", "nb")
+        return shared.select("a", "b", "na", "nb").union(inside.select("a", "b", "na", "nb")).union(across).distinct()
 
     # 4. and 5. each document against its smallest partner, the other pairs, pivots, then what is not connected yet
     nearest = pairs.groupBy("b").agg(F.min_by(F.struct("a", "na", "nb"), "a").alias("x")).select("x.a", "b", "x.na", "x.nb")
@@ -262,9 +289,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = joined_components(labels, links(left))
     rows = unsettled(labels)
     if not rows.isEmpty():
-        labels = joined_components(labels, pivot_links(rows))
-        labels = joined_components(labels, links(local_pivots(local_prefixes(unsettled(labels)))))
-        labels = joined_components(labels, links(local_pairs(local_prefixes(unsettled(labels)))))
+        pivoted = with_pivots(rows)
+        direct = pivoted.where("rep <> p").where(F.col("o") >= F.ceil(F.lit(percent) * (F.col("n") + F.col("np")) / F.lit(100 + percent)))
+        labels = joined_components(labels, direct.select(F.col("rep").alias("u"), F.col("p").alias("v")))
+        known = pivoted.select("rep", "p", "o", "u")
+        labels = joined_components(labels, second_pivots(cut(unsettled(labels).join(known, "rep"))))
+        labels = joined_components(labels, links(possible(cut(unsettled(labels).join(known, "rep")))))
 
     # Rows of one id are one document: all their classes are connected.
     rows = heads.select("id", "n", "s1", "s2")
