@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +33,35 @@ def similar_titles(df: DataFrame, row_id: str, words: str, threshold: float = 0.
     return scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query, neighbour, score, rank): the k rows of largest dot product for each of a few stated queries.
+def sharing_tokens(df: DataFrame, row_id: str, group: str, words: str, least: int) -> DataFrame:
+    """Pairs (a, b, shared, overlap) of rows of one group that share at least so many tokens.
+
+    With tokens of a group rarest first, the first token that a pair shares stands before the last least - 1 of each.
+    """
+    sets = df.select(F.col(row_id).alias("id"), F.col(group).alias("g"), F.array_distinct(words).alias("w")).where(F.size("w") >= least)
+    entries = sets.select("id", "g", F.explode("w").alias("t"))
+    rarity = entries.groupBy("g", "t").agg(F.count("*").alias("df"))
+    ranked = entries.join(rarity, ["g", "t"]).groupBy("id", "g").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("by"))
+    first = ranked.select("id", "g", F.explode(F.slice("by", F.lit(1), F.size("by") - (least - 1))).alias("x")).where("x.df > 1").select("id", "g", "x.t")
+    pairs = first.toDF("a", "g", "t").join(first.toDF("b", "g", "t"), ["g", "t"]).where("a < b").select("a", "b").distinct()
+    x, y = sets.select(F.col("id").alias("a"), F.col("w").alias("wa")), sets.select(F.col("id").alias("b"), F.col("w").alias("wb"))
+    shared = F.size(F.array_intersect("wa", "wb"))
+    scored = pairs.join(x, "a").join(y, "b").select("a", "b", shared.alias("shared"), (shared / F.least(F.size("wa"), F.size("wb"))).alias("overlap"))
+    return scored.where(F.col("shared") >= least)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+    """(query, neighbour, score): the k rows of largest dot product for each stated query.
 
-    The queries are broadcast (callers keep them few). Spark's window group limit keeps k rows a query in each task
-    before the shuffle, so what moves is k rows a query and task.
+    Queries are taken in blocks of about ``block`` by a hash of their ids; a block is broadcast (a few MB), so what a
+    task holds doesn't grow with the queries. Spark's window group limit keeps k rows a query in each task before the
+    shuffle, so what moves is k rows a query and task.
     """
-    q = F.broadcast(queries.select(F.col(row_id).alias("query"), F.col(vector).alias("qv")))
-    scored = vectors.join(q, F.col(row_id) != F.col("query")).select("query", F.col(row_id).alias("neighbour"), values.dot(F.col("qv"), F.col(vector)).alias("score"))
-    top = cap_per_group(scored, "query", [F.desc("score"), "neighbour"], k)
-    return top.select("query", "neighbour", "score")
+    q = queries.select(F.col(row_id).alias("query"), F.col(vector).alias("qv"))
+    blocks = max(1, -(-q.count() // block))
+    found = []
+    for i in range(blocks):
+        part = F.broadcast(q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i))
+        scored = vectors.join(part, F.col(row_id) != F.col("query")).select("query", F.col(row_id).alias("neighbour"), values.dot(F.col("qv"), F.col(vector)).alias("score"))
+        found.append(cap_per_group(scored, "query", [F.desc("score"), "neighbour"], k))
+    return reduce(DataFrame.unionByName, found).select("query", "neighbour", "score")

@@ -13,13 +13,13 @@ from .tables import CANONICAL, DOC_ITEMS, PAGE_ITEMS, doc_items, page_items, tab
 LEXICON = {"thing": ["thein", "other things"], "place": ["ouer", "where"]}
 
 
-@query("cls10_query_expansion", r"""WITH t AS (SELECT conv_id, turn, lower(left(text, 60)) AS q FROM conversations WHERE role = 'user'),
+@query("cls10_query_expansion", r"""WITH t AS (SELECT conv_id, turn, lower(text) AS q FROM conversations WHERE role = 'user'),
     w AS (SELECT conv_id, turn, q, list_filter(regexp_split_to_array(regexp_replace(q, '[^\p{L}\p{N}\s-]', ' ', 'g'), '\s+'), lambda x: length(x) > 1) AS ws FROM t)
     SELECT conv_id, turn, array_to_string(list_sort(list_distinct(ws || CASE WHEN contains(q, 'thing') OR contains(q, 'thein') OR contains(q, 'other things') THEN ['thing', 'thein', 'other', 'things'] ELSE [] END
       || CASE WHEN contains(q, 'place') OR contains(q, 'ouer') OR contains(q, 'where') THEN ['place', 'ouer', 'where'] ELSE [] END)), ' ') AS terms FROM w""")
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return c.select("conv_id", "turn", F.array_join(F.array_sort(curate.expand_query(F.left("text", F.lit(60)), LEXICON)), " ").alias("terms"))
+    return c.select("conv_id", "turn", F.array_join(F.array_sort(curate.expand_query(F.col("text"), LEXICON)), " ").alias("terms"))
 
 
 @query("cls12_source_profile", """SELECT doc_id, CASE WHEN regexp_matches(source, '^src1[0-9]$') THEN 'teens' WHEN regexp_matches(source, '[02468]$') THEN 'even' ELSE 'plain' END AS profile,
@@ -122,9 +122,9 @@ def dates_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("host", F.array_join("d", ",").alias("dates"), F.size("d").cast("long").alias("n"))
 
 
-@query("agg16_cluster_filter", "WITH c AS (SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 3 = 0 GROUP BY 1 HAVING count(*) >= 2) SELECT label, n FROM c ORDER BY n DESC, label LIMIT 10")
+@query("agg16_cluster_filter", "WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1 HAVING count(*) >= 2) SELECT label, n FROM c ORDER BY n DESC, label LIMIT 10")
 def cluster_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "embeddings").where("vec_id % 3 = 0").groupBy("label").agg(F.count("*").alias("n")).where("n >= 2")
+    c = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n")).where("n >= 2")
     return c.orderBy(F.desc("n"), "label").limit(10)
 
 
@@ -161,11 +161,11 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.regexp_count("html", F.lit("&amp;")).cast("long").alias("n"), F.md5(text.decode_entities(F.col("html")).cast("binary")).alias("digest"))
 
 
-@query("fn29_same_meaning", r"""WITH d AS (SELECT doc_id, regexp_replace(lower(left(text, 30)), '[^\p{L}\p{N}]+', '', 'g') AS a, regexp_replace(lower(left(text, 12)), '[^\p{L}\p{N}]+', '', 'g') AS b, regexp_replace(lower(lang), '[^\p{L}\p{N}]+', '', 'g') AS c FROM documents)
+@query("fn29_same_meaning", r"""WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS a, regexp_replace(lower(regexp_extract(text, '^([^\n]*)', 1)), '[^\p{L}\p{N}]+', '', 'g') AS b, regexp_replace(lower(lang), '[^\p{L}\p{N}]+', '', 'g') AS c FROM documents)
     SELECT doc_id, a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a)) AS same, a <> '' AND c <> '' AND (contains(a, c) OR contains(c, a)) AS of_lang FROM d""")
 def same_meaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = F.left("text", F.lit(30))
-    return table(spark, sf_dir, "documents").select("doc_id", text.same_meaning(a, F.left("text", F.lit(12))).alias("same"), text.same_meaning(a, F.col("lang")).alias("of_lang"))
+    a = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.same_meaning(a, F.regexp_extract("text", r"^([^\n]*)", 1)).alias("same"), text.same_meaning(a, F.col("lang")).alias("of_lang"))
 
 
 @query("flt06_same_site", f"WITH {PAGE_ITEMS} SELECT id FROM items WHERE (host = 'example.com' OR ends_with(host, '.example.com')) AND NOT regexp_matches(lower(url), '/(wp-admin|tag|tags|author|category|feed|assets)(/|$)|[?&](s|q)=')")

@@ -33,13 +33,13 @@ def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), ["stupid", "licensed"]).alias("snippet"))
 
 
-@query("fn16_evidence_sentence", r"""WITH d AS (SELECT doc_id, text FROM documents WHERE n_chars < 4000),
+@query("fn16_evidence_sentence", r"""WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
     s AS (SELECT doc_id, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) - 1 AS i FROM d),
     r AS (SELECT doc_id, s, i, 3.0 * (CAST(contains(lower(s), 'the') AS INT) + CAST(contains(lower(s), 'that') AS INT)) + CASE WHEN length(s) BETWEEN 60 AND 240 THEN 4 WHEN length(s) < 30 THEN -4 ELSE 1 END - 0.15 * i AS score FROM s)
     SELECT doc_id, left(arg_max(s, score - i * 1e-9), 280) AS evidence FROM r GROUP BY 1""")
 def evidence_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best sentence of a text: term hits, length, early position; ties to the earlier."""
-    d = table(spark, sf_dir, "documents").where("n_chars < 4000").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
     s = d.select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("i", "s"))
     n = F.length("s")
     score = 3.0 * text.hits(F.col("s"), ["the", "that"]) + F.when(n.between(60, 240), 4).when(n < 30, -4).otherwise(1) - 0.15 * F.col("i")
@@ -51,16 +51,16 @@ def compact_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_items(spark, sf_dir).select("id", text.compact(F.col("title"), 40).alias("t"))
 
 
-@query("fn28_title_overlap", rf"""WITH {DOC_ITEMS}, w AS (SELECT id, source, list_distinct(list_filter(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]{{2,}}'), lambda x: NOT list_contains([{_STOP}], x))) AS w FROM docs WHERE id < 400)
+@query("fn28_title_overlap", rf"""WITH {DOC_ITEMS}, w AS (SELECT id, source, list_distinct(list_filter(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]{{2,}}'), lambda x: NOT list_contains([{_STOP}], x))) AS w FROM docs)
     SELECT a.id AS a, b.id AS b, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / least(len(a.w), len(b.w)) AS overlap FROM w a JOIN w b ON a.source = b.source AND a.id < b.id
     WHERE len(list_intersect(a.w, b.w)) >= 3""")
 def title_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap coefficients of titles of one source that share three tokens, by an inverted index inside the source."""
-    w = doc_items(spark, sf_dir).where("id < 400").select("id", "source", text.title_tokens(F.col("title"), stop_words()).alias("w"))
-    e = w.select("id", "source", F.size("w").alias("n"), F.explode("w").alias("t"))
-    a, b = e.toDF("a", "source", "na", "t"), e.toDF("b", "source", "nb", "t")
-    pairs = a.join(b, ["source", "t"]).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n")).where("n >= 3")
-    return pairs.select("a", "b", (F.col("n") / F.least("na", "nb")).alias("overlap"))
+    """Overlap coefficients of titles of one source that share three tokens.
+
+    Such a pair shares one of either title's tokens but its last two, rarest first, so only those are joined.
+    """
+    w = doc_items(spark, sf_dir).select("id", "source", text.title_tokens(F.col("title"), stop_words()).alias("w"))
+    return similar.sharing_tokens(w, "id", "source", "w", 3).select("a", "b", "overlap")
 
 
 @query("jn13_similar_titles", rf"""WITH {DOC_ITEMS}, w AS (SELECT id, list_distinct(list_filter(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]{{2,}}'), lambda x: NOT list_contains([{_STOP}], x))) AS w FROM docs)
@@ -104,11 +104,11 @@ def top_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("cls11_intent_rules", r"""WITH r(axis, term) AS (VALUES ('people', 'thei'), ('people', 'wher'), ('place', 'ation'), ('place', 'ouer'), ('time', 'erst'), ('time', 'enti'))
-    SELECT doc_id, axis, count(*) AS hits FROM documents JOIN r ON contains(lower(text), term) WHERE n_chars < 600 GROUP BY 1, 2""")
+    SELECT doc_id, axis, count(*) AS hits FROM documents JOIN r ON contains(lower(text), term) GROUP BY 1, 2""")
 def intent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule table against texts: every rule is a Column, so that rows meet all rules without a join."""
     rules = [("people", "thei"), ("people", "wher"), ("place", "ation"), ("place", "ouer"), ("time", "erst"), ("time", "enti")]
-    return scoring.rule_hits(table(spark, sf_dir, "documents").where("n_chars < 600"), "doc_id", F.lower("text"), rules)
+    return scoring.rule_hits(table(spark, sf_dir, "documents"), "doc_id", F.lower("text"), rules)
 
 
 @query("cls16_quality_score", """WITH s AS (SELECT doc_id, least(30, length(text) // 100) AS trust, least(20, 5 * (CAST(contains(text, 'the') AS INT) + CAST(contains(text, 'and') AS INT))) AS relevance, CASE WHEN contains(text, '***') THEN 12 ELSE 0 END AS penalty FROM documents),

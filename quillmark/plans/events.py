@@ -50,14 +50,14 @@ def one_kst_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where((t >= F.expr("TIMESTAMP_NTZ '2024-01-09 15:00:00'")) & (t < F.expr("TIMESTAMP_NTZ '2024-01-10 15:00:00'"))).select("event_id")
 
 
-@query("agg13_gap_fill", f"""WITH d AS (SELECT {DAY} AS day, count(*) AS n FROM events WHERE event_type = 'error' AND user_id % 9 = 0 GROUP BY 1),
+@query("agg13_gap_fill", f"""WITH d AS (SELECT {DAY} AS day, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1),
     s AS (SELECT CAST(unnest(range(min(day), max(day) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM d)
-    SELECT CAST(s.day AS VARCHAR) AS day, coalesce(n, 0) AS n, greatest(15 - coalesce(n, 0), 0) AS missing FROM s LEFT JOIN d ON s.day = d.day""")
+    SELECT CAST(s.day AS VARCHAR) AS day, coalesce(n, 0) AS n, greatest(200 - coalesce(n, 0), 0) AS missing FROM s LEFT JOIN d ON s.day = d.day""")
 def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every day from the first to the last, with its count and what it lacks to the target of 15."""
-    d = _events(spark, sf_dir).where("event_type = 'error' AND user_id % 9 = 0").groupBy(values.kst_day(F.col("ts")).alias("day")).agg(F.count("*").alias("n"))
+    """Every day from the first to the last, with its count and what it lacks to the target of 200."""
+    d = _events(spark, sf_dir).where("event_type = 'error'").groupBy(values.kst_day(F.col("ts")).alias("day")).agg(F.count("*").alias("n"))
     spine = d.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
-    return spine.join(d, "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("n"), F.greatest(15 - F.coalesce("n", F.lit(0)), F.lit(0)).alias("missing"))
+    return spine.join(d, "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("n"), F.greatest(200 - F.coalesce("n", F.lit(0)), F.lit(0)).alias("missing"))
 
 
 @query("win02_todays_picks", f"""WITH e AS (SELECT event_id, user_id, event_type, value, {DAY} AS day, dense_rank() OVER (ORDER BY {DAY} DESC) AS dr FROM events),

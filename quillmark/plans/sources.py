@@ -21,7 +21,7 @@ def _xml(c):
 
 def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feeds of a source, a page for each PAGE ids: RSS for even documents, Atom for odd ones."""
-    d = doc_items(spark, sf_dir).where("title <> ''").select("id", "source", "title", F.regexp_replace(F.left("text", F.lit(600)), r"\s+", " ").alias("body"))
+    d = doc_items(spark, sf_dir).where("title <> ''").select("id", "source", "title", F.regexp_replace("text", r"\s+", " ").alias("body"))
     rss = F.concat(F.lit("<item><title>"), _xml(F.col("title")), F.lit("</title><link>/doc/"), F.col("id").cast("string"), F.lit("</link><pubDate>Tue, 05 Mar 2024 10:00:00 +0000</pubDate><description>"), _xml(F.col("body")), F.lit("</description></item>"))
     atom = F.concat(F.lit("<entry><title>"), _xml(F.col("title")), F.lit('</title><link rel="self" href="/self"/><link rel="alternate" href="https://feeds.example.com/doc/'), F.col("id").cast("string"), F.lit('"/><updated>2024-03-05T10:00:00Z</updated><summary>'), _xml(F.col("body")), F.lit("</summary></entry>"))
     block = F.when(F.col("id") % 2 == 0, rss).otherwise(atom)
@@ -34,7 +34,7 @@ _FEED_SQL = "WITH {docs} SELECT id, source, {title} AS title, left({body}, {n})
 
 
 def _feed_sql(n: int) -> str:
-    body = _CLEAN.format(r"regexp_replace(left(text, 600), '\s+', ' ', 'g')")
+    body = _CLEAN.format(r"regexp_replace(text, '\s+', ' ', 'g')")
     return _FEED_SQL.format(docs=DOC_ITEMS, title=_CLEAN.format("title"), body=body, n=n)
 
 

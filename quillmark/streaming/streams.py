@@ -31,10 +31,14 @@ def on_time(events: DataFrame, ts: str, now, days: int = 540) -> DataFrame:
     return events.where(F.col(ts) >= now - F.expr(f"INTERVAL {days} DAYS"))
 
 
-def write_days(events: DataFrame, path: str, checkpoint: str, day: str = "day") -> StreamingQuery:
-    """Runs through what has arrived and replaces the days it touches; a repeated batch writes the same files."""
+def write_days(events: DataFrame, path: str, checkpoint: str, day: str = "day", batch: str = "batch") -> StreamingQuery:
+    """Runs through what has arrived; files are partitioned by day and batch id.
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    A repeated batch replaces its own partitions alone, so that no row is written twice and no other batch's rows go.
+    """
+
+    def put(rows: DataFrame, batch_id: int) -> None:
+        rows = rows.withColumn(batch, F.lit(batch_id))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day, batch).parquet(path)
 
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
