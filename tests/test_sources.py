@@ -112,3 +112,22 @@ def test_streams(spark, tmp_path):
     once = streams.deduplicated(stream, ["id"], "ts", "1 hour").withColumn("day", F.to_date(F.from_utc_timestamp("ts", "Asia/Seoul")).cast("string"))
     streams.write_days(once, out, check).awaitTermination()
     assert sorted((r.id, str(r.day)) for r in spark.read.parquet(out).collect()) == [(1, "2024-01-01"), (2, "2024-01-02")]
+    # a further row of a day that is there already
+    spark.createDataFrame([(3, "2024-01-01 17:00:00")], "id long, ts string").select("id", F.col("ts").cast("timestamp").alias("ts")).write.mode("append").parquet(src)
+    streams.write_days(once, out, check).awaitTermination()
+    assert sorted((r.id, str(r.day)) for r in spark.read.parquet(out).collect()) == [(1, "2024-01-01"), (2, "2024-01-02"), (3, "2024-01-02")]
+
+
+def test_publish_guard_and_freshness(spark):
+    from quillmark.operators import publish, tabs
+
+    items = spark.createDataFrame([("a", "2024-01-01", True), ("a", "2024-01-02", None), ("b", "2024-01-02", False)], "tab string, day string, keep boolean")
+    now = publish.tab_report(items, "tab", "day", F.col("keep"))
+    assert {(r.tab, r["items"], r.read, r.kept, r.latest) for r in now.collect()} == {("a", 2, 1, 1, "2024-01-02"), ("b", 1, 1, 0, "2024-01-02")}
+    before = now.withColumn("items", F.col("items") + 1).withColumn("latest", F.lit("2024-01-03"))
+    assert {(r.tab, tuple(r.failures)) for r in publish.publish_guard(now, before, "tab").collect()} == {("a", ("items dropped", "latest went back")), ("b", ("items dropped", "latest went back"))}
+    named = spark.createDataFrame([("a",), ("b",), ("c",)], "tab string")
+    assert {r.tab: r.level for r in publish.freshness(items, named, "tab", "day", F.lit("2024-01-02"), 1).collect()} == {"a": "ok", "b": "ok", "c": "error"}
+    read = spark.createDataFrame([("s", False, 1, "2024-01-01")] * 9, "source string, keep boolean, sharpness int, day string")
+    status = lambda today: tabs.source_status(read, "source", F.lit(today).cast("date")).first().status
+    assert (status("2024-01-20"), status("2024-03-01")) == ("demoted", "watch")
