@@ -77,6 +77,15 @@ def test_bpe_pieces():
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [own.encode_ordinary(t) for t in odd]
 
 
+def test_bpe_long_pieces():
+    ranks, pattern, own = tiktoken_encoding()
+    codec, r = bpe.Codec(ranks, pattern), random.Random(3)
+    long = ["".join(r.choice(a) for _ in range(r.randint(257, 900))) for a in ("ab", "aei", "etaoin", "abcdefghijklmnopqrstuvwxyz", "=-", "aA", "éèa", "的是一") for _ in range(6)]
+    long += ["ab" * 900, "a" * 4000, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "".join(r.choice(["hello", "straße", "und"]) for _ in range(900))]
+    ids, n = codec.encode(long)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [own.encode_ordinary(t) for t in long]
+
+
 # 2
 
 
@@ -102,6 +111,31 @@ def test_dual_coordinate_descent_separates():
     assert ((margins > 0) == (y == 1)).mean() > 0.97
 
 
+def test_quality_scores_against_plain_loops(spark, sf):
+    """Features, scaling, margin and curve of each text again, feature by feature."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model, of = quality_model.fit(docs, labels), quality_model.Features()
+    for r in quality_model.score(docs, model, columns=[F.col("text").alias("t")]).collect():
+        seen = set(of(r.t).tolist())
+        norm = sum(float(model.scale[i]) for i in seen) ** 0.5
+        margin = model.intercept + (sum(float(model.weights[i]) for i in seen) / norm if seen else 0.0)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.curve[0] * margin + model.curve[1]))), abs=1e-6)
+
+
+def test_dual_coordinate_descent_closes_the_gap():
+    """The hinge loss at the fitted weights is as low as the dual says it can be."""
+    rng = np.random.default_rng(2)
+    xs, y = [np.sort(rng.choice(60, 8, False)) for _ in range(120)], rng.integers(0, 2, 120)
+    scale = rng.normal(1, 0.3, 60)
+    w, b = quality_model.dual_coordinate_descent(xs, y, scale, passes=3000)
+    values = [scale[x] / np.linalg.norm(scale[x]) for x in xs]
+    signs = np.where(y == 1, 1.0, -1.0)
+    upper = np.where(y == 1, 120 / (2 * (y == 1).sum()), 120 / (2 * (y == 0).sum()))
+    loss = lambda w, b: (w @ w + b * b) / 2 + sum(u * max(0, 1 - s * (w[x] @ v + b)) for x, v, s, u in zip(xs, values, signs, upper, strict=True))
+    best = loss(w, b)
+    assert all(loss(w + rng.normal(0, e, 60), b + rng.normal(0, e)) >= best - 1e-3 for e in (0.3, 0.1, 0.03, 0.01) for _ in range(50))
+
+
 # 3
 
 
@@ -423,6 +457,39 @@ def test_language_id(spark, sf, edge, empty):
     assert language_id.predict(empty, model).count() == 0
 
 
+def plain_ngrams(t, buckets):
+    letters = [c if c.isalpha() else " " for c in (t or "").lower()]
+    kept = [c for i, c in enumerate(letters) if c != " " or i and letters[i - 1] != " "]
+    shift, by, out = 33 - buckets.bit_length(), (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), []
+    for n in (1, 2, 3):
+        for i in range(len(kept) - n + 1):
+            h = 0
+            for k in range(n):
+                h = (h * 31 + (ord(kept[i + k]) + k + 1) * by[k]) % 2**32
+            out.append((h * 0x9E3779B1 % 2**32) >> shift)
+    return out if any(c != " " for c in letters) else []
+
+
+def test_language_id_against_plain_counts(spark, monkeypatch):
+    r = random.Random(8)
+    of = {"en": "the and of ing", "de": "der und sch ung", "fr": "les que ion ne"}
+    data = [(i, " ".join(r.choice(of[g].split()) for _ in range(r.randint(0, 12))) + r.choice(["", "!", " 12"]), g) for i in range(40) for g in [r.choice(list(of))]] + [(40, None, "de"), (41, "der", None), (42, "x", "en"), (42, "x", "en")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    counts, priors, b = {g: Counter() for g in of}, Counter(), 256
+    for _, t, g in data:
+        if g and plain_ngrams(t, b):
+            counts[g].update(plain_ngrams(t, b))
+            priors[g] += 1
+    monkeypatch.setattr(language_id, "BLOCK_GRAMS", 16)  # texts of several blocks
+    got = language_id.predict(docs, language_id.fit(docs, buckets=b), keep_text=True).collect()
+    assert len(got) == len(data)
+    for row in got:
+        grams = plain_ngrams(row.text, b)
+        log = {g: np.log(priors[g] / sum(priors.values())) + sum(np.log((counts[g][x] + 0.5) / (sum(counts[g].values()) + b * 0.5)) for x in grams) for g in sorted(of)}
+        best = max(log, key=log.get)
+        assert (row.lang_pred, row.score) == (("und", 0.0) if not grams else (best, pytest.approx(1 / sum(np.exp(v - log[best]) for v in log.values()), abs=1e-4)))
+
+
 # 9
 
 
@@ -461,6 +528,14 @@ def test_repeats(spark, sf, edge, empty, most, monkeypatch):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_rows_without_an_id(spark):
+    """A unique row loses nothing to others without an id, and equal rows without an id lose all."""
+    r = random.Random(1)
+    one, two = ("".join(r.choice("abcdef ") for _ in range(256)) for _ in range(2))
+    got = repeats.remove_repeats(spark.createDataFrame([(None, one), (None, two), (None, two), (None, None), (1, one[:100])], "doc_id long, text string").repartition(3)).collect()
+    assert sorted((x.n_bytes, x.n_removed) for x in got) == [(0, 0), (100, 0), (256, 0), (256, 256), (256, 256)]
+
+
 # 10
 
 

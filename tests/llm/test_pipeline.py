@@ -53,6 +53,15 @@ def test_edge_rows_through_all_stages(spark, sf, edge):  # noqa: F811
     assert lost(mixed) == lost(ids) == sized.where("doc_id IS NULL").agg(F.sum("times")).first()[0] > 0
 
 
+def test_columns_of_any_name_pass_through(spark, sf):
+    names = ["score", "lang_pred", "times", "ids", "n_tokens", "copy", "row", "count", "component_id", "k", "rep"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40).select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for _, stage in cp.STAGES:
+        docs = cut(stage(spark, docs, sf))
+    got = docs.collect()
+    assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names) and all(len(r["ids_"]) == r["n_tokens_"] for r in got)
+
+
 def test_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     for _, stage in cp.STAGES:
