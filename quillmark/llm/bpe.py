@@ -91,10 +91,12 @@ CREATE OR REPLACE TABLE piece AS
 SELECT row_number() OVER (ORDER BY r.p) AS p, CAST(coalesce(t.rank, r.id) AS INTEGER) AS id
 FROM piece r LEFT JOIN taken t ON t.p = r.p WHERE r.p - 1 NOT IN (SELECT p FROM taken)
 """
+#: Rows are put in order of document and position before they are aggregated, by one thread.
 DECODE_SQL = """
-SELECT d, string_agg(piece, '' ORDER BY p) AS chars, count(*) - count(piece) AS unknown
-FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM id_lists) LEFT JOIN vocabulary USING (id)
-GROUP BY d
+SELECT k >> 32 AS d, string_agg(piece, '') AS chars, count(*) - count(piece) AS unknown
+FROM (SELECT k, piece FROM (SELECT d * 4294967296 + generate_subscripts(ids, 1) AS k, unnest(ids) AS id FROM id_lists)
+      LEFT JOIN vocabulary USING (id) ORDER BY k)
+GROUP BY 1
 """
 
 
