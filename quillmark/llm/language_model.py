@@ -2,10 +2,10 @@
 
 What covers all training documents: the count of every token (Spark sums task counters; the table grows with the
 corpus and stays in Spark), their total N and number V, the totals of each spelling group, and the recurrent weights:
-all training rows are dealt by a hash of id and text into shards of about ``SHARD_TOKENS`` tokens (``ROUNDS`` shards
-at least), whose symbols are written once. Round r takes the shards r, r + ``ROUNDS``, ...: each is fitted once by
-truncated backpropagation in numpy from the same start (in blocks of ``TRAIN_BLOCK`` tokens), and the next start is
-the mean of the shards' weights by tokens, which Spark adds up. So every training token is learned from once. Bounded:
+all training rows are dealt by a hash of id and text into shards of about ``SHARD_TOKENS`` tokens, whose symbols are
+written once. Each of ``PASSES`` rounds takes all shards: each is fitted by truncated backpropagation in numpy from the
+same start (in blocks of ``TRAIN_BLOCK`` tokens), and the next start is the mean of the shards' weights by tokens, which
+Spark adds up. So every training token is learned from ``PASSES`` times. Bounded:
 
 * tokens with a share of at least ``SHARE`` of N (so 1 / ``SHARE`` at most) have symbols of their own; every other
   token is the symbol of its spelling group (a hash of its last two bytes), times its smoothed share of that group,
@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, id_mod
 
-SHARE, GROUPS, CLASSES, FREQUENT = 1e-4, 48, 32, 100_000
-ROUNDS, SHARD_TOKENS, TRAIN_BLOCK, WEIGHTS = 4, 1_000_000, 1_000_000, 4096
-HIDDEN, INPUT, LANES, WINDOW = 12, 12, 512, 64
+SHARE, GROUPS, CLASSES, FREQUENT = 4e-5, 48, 40, 100_000
+PASSES, SHARD_TOKENS, TRAIN_BLOCK, WEIGHTS = 3, 1_000_000, 1_000_000, 4096
+HIDDEN, INPUT, LANES, WINDOW = 24, 24, 512, 64
 TRAIN_LANES, TRAIN_WINDOW, LEAST_STEPS = 256, 32, 64
 BLOCK_TOKENS = 3_000_000
 COUNTED = 400_000
@@ -254,7 +254,7 @@ class GatedModel:
         grads["b"] += of.sum(0)
 
     def fit(self, docs: list[np.ndarray], end: int, state: dict, turn: int = 0, rate: float = 0.02) -> None:
-        """Truncated backpropagation through time with Adam, once over docs, in round turn of ROUNDS; state is carried
+        """Truncated backpropagation through time with Adam, once over docs, in round turn of PASSES; state is carried
         from one block of a shard to the next."""
         most = int(np.clip(sum(map(len, docs)) // (TRAIN_WINDOW * LEAST_STEPS), 4, TRAIN_LANES))
         x, y, first, doc = laid_out(docs, end, most)
@@ -278,7 +278,7 @@ class GatedModel:
             self.backward(x[w], first[w], kept, dout, grads)
             h, step = states[-1], step + 1
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / real.sum()
-            lr = np.float32(rate * np.sqrt(real.sum() / (most * TRAIN_WINDOW)) * min(1.0, 1.0 / max(norm, 1e-9)) * (1 - 0.9 * (turn + at / len(x)) / ROUNDS))
+            lr = np.float32(rate * np.sqrt(real.sum() / (most * TRAIN_WINDOW)) * min(1.0, 1.0 / max(norm, 1e-9)) * (1 - 0.9 * (turn + at / len(x)) / PASSES))
             of_m, of_v = np.float32(1 / (1 - 0.9**step)), np.float32(1 / (1 - 0.99**step))
             for k, g in grads.items():
                 m[k] += np.float32(0.1) * (g - m[k])
@@ -339,8 +339,8 @@ class Lexicon:
 
 
 def shards(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(turn, shard, h, symbols as unsigned 16-bit numbers) of all rows of docs (id, text), a shard in one file and in order of h."""
-    spark, n = docs.sparkSession, max(ROUNDS, round(vocabulary.total / SHARD_TOKENS))
+    """(shard, h, symbols as unsigned 16-bit numbers) of all rows of docs (id, text), a shard in one file and in order of h."""
+    spark, n = docs.sparkSession, max(1, round(vocabulary.total / SHARD_TOKENS))
     sent = spark.sparkContext.broadcast(Lexicon(vocabulary, {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,8 +356,7 @@ def shards(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(dealt, pa.int32()), batch.column(0), pa.array(parts, pa.binary())], ["shard", "h", "symbols"])
 
     rows = docs.select(F.xxhash64("id", "text").alias("h"), "text").mapInArrow(run, "shard int, h long, symbols binary")
-    rows = cut(rows.repartition(n, "shard").sortWithinPartitions("shard", "h"))
-    return rows.withColumn("turn", F.col("shard") % ROUNDS)
+    return cut(rows.repartition(n, "shard").sortWithinPartitions("shard", "h"))
 
 
 def fit_round(parts: DataFrame, model: GatedModel, end: int, turn: int) -> int:
@@ -428,8 +427,8 @@ def learn(docs: DataFrame) -> tuple[Vocabulary, dict[bytes, int], GatedModel, Da
     model = GatedModel(vocabulary.frequency)
     if total:
         parts = shards(docs, vocabulary)
-        for turn in range(ROUNDS):
-            fit_round(parts.where(F.col("turn") == turn), model, vocabulary.end, turn)
+        for turn in range(PASSES):
+            fit_round(parts, model, vocabulary.end, turn)
     held = docs.sparkSession.createDataFrame([(token_hash(w),) for w in words], "h long") if words else None
     others = counts.select(F.xxhash64("word").alias("h"), "c")
     return vocabulary, frequent, model, others.join(F.broadcast(held), "h", "left_anti") if held is not None else others
