@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .rounds import written
 
 # Boosts by layer of a source.
 LAYER_BOOST = {"core": 18, "history": 10, "verified": 8}
@@ -70,25 +72,20 @@ def hypotheses(claims: DataFrame, items: DataFrame, least_evidence: int = 3, lea
 def merge_archives(incoming: DataFrame, existing: DataFrame, group: str) -> DataFrame:
     """Incoming rows over existing ones: a row is kept if neither its address nor its title is held by a kept row.
 
-    Rows: group, pos, id, url_key, title_key. Only rows whose address or title occurs again in the group depend on
-    each other; all others are kept without leaving Spark, and the dependent ones are settled in order, a task for
-    each group, over keys alone.
+    Rows: group, pos, id, url_key, title_key, over keys alone; ties of pos go by id, a null group is a group, rows
+    without an address are never kept, empty and null titles clash with nothing. Of rows with the same address and
+    title only the first can be kept, so copies are collapsed on the map side. Then in rounds: a row that is the first
+    of those left with its address and of those with its title is kept, and all rows that share either with it go.
+    Each round keeps at least the first row left of every group; a row in a chain of n rows, each of which shares
+    a key with the next alone, may wait n / 2 rounds.
     """
     rows = incoming.withColumn("_part", F.lit(0)).unionByName(existing.withColumn("_part", F.lit(1))).where("url_key <> ''")
-    seen_url = rows.groupBy(group, "url_key").agg(F.count("*").alias("nu"))
-    seen_title = rows.where("title_key <> ''").groupBy(group, "title_key").agg(F.count("*").alias("nt"))
-    marked = rows.join(seen_url, [group, "url_key"]).join(seen_title, [group, "title_key"], "left").withColumn("alone", (F.col("nu") == 1) & (F.coalesce("nt", F.lit(1)) == 1))
-
-    def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        urls, titles, kept = set(), set(), []
-        for r in frame.sort_values(["_part", "pos"]).itertuples():
-            if r.url_key in urls or r.title_key and r.title_key in titles:
-                continue
-            urls.add(r.url_key)
-            titles.add(r.title_key)
-            kept.append((getattr(r, group), r.id))
-        return pd.DataFrame(kept, columns=[group, "id"])
-
-    kind = rows.schema[group].dataType.simpleString()
-    tied = marked.where("NOT alone").select(group, "_part", "pos", "id", "url_key", "title_key").groupBy(group).applyInPandas(settle, f"`{group}` {kind}, id long")
-    return marked.where("alone").select(group, "id").unionByName(tied)
+    url, title = F.struct(F.col(group).alias("g"), F.col("url_key").alias("k")), F.struct(F.col(group).alias("g"), F.col("title_key").alias("k"))
+    rows = rows.select(url.alias("url"), F.when(F.col("title_key") != "", title).alias("title"), F.struct("_part", "pos", "id").alias("at"))
+    left, kept = written(rows.groupBy("url", "title").agg(F.min("at").alias("at"))), []
+    while not kept or not left.isEmpty():
+        first_url, first_title = left.groupBy("url").agg(F.min("at").alias("u")), left.where("title IS NOT NULL").groupBy("title").agg(F.min("at").alias("t"))
+        first = left.join(first_url, "url").where("at = u").join(first_title, "title", "left").where("t IS NULL OR at = t")
+        kept.append(written(first.select("url", "title", "at")))
+        left = written(left.join(kept[-1].select("url"), "url", "left_anti").join(kept[-1].select("title"), "title", "left_anti"))
+    return reduce(DataFrame.unionByName, kept).select(F.col("url.g").alias(group), F.col("at.id").alias("id"))

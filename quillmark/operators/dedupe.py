@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import written
+
 
 def first_position_last_value(df: DataFrame, key: str, pos: str) -> DataFrame:
     """One row a key: the values of its last row at the position of its first."""
@@ -24,11 +26,12 @@ def first_value(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
 def shares_earlier_key(df: DataFrame, keys: str, order: list[str], row_id: str) -> DataFrame:
     """df and ``dropped``: the row shares one of its keys with an earlier row.
 
-    Each key's first row owns it; a row that isn't the owner of all its keys is dropped. One shuffle by key; the
-    least order of a key is an aggregate, so that a frequent key is combined before it is shuffled.
+    Each key's first row owns it; a row that isn't the owner of all its keys is dropped. The keys are computed once,
+    into a table of (row, order, key); the least order of a key is an aggregate, so that a frequent key is combined
+    before it is shuffled.
     """
     at = F.struct(*order, row_id)
-    entries = df.select(row_id, at.alias("at"), F.explode(keys).alias("k"))
+    entries = written(df.select(row_id, at.alias("at"), F.explode(keys).alias("k")))
     owners = entries.groupBy("k").agg(F.min("at").alias("owner"))
     late = entries.join(owners, "k").where(F.col("owner") < F.col("at")).select(row_id).distinct().withColumn("dropped", F.lit(True))
     return df.join(late, row_id, "left").withColumn("dropped", F.coalesce("dropped", F.lit(False)))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import written
+
 
 def cap_per_group(df: DataFrame, group: Column | str, order: list, most: int) -> DataFrame:
     """The first rows of each group."""
@@ -45,35 +47,68 @@ def select_novel(candidates: DataFrame, limit: int, per_source: int, similarity:
     """Greedy selection a group: skip rows that share an identity key or title with a chosen one, whose source is
     full, or whose title is too like a chosen one; a second pass has a looser cap.
 
-    candidates: group, pos, id, source, title_key, keys (array), words (array). Rows that archives hold are taken
-    out before by anti-joins (dedupe.any_key_anti). Choosing depends on all earlier choices, so each group is
-    one task over its rows in order; the rows hold keys only, and the state is the chosen rows, ``limit`` of them.
+    candidates: group, pos, id, source, title_key, keys (array), words (array); ties of pos go by id. Rows that
+    archives hold are taken out before by anti-joins (dedupe.any_key_anti). Works in rounds: Spark drops all rows that
+    clash with what was chosen so far (at most ``limit`` rows a group), and a task a group settles the next
+    ``8 * limit`` of the others in order. The first of them clashes with nothing, so each round chooses a row of
+    every group that isn't through. Rows without keys are never chosen; null groups and sources are groups and sources.
     """
-    loose = per_source if loose_per_source is None else loose_per_source
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        chosen, used, titles, compared, of_source = [], set(), set(), [], {}
-        taken = set()
-        for cap in (per_source, loose) if loose > per_source else (per_source,):
-            for r in frame.sort_values("pos").itertuples():
-                if len(chosen) >= limit:
+    none = F.array().cast("array<string>")
+    rows = candidates.select(
+        F.col(group).alias("tab"), "pos", F.col("id").cast("long").alias("id"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("source"),
+        F.coalesce("title_key", F.lit("")).alias("title"), F.array_compact(F.col("keys").cast("array<string>")).alias("keys"),
+        F.array_distinct(F.array_compact(F.coalesce(F.col("words").cast("array<string>"), none))).alias("words"),
+    ).where(F.size("keys") > 0)
+    rows = written(rows)
+
+    def like(w: Column) -> Column:
+        shared = F.size(F.array_intersect(F.col("words"), w))
+        return (shared >= 3) & (shared / F.least(F.size("words"), F.size(w)) >= similarity)
+
+    def still_open(chosen: DataFrame | None, cap: int) -> DataFrame:
+        """Rows that could be chosen next, with how many of their group and source were chosen."""
+        if chosen is None:
+            return rows.withColumns({"n": F.lit(0).cast("long"), "of_source": F.lit(0)})
+        state = chosen.groupBy(F.col("tab").alias("of")).agg(
+            F.count("*").alias("n"), F.flatten(F.collect_list("keys")).alias("used"), F.collect_list("title").alias("titles"),
+            F.collect_list("words").alias("compared"), F.collect_list("source").alias("sources"),
+        )
+        d = rows.join(state, F.col("tab").eqNullSafe(F.col("of")), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        of_source = F.size(F.filter(F.coalesce("sources", none), lambda x: x == F.col("source")))
+        clash = F.arrays_overlap("keys", "used") | (F.col("title") != "") & F.array_contains("titles", F.col("title")) | F.exists("compared", like)
+        d = d.where(F.coalesce(~clash, F.lit(True)) & (F.col("n") < limit)).withColumn("of_source", of_source)
+        return d.where(F.col("of_source") < cap).select(*rows.columns, "n", "of_source")
+
+    def choose(cap: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def settle(frame: pd.DataFrame) -> pd.DataFrame:
+            chosen, used, titles, of_source = [], set(), set(), {}
+            for r in frame.sort_values(["pos", "id"]).itertuples():
+                if r.n + len(chosen) >= limit:
                     break
-                keys, words = set(r.keys), set(r.words)
-                if r.Index in taken or not keys or keys & used or r.title_key and r.title_key in titles or of_source.get(r.source, 0) >= cap:
+                words, in_source = set(r.words), of_source.get(r.source, r.of_source)
+                if used.intersection(r.keys) or r.title and r.title in titles or in_source >= cap:
                     continue
-                shared = ((len(words & w), min(len(words), len(w))) for w in compared)
-                if any(n >= 3 and m and n / m >= similarity for n, m in shared):
+                shared = ((len(words.intersection(c[6])), min(len(words), len(c[6]))) for c in chosen)
+                if any(n >= 3 and n / m >= similarity for n, m in shared):
                     continue
-                chosen.append((getattr(r, group), r.id, len(chosen) + 1))
-                taken.add(r.Index)
-                used |= keys
-                titles.add(r.title_key)
-                compared.append(words)
-                of_source[r.source] = of_source.get(r.source, 0) + 1
-        return pd.DataFrame(chosen, columns=[group, "id", "rank"])
-
-    kind = candidates.schema[group].dataType.simpleString()
-    return candidates.groupBy(group).applyInPandas(choose, f"`{group}` {kind}, id long, rank long")
+                chosen.append((r.tab, r.id, r.n + len(chosen) + 1, r.source, r.title, r.keys, r.words))
+                used.update(r.keys)
+                titles.add(r.title)
+                of_source[r.source] = in_source + 1
+            return pd.DataFrame(chosen, columns=["tab", "id", "rank", "source", "title", "keys", "words"])
+
+        return settle
+
+    kind, chosen = rows.schema["tab"].dataType.simpleString(), None
+    for cap in sorted({per_source, max(per_source, per_source if loose_per_source is None else loose_per_source)}):
+        while True:
+            block = cap_per_group(still_open(chosen, cap), "tab", ["pos", "id"], 8 * limit)
+            schema = f"tab {kind}, id long, rank long, source string, title string, keys array<string>, words array<string>"
+            more = written(block.groupBy("tab").applyInPandas(choose(cap), schema))
+            chosen = more if chosen is None else chosen.unionByName(more)
+            if more.isEmpty():
+                break
+    return chosen.select(F.col("tab").alias(group), "id", "rank")
 
 
 def select_balanced(items: DataFrame, lanes: list[str], limit: int, per_source: int) -> DataFrame:

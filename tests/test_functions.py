@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillmark.functions import text, url, values
-from quillmark.operators import dedupe, ranges, select
+from quillmark.operators import curate, dedupe, ranges, select
 
 
 def one(spark, column, **values_):
@@ -98,6 +98,48 @@ def test_novel(spark):
     assert [r.id for r in select.select_novel(df, 10, 1, loose_per_source=2).orderBy("rank").collect()] == [0, 5, 4]
 
 
+def test_novel_and_merge_as_plain_loops(spark):
+    """Random candidates, with blocks smaller than a group, against loops over rows in order."""
+    import random
+
+    r = random.Random(5)
+    data = [(r.choice(["a", "b", None]), r.randrange(40), i, r.choice(["s1", "s2", "s3", None]), r.choice(["", None, *map(str, range(30))]),
+             [f"k{r.randrange(60)}" for _ in range(r.randrange(3))], [r.choice("abcdefghi") for _ in range(r.randrange(6))]) for i in range(150)]
+    df = spark.createDataFrame(data, "tab string, pos long, id long, source string, title_key string, keys array<string>, words array<string>")
+
+    def novel(limit, caps):
+        want = []
+        for tab in ("a", "b", None):
+            chosen, order = [], sorted((x for x in data if x[0] == tab), key=lambda x: (x[1], x[2]))
+            for cap in caps:
+                for x in order:
+                    full = len(chosen) >= limit or sum(c[3] == x[3] for c in chosen) >= cap
+                    same = any(set(x[5]) & set(c[5]) or x[4] and x[4] == c[4] for c in chosen)
+                    near = any(len(set(x[6]) & set(c[6])) >= max(3, 0.6 * min(len(set(x[6])), len(set(c[6])))) for c in chosen)
+                    if x[5] and not (full or same or near):
+                        chosen.append(x)
+            want += [(tab, c[2], i + 1) for i, c in enumerate(chosen)]
+        return sorted(want, key=str)
+
+    for limit in (1, 12):
+        got = select.select_novel(df, limit, 1, 0.6, loose_per_source=3).collect()
+        assert sorted(map(tuple, got), key=str) == novel(limit, (1, 3))
+    assert select.select_novel(df.where("false"), 3, 1).count() == 0
+
+    rows = [(r.choice(["a", None]), r.randrange(50), i, r.choice(["", *(f"u{k}" for k in range(70))]), r.choice(["", None, *map(str, range(50))])) for i in range(300)]
+    cols = "tab string, pos long, id long, url_key string, title_key string"
+    new, old = [x for x in rows if x[2] % 4 == 0], [x for x in rows if x[2] % 4]
+    seen, want = set(), []
+    for x in sorted(new, key=lambda x: x[1:3]) + sorted(old, key=lambda x: x[1:3]):
+        mine = {("u", x[0], x[3])} | ({("t", x[0], x[4])} if x[4] else set())
+        if x[3] and not mine & seen:
+            seen |= mine
+            want.append((x[0], x[2]))
+    got = curate.merge_archives(spark.createDataFrame(new, cols), spark.createDataFrame(old, cols), "tab").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert curate.merge_archives(spark.createDataFrame([], cols), spark.createDataFrame([], cols), "tab").count() == 0
+
+
 def test_range_join(spark):
     p = spark.createDataFrame([(float(i),) for i in range(20)], "v double")
     i = spark.createDataFrame([(2.0, 5.0, "a"), (4.5, 19.0, "b")], "lo double, hi double, n string")
