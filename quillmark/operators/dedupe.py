@@ -30,7 +30,7 @@ def shares_earlier_key(df: DataFrame, keys: str, order: list[str], row_id: str)
     into a table of (row, order, key); the least order of a key is an aggregate, so that a frequent key is combined
     before it is shuffled.
     """
-    at = F.struct(*order, row_id)
+    at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate([*order, row_id])])
     entries = written(df.select(row_id, at.alias("at"), F.explode(keys).alias("k")))
     owners = entries.groupBy("k").agg(F.min("at").alias("owner"))
     late = entries.join(owners, "k").where(F.col("owner") < F.col("at")).select(row_id).distinct().withColumn("dropped", F.lit(True))
