@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, language_id, language_model, mixing, ngram_join, pii, quality_model, quality_rules, repeats
+from . import alignment, bpe, fingerprints, language_id, language_model, mixing, ngram_join, periods, pii, quality_model, quality_rules, repeats, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_language_id": language_id.op8_language_id,
         "op9_repeats": repeats.op9_repeats,
         "op10_mixing": mixing.op10_mixing,
+        "op11_alignment": alignment.op11_alignment,
+        "op12_toxicity": toxicity.op12_toxicity,
+        "op13_periodic_runs": periods.op13_periodic_runs,
     }
 
 
