@@ -13,11 +13,12 @@ comparison. ``margin`` is the difference of the two log-likelihoods over (letter
 the noise of a sum grows with the root of its length; a rising curve over margins of labelled rows that were kept out of
 the counts turns it into a score.
 
-Counts cover every labelled training row but the fifth kept for the curve: tasks count the words of their rows, Spark
-sums the letter counts, and the driver receives at most 64 ** ORDER rows whatever the corpus size (letters are told
-apart by 64 signs: a-z, digits, 36 classes of other letters by code point, and the end of a word). The curve is fitted
-on at most ``CURVE_ROWS`` rows (a documented parameter, those of lowest hash). The model is broadcast (a few MB) and
-tasks score Arrow batches; scores of words are kept in a bounded table.
+The fit uses the ``TRAIN_ROWS`` labelled training rows of lowest seeded hash (a documented parameter, the same at every
+corpus size), so that their ids can be broadcast and no text is shuffled: every fifth of them, up to ``CURVE_ROWS``, is
+kept for the curve, all others are counted. Tasks count the words of their rows, Spark sums the letter counts, and the
+driver receives at most 64 ** ORDER rows (letters are told apart by 64 signs: a-z, digits, 36 classes of other letters by
+code point, and the end of a word). The model is broadcast (a few MB) and tasks score Arrow batches of all documents;
+scores of words are kept in a bounded table.
 
 Edge cases: a null or empty text, or one without letters and digits, has margin 0; without rows of both classes every
 score is the share of toxic rows (0.5 if there are none); repeated labels of a document count once, as the highest;
@@ -38,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_mod
+from .common import cut, documents, id_mod
 
 ORDER = 4
 DISCOUNT, SHARED_DISCOUNT = 0.5, 0.75
 LENGTH_OFFSET, LENGTH_POWER = 300, 0.5
-CURVE_ROWS = 20_000
+TRAIN_ROWS, CURVE_ROWS = 200_000, 20_000
 CACHED_WORDS, LONG_WORD = 400_000, 64
 COUNTED_WORDS = 200_000
 ROWS_AT_ONCE = 500
@@ -213,14 +214,17 @@ def curve_of(margins: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nd
     return x / n, np.maximum.accumulate((y + 2 * labels.mean()) / (n + 2))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", curve_rows: int = CURVE_ROWS) -> Model:
-    """Counts over all labelled rows but a fifth, from which at most ``curve_rows`` rows fit the curve."""
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, curve_rows: int = CURVE_ROWS,
+) -> Model:
+    """Fits on at most ``rows`` labelled documents, those of lowest hash of the id; a fifth, at most ``curve_rows``, fits the curve."""
     told = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     order = F.xxhash64("id", F.lit("toxic"))
+    told = cut(told.orderBy(order, "id").limit(rows))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    cells = count_grams(texts.join(told.where(F.pmod(order, F.lit(5)) != 4), "id"), "text", "y").toArrow()
+    counted, apart = told.where(F.pmod(order, F.lit(5)) != 4), told.where(F.pmod(order, F.lit(5)) == 4).orderBy(order, "id").limit(curve_rows)
+    cells = count_grams(texts.join(F.broadcast(counted), "id"), "text", "y").toArrow()
     model = Model(*[cells.column(c).to_numpy() for c in ("gram", "n0", "n1")])
-    apart = told.where(F.pmod(order, F.lit(5)) == 4).orderBy(order, "id").limit(curve_rows)
     kept_out = likelihoods(texts.join(F.broadcast(apart), "id"), model, "text", [F.col("y")]).toArrow()
     y = kept_out.column("y").to_numpy()
     if len(set(y.tolist())) < 2 or not (cells.num_rows and min(np.sum(cells.column(c).to_numpy()) for c in ("n0", "n1"))):
