@@ -25,7 +25,9 @@ a best one; repeated rows are counted each; an empty table gives no rows. Other
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ from .common import cut, documents
 
 BLOCK_CHARS = 1_000_000
 BLOCK_ROWS = 2_000
+KNOWN_CHARS, CHUNKS_AT_ONCE = 4_000_000, 300
+_CHUNK = re.compile(r"(?= [\w!-/:-@\[-`{-~])")
 _SPACE = "▁"
 
 
@@ -67,12 +71,29 @@ class Tokenizers:
             raise ValueError("a pair of ids must fit into 31 bits")
         self.a_size, self.b_size = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
         said = lambda v, ends: np.array([[f"{k}{e}" for k in range(len(v))] for e in ends], object)
+        self.known, self.known_chars = {}, 0
         self.a_said, self.b_said = said(self.a_bytes, ",|"), said(self.b_bytes, [",", ";", ""])
 
+    def a_ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of A. A token of A never reaches over a space before a letter, digit or sign, so texts are cut there and each chunk is encoded once."""
+        if self.known_chars > KNOWN_CHARS:
+            self.known, self.known_chars = {}, 0
+        chunks = [_CHUNK.split(t) for t in texts]
+        heads = list({cs[0] for cs in chunks} - self.known.keys())  # all later chunks begin with a space where texts are cut
+        self.known.update(zip(heads, [e.ids for e in self.a.encode_batch_fast(heads, add_special_tokens=False)], strict=True))
+        new = list(set(chain.from_iterable(chunks)) - self.known.keys())
+        joined = ["".join(new[k : k + CHUNKS_AT_ONCE]) for k in range(0, len(new), CHUNKS_AT_ONCE)]
+        ids = [i for e in self.a.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids]
+        ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in new])
+        at = [0, *(np.searchsorted(np.cumsum(self.a_size[ids]), ends) + 1).tolist()]
+        self.known.update((c, ids[i:k]) for c, i, k in zip(new, at, at[1:], strict=False))
+        self.known_chars += sum(map(len, new)) + sum(map(len, heads))
+        return [list(chain.from_iterable(map(self.known.__getitem__, cs))) for cs in chunks]
+
     def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and of B for each text; none where the bytes don't match."""
         some = [t or "" for t in texts]
-        a = [e.ids for e in self.a.encode_batch([" " + t for t in some], add_special_tokens=False)]
+        a = self.a_ids([" " + t for t in some])
         b = self.b.encode(some, num_threads=1)
         for k, t in enumerate(some):
             want = (" " + t).encode()
