@@ -1,3 +1,3 @@
 """Registers all queries."""
 
-from . import aggregates, curation, documents, events, pages, relations, sources, tabs, vectors  # noqa: F401
+from . import aggregates, curation, documents, events, pages, relations, search, sources, tabs, vectors  # noqa: F401
