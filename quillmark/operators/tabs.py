@@ -12,6 +12,8 @@ from ..functions import text
 # Points by age in days, and the least score of an update.
 UPDATE_RECENCY, KOREAN_RECENCY = ((14, 15), (45, 11), (180, 6)), ((14, 16), (45, 10), (180, 4))
 LEAST_UPDATE_SCORE = 35
+# Reasons that rule an update out; all others are flags beside the score.
+HARD_REASONS = ("commercial-noise", "announcement-news", "insufficient-evidence")
 
 
 @dataclass(frozen=True)
@@ -24,6 +26,7 @@ class UpdateTerms:
     artifact: tuple[str, ...]
     craft: tuple[str, ...]
     noise: tuple[str, ...] = ()
+    announcements: tuple[str, ...] = ()
 
 
 def by_age(age: Column, steps: tuple[tuple[int, int], ...], older: int) -> Column:
@@ -39,24 +42,39 @@ def hit_count(x: Column, patterns: tuple[str, ...]) -> Column:
     return sum((F.coalesce(x.rlike(p), F.lit(False)).cast("int") for p in patterns), F.lit(0))
 
 
+def update_words(title: Column, summary: Column, address: Column) -> Column:
+    """What an update is scored by: title, summary and address in lower case; nulls are empty."""
+    some = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    return F.lower(F.concat(some(title), F.lit(" "), some(summary), F.lit(" "), F.coalesce(address, F.lit(""))))
+
+
 def update_score(words: Column, summary: Column, image: Column, age: Column, bookmarked: Column, terms: UpdateTerms) -> Column:
-    """struct(score, eligible, rejected) of an update: five capped parts, and the reasons that rule it out."""
-    n = F.length(F.coalesce(summary, F.lit("")))
-    seen = {k: text.hits(words, list(getattr(terms, k))) for k in ("perspective", "transferable", "evidence", "artifact", "craft")}
+    """struct(score, eligible, rejected, soft) of an update: five capped parts, and the reasons against it.
+
+    Only noise, announcements and missing evidence rule an update out; the other reasons are soft flags: they stand
+    in ``rejected`` and in ``soft``, and leave it eligible. A null image or bookmark counts as none, a null age as old.
+    """
+    n = F.length(F.trim(F.coalesce(summary, F.lit(""))))
+    seen = {k: text.hits_exact(words, list(getattr(terms, k))) for k in ("perspective", "transferable", "evidence", "artifact", "craft")}
     view = F.least(F.lit(30), 7 * seen["perspective"] + 4 * seen["craft"] + F.when((seen["perspective"] > 0) | (seen["craft"] > 0), 2).otherwise(0))
     use = F.least(F.lit(25), 4 * seen["transferable"] + F.when(seen["transferable"] > 0, 5).otherwise(0))
     proof = F.least(F.lit(20), F.when(n >= 90, 8).when(n >= 60, 4).otherwise(0) + 4 * seen["evidence"] + F.when(image, 4).otherwise(0))
     score = view + use + proof + by_age(age, UPDATE_RECENCY, 2) + F.when(bookmarked, 8).otherwise(10)
     documented = (n >= 90) & (seen["craft"] >= 1) & (seen["evidence"] >= 1) & (seen["transferable"] >= 2)
     reasons = [
-        (hit_count(words, terms.noise) > 0, "noise"),
+        (hit_count(words, terms.noise) > 0, "commercial-noise"),
+        (hit_count(words, terms.announcements) > 0, "announcement-news"),
         ((n < 60) & (seen["evidence"] == 0), "insufficient-evidence"),
         (seen["transferable"] == 0, "not-transferable"),
-        (seen["artifact"] == 0, "outside-practice"),
-        ((seen["perspective"] == 0) & (seen["craft"] < 2) & ~documented, "no-point-of-view"),
+        (seen["artifact"] == 0, "outside-creative-practice"),
+        ((seen["perspective"] == 0) & (seen["craft"] < 2) & ~documented, "no-creative-point-of-view"),
     ]
-    rejected = F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in reasons]))
-    return F.struct(score.alias("score"), ((F.size(rejected) == 0) & (score >= LEAST_UPDATE_SCORE)).alias("eligible"), rejected.alias("rejected"))
+    said = lambda pairs: F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in pairs]))
+    soft = said([x for x in reasons if x[1] not in HARD_REASONS])
+    hard = F.lit(False)
+    for test, name in reasons:
+        hard = hard | test if name in HARD_REASONS else hard
+    return F.struct(score.alias("score"), (~hard & (score >= LEAST_UPDATE_SCORE)).alias("eligible"), said(reasons).alias("rejected"), soft.alias("soft"))
 
 
 def korean_score(words: Column, title: Column, summary: Column, age: Column, bookmarked: Column, quality: tuple, korean: tuple, trusted: tuple, low: tuple) -> Column:

@@ -10,7 +10,7 @@ from ..operators import publish, select, tabs
 from .registry import query
 from .tables import CANONICAL, DOC_ITEMS, PAGE_ITEMS, doc_items, page_items, table
 
-TERMS = tabs.UpdateTerms(("thei", "wher"), ("ation", "ment"), ("erst", "enti"), ("the", "der", "les"), ("ouer", "and"), ("licensed under", "[*$%&#]{3}"))
+TERMS = tabs.UpdateTerms(("thei", "wher"), ("ation", "ment"), ("erst", "enti"), ("the", "der", "les"), ("ouer", "and"), ("licensed under", "[*$%&#]{3}"), ("apache license", r"\bmit\b", r"src1[0-2]\."))
 _AGE = "(id % 300)"
 
 
@@ -22,18 +22,20 @@ def _marks(patterns, x: str = "w") -> str:
     return "(" + " + ".join(f"CAST(regexp_matches({x}, '{p}') AS INT)" for p in patterns) + ")"
 
 
-#: Documents as updates: an image for every third, an age in days, every fifth from a bookmark; w holds title and text.
-_UPDATES = DOC_ITEMS + f""", u AS (SELECT id, source, lang, title, text, lower(title || ' ' || text) AS w, id % 3 = 0 AS image, {_AGE} AS age, id % 5 = 0 AS marked FROM docs),
-h AS (SELECT *, length(text) AS n, {_hits(TERMS.perspective)} AS p, {_hits(TERMS.transferable)} AS t, {_hits(TERMS.evidence)} AS e, {_hits(TERMS.artifact)} AS a, {_hits(TERMS.craft)} AS c, {_marks(TERMS.noise)} AS noise FROM u),
+#: Documents as updates: an image for every third, an age in days, every fifth from a bookmark; w holds title, text and address.
+#: By the survey: reasons a1 to a3 rule out, b1 to b3 are flags; eligible without a hard reason and from a score of 35.
+_UPDATES = DOC_ITEMS + f""", u AS (SELECT id, source, lang, title, text, lower(trim(title) || ' ' || trim(text) || ' https://' || source || '.example.com/doc/' || id) AS w, id % 3 = 0 AS image, {_AGE} AS age, id % 5 = 0 AS marked FROM docs),
+h AS (SELECT *, length(trim(text)) AS n, {_hits(TERMS.perspective)} AS p, {_hits(TERMS.transferable)} AS t, {_hits(TERMS.evidence)} AS e, {_hits(TERMS.artifact)} AS a, {_hits(TERMS.craft)} AS c, {_marks(TERMS.noise)} AS noise, {_marks(TERMS.announcements)} AS news FROM u),
 s AS (SELECT *, least(30, 7 * p + 4 * c + CASE WHEN p > 0 OR c > 0 THEN 2 ELSE 0 END) + least(25, 4 * t + CASE WHEN t > 0 THEN 5 ELSE 0 END)
   + least(20, CASE WHEN n >= 90 THEN 8 WHEN n >= 60 THEN 4 ELSE 0 END + 4 * e + CASE WHEN image THEN 4 ELSE 0 END)
   + CASE WHEN age <= 14 THEN 15 WHEN age <= 45 THEN 11 WHEN age <= 180 THEN 6 ELSE 2 END + CASE WHEN marked THEN 8 ELSE 10 END AS score,
-  list_filter([CASE WHEN noise > 0 THEN 'noise' END, CASE WHEN n < 60 AND e = 0 THEN 'insufficient-evidence' END, CASE WHEN t = 0 THEN 'not-transferable' END, CASE WHEN a = 0 THEN 'outside-practice' END,
-    CASE WHEN p = 0 AND c < 2 AND NOT (n >= 90 AND c >= 1 AND e >= 1 AND t >= 2) THEN 'no-point-of-view' END], lambda x: x IS NOT NULL) AS r FROM h)"""
+  list_filter([CASE WHEN noise > 0 THEN 'commercial-noise' END, CASE WHEN news > 0 THEN 'announcement-news' END, CASE WHEN n < 60 AND e = 0 THEN 'insufficient-evidence' END], lambda x: x IS NOT NULL) AS hard,
+  list_filter([CASE WHEN t = 0 THEN 'not-transferable' END, CASE WHEN a = 0 THEN 'outside-creative-practice' END,
+    CASE WHEN p = 0 AND c < 2 AND NOT (n >= 90 AND c >= 1 AND e >= 1 AND t >= 2) THEN 'no-creative-point-of-view' END], lambda x: x IS NOT NULL) AS soft FROM h)"""
 
 
 def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = doc_items(spark, sf_dir).select("id", "source", "lang", "title", "text", "quality", F.lower(F.concat_ws(" ", "title", "text")).alias("w"))
+    d = doc_items(spark, sf_dir).select("id", "source", "lang", "title", "text", "quality", tabs.update_words(F.col("title"), F.col("text"), F.concat(F.lit("https://"), "source", F.lit(".example.com/doc/"), F.col("id").cast("string"))).alias("w"))
     return d.withColumn("image", F.col("id") % 3 == 0).withColumn("age", F.col("id") % 300).withColumn("marked", F.col("id") % 5 == 0)
 
 
@@ -42,12 +44,12 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _updates(spark, sf_dir).withColumn("u", tabs.update_score(c("w"), c("text"), c("image"), c("age"), c("marked"), TERMS))
 
 
-@query("cls01_update_score", f"WITH {_UPDATES} SELECT id, score, len(r) = 0 AND score >= 35 AS eligible, array_to_string(r, ',') AS rejected FROM s")
+@query("cls01_update_score", f"WITH {_UPDATES} SELECT id, score, len(hard) = 0 AND score >= 35 AS eligible, array_to_string(hard || soft, ',') AS rejected, array_to_string(soft, ',') AS soft FROM s")
 def update_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("id", "u.score", "u.eligible", F.array_join("u.rejected", ",").alias("rejected"))
+    return _scored(spark, sf_dir).select("id", "u.score", "u.eligible", F.array_join("u.rejected", ",").alias("rejected"), F.array_join("u.soft", ",").alias("soft"))
 
 
-@query("sel07_update_ranking", f"WITH {_UPDATES} SELECT id, score FROM s WHERE len(r) = 0 AND score >= 35 ORDER BY score DESC, age, id LIMIT 40")
+@query("sel07_update_ranking", f"WITH {_UPDATES} SELECT id, score FROM s WHERE len(hard) = 0 AND score >= 35 ORDER BY score DESC, age, id LIMIT 40")
 def update_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).where("u.eligible").select("id", "u.score", "age").orderBy(F.desc("score"), "age", "id").limit(40).select("id", "score")
 
@@ -366,7 +368,7 @@ def board_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("cards")).where("cards >= 2")
 
 
-@query("flt09_valid_update", f"WITH {_UPDATES} SELECT id FROM s WHERE len(r) = 0 AND score >= 35 AND title <> '' AND n >= 60")
+@query("flt09_valid_update", f"WITH {_UPDATES} SELECT id FROM s WHERE len(hard) = 0 AND score >= 35 AND title <> '' AND n >= 60")
 def valid_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).where((F.col("u.eligible")) & (F.col("title") != "") & (F.length("text") >= 60)).select("id")
 
