@@ -63,26 +63,26 @@ def feed_items_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(spark, sf_dir, "history")
 
 
-@query("src13_sitemap", "SELECT url, CAST(TIMESTAMP '2024-01-01 00:00:00' + page_id % 28 * INTERVAL 1 DAY AS VARCHAR) AS modified, false AS is_index FROM pages WHERE NOT contains(url, '&')")
+@query("src13_sitemap", "SELECT url, CAST(TIMESTAMP '2024-01-01 00:00:00' + page_id % 28 * INTERVAL 1 DAY AS VARCHAR) AS modified, false AS is_index FROM pages")
 def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.parse_sitemaps(_sitemaps(spark, sf_dir)).select("url", F.col("modified").cast("string").alias("modified"), "is_index")
 
 
 def _sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").where("NOT contains(url, '&')")
+    p = table(spark, sf_dir, "pages")
     one = F.concat(F.lit("<url><loc>"), _xml(F.col("url")), F.lit("</loc><lastmod>2024-01-"), F.lpad(((F.col("page_id") % 28) + 1).cast("string"), 2, "0"), F.lit("</lastmod></url>"))
     return p.groupBy(F.floor(F.col("page_id") / PAGE).alias("m")).agg(F.array_join(F.collect_list(one), "\n").alias("x")).select(F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("xml"))
 
 
-@query("src10_posts", f"WITH {DOC_ITEMS} SELECT id, {_CLEAN.format('title')} AS title FROM docs WHERE title <> '' AND NOT contains(title, '&')")
+@query("src10_posts", f"WITH {DOC_ITEMS} SELECT id, {_CLEAN.format('title')} AS title FROM docs WHERE title <> ''")
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = feeds.parse_posts(_posts(spark, sf_dir))
     return p.select(F.regexp_extract("url", r"/(\d+)$", 1).cast("long").alias("id"), "title")
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = doc_items(spark, sf_dir).where("title <> '' AND NOT contains(title, '&')")
-    post = F.struct(F.struct(F.col("title").alias("rendered")).alias("title"), F.concat(F.lit("https://posts.example.com/"), F.col("id").cast("string")).alias("link"), F.lit("2024-03-05T10:00:00").alias("date_gmt"))
+    d = doc_items(spark, sf_dir).where("title <> ''")
+    post = F.struct(F.struct(_xml(F.col("title")).alias("rendered")).alias("title"), F.concat(F.lit("https://posts.example.com/"), F.col("id").cast("string")).alias("link"), F.lit("2024-03-05T10:00:00").alias("date_gmt"))
     return d.groupBy("source", F.floor(F.col("id") / PAGE).alias("page")).agg(F.to_json(F.collect_list(post)).alias("json"))
 
 
