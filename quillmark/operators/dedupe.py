@@ -57,16 +57,31 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def unique_texts(df: DataFrame, text: str, order: list[str], extras: list[str]) -> DataFrame:
-    """Repeated texts made distinct: the first keeps its text, later ones get the first unused suffix.
+    """Repeated texts made distinct, in order: a row takes its text, else the first of its made ones that no earlier row has.
 
-    The n-th copy (n from 0) takes the plain text, then each of its own extras, then a number. Copies whose
-    extras would collide with each other fall through to numbers by their rank among equal candidates.
+    A row tries its text, the text with each of its own extras (empty ones are skipped), then with #2, #3 and so on; a
+    made text may equal one that exists, which then gives way if it comes later. In rounds, every row holds the next
+    text it hasn't lost, each text goes to its earliest row, and the losers go on. What a row has lost stays lost, so the
+    end is that of a loop over the rows in order. Rows of one text that are left to numbers start at their rank.
+
+    Edge cases: null and empty texts are left alone; rows of equal order count in an order of their own; rounds end when
+    no two rows hold the same text.
     """
-    w = Window.partitionBy(text).orderBy(*order)
-    made = F.concat(F.col(text), F.lit(" ("), F.col(extras[0]), F.lit(")"))
-    df = df.withColumn("copy", F.row_number().over(w) - 1)
-    df = df.withColumn("made", F.when(F.col("copy") > 0, made).otherwise(F.col(text)))
-    again = F.row_number().over(Window.partitionBy("made").orderBy("copy", *order)) - 1
-    df = df.withColumn("again", again)
-    fixed = F.when(F.col("again") == 0, F.col("made")).otherwise(F.concat(F.col(text), F.lit(" (#"), (F.col("again") + 1).cast("string"), F.lit(")")))
-    return df.withColumn(text, fixed).drop("copy", "made", "again")
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()))
+    made = F.filter(F.array(*[F.col(f"`{e}`").cast("string") for e in extras]), lambda e: F.coalesce(e, F.lit("")) != "")
+    at = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate([*order, "_row"])])
+    live = rows.where(F.coalesce(F.col(text), F.lit("")) != "").select("_row", at.alias("at"), F.col(text).alias("t"), made.alias("extras"), F.lit(0).cast("long").alias("k"))
+    said = F.when(F.col("k") <= F.size("extras"), F.concat(F.lit(" ("), F.get("extras", (F.col("k") - 1).cast("int")), F.lit(")")))
+    said = F.when(F.col("k") == 0, F.lit("")).otherwise(F.coalesce(said, F.concat(F.lit(" (#"), (F.col("k") - F.size("extras") + 1).cast("string"), F.lit(")"))))
+    rank = F.row_number().over(Window.partitionBy("t").orderBy("at"))
+    while True:
+        held = written(live.withColumn("c", F.concat("t", said)))
+        first = held.groupBy("c").agg(F.min("at").alias("first"))
+        judged = written(held.join(first, "c").select("_row", "at", "t", "extras", "c", (F.col("k") + (F.col("at") != F.col("first")).cast("long")).alias("k"), (F.col("at") != F.col("first")).alias("lost")))
+        if judged.where("lost").isEmpty():
+            break
+        numbered = judged.where("k > size(extras)").withColumn("k", F.greatest("k", F.size("extras") + rank))
+        live = judged.where("k <= size(extras)").unionByName(numbered).drop("c", "lost")
+    texts = judged.select("_row", F.col("c").alias("_made"))
+    out = rows.join(texts, "_row", "left").withColumn(text, F.coalesce("_made", F.col(text)))
+    return out.select(*df.columns)

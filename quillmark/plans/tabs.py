@@ -231,12 +231,14 @@ def tab_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.tab_report(_tabs(spark, sf_dir), "tab", "day", F.col("keep"))
 
 
-@query("dq02_publish_guard", f"""WITH {_REPORTS}, b AS (SELECT tab, items + tab * 20 AS items, read + 1 AS read, CASE WHEN tab = 2 THEN '2025-01-01' ELSE latest END AS latest FROM r)
-    SELECT r.tab, array_to_string(list_filter([CASE WHEN r.items < b.items * 0.97 THEN 'items dropped' END, CASE WHEN r.read < b.read * 0.97 THEN 'read dropped' END, CASE WHEN r.latest < b.latest THEN 'latest went back' END, CASE WHEN r.busiest > 15 THEN 'day too full' END], lambda x: x IS NOT NULL), ',') AS failures FROM r JOIN b USING (tab)""")
+@query("dq02_publish_guard", f"""WITH {_REPORTS}, b AS (SELECT tab, items + tab * 20 AS items, read + 1 AS read, CASE WHEN tab = 2 THEN '2025-01-01' ELSE latest END AS latest FROM r UNION ALL SELECT 9, 5, 5, '2024-01-01')
+    SELECT coalesce(r.tab, b.tab) AS tab, array_to_string(list_filter([CASE WHEN r.tab IS NULL THEN 'tab vanished' END, CASE WHEN r.items < b.items * 0.97 THEN 'items dropped' END, CASE WHEN r.read < b.read * 0.97 THEN 'read dropped' END, CASE WHEN r.latest < b.latest THEN 'latest went back' END, CASE WHEN r.busiest > 15 THEN 'day too full' END, CASE WHEN r.items < 100 THEN 'too few items' END], lambda x: x IS NOT NULL), ',') AS failures FROM r FULL JOIN b ON r.tab = b.tab""")
 def publish_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = tab_report(spark, sf_dir)
+    """Failures of each tab against an earlier state, which had a tab that is gone."""
+    now = publish.tab_report(_tabs(spark, sf_dir), "tab", "day", F.col("keep"), "id")
     before = now.select("tab", (F.col("items") + F.col("tab") * 20).alias("items"), (F.col("read") + 1).alias("read"), F.when(F.col("tab") == 2, "2025-01-01").otherwise(F.col("latest")).alias("latest"))
-    return publish.publish_guard(now, before, "tab").select("tab", F.array_join("failures", ",").alias("failures"))
+    gone = spark.range(1).select(F.lit(9).cast("long").alias("tab"), F.lit(5).cast("long").alias("items"), F.lit(5).cast("long").alias("read"), F.lit("2024-01-01").alias("latest"))
+    return publish.publish_guard(now, before.unionByName(gone), "tab", least=100).select("tab", F.array_join("failures", ",").alias("failures"))
 
 
 @query("dq09_freshness", f"WITH {PAGE_ITEMS}, t(tab) AS (VALUES (0), (1), (2), (3)), n AS (SELECT id % 3 AS tab, count(*) AS n FROM items WHERE day = '2024-01-05' AND id % 3 <> 1 GROUP BY 1) SELECT t.tab, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'error' WHEN n < 15 THEN 'warning' ELSE 'ok' END AS level FROM t LEFT JOIN n ON n.tab = t.tab")
@@ -263,20 +265,20 @@ def new_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("defects", ",").alias("defects"))
 
 
-@query("snk01_archive_write", f"WITH {PAGE_ITEMS}, a AS (SELECT id, day, 0 AS part FROM items WHERE id % 2 = 0 AND id % 6 <> 0 UNION ALL SELECT id, day, 1 FROM items WHERE id % 3 = 0) SELECT id, day, part FROM a QUALIFY row_number() OVER (PARTITION BY day ORDER BY part DESC, id) <= 15")
+@query("snk01_archive_write")
 def archive_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive after a write: incoming rows replace their ids and come first; fifteen rows a day."""
-    p = page_items(spark, sf_dir).select("id", "day")
-    old, new = p.where("id % 2 = 0").withColumn("part", F.lit(0)), p.where("id % 3 = 0").withColumn("part", F.lit(1))
-    return publish.archived(old, new, "id", "day", [F.desc("part"), F.col("id")], 15).select("id", "day", "part")
+    """The archive of three tabs after a write: merged by address and title, fifteen rows a day, titles made unique (a loop over rows; see the tests)."""
+    p = page_items(spark, sf_dir).select("id", "day", F.col("id").alias("pos"), "url", "title", (F.col("id") % 3).cast("string").alias("tab"))
+    return publish.archived(p.where("id % 2 = 0"), p.where("id % 5 < 2"), unique="title", extras=("id",)).select("id", "tab", "day", "title")
 
 
-@query("snk04_history_upsert", f"WITH p AS (SELECT {CANONICAL} AS c, page_id FROM pages), o AS (SELECT c, min(page_id) AS first, max(page_id) AS seen FROM p WHERE page_id % 2 = 0 GROUP BY 1), n AS (SELECT c, CAST(NULL AS BIGINT) AS first, max(page_id) AS seen FROM p WHERE page_id % 3 = 0 GROUP BY 1) SELECT coalesce(o.c, n.c) AS c, coalesce(n.first, o.first, -1) AS first, coalesce(n.seen, o.seen) AS seen FROM o FULL JOIN n ON o.c = n.c")
+@query("snk04_history_upsert", f"""WITH p AS (SELECT {CANONICAL} AS c, page_id, CASE WHEN page_id % 4 <> 0 THEN page_id END AS note FROM pages),
+    o AS (SELECT c, arg_max(note, page_id) FILTER (WHERE note IS NOT NULL) AS note, max(page_id) AS page_id FROM p WHERE page_id % 2 = 0 GROUP BY 1), n AS (SELECT c, arg_max(note, page_id) FILTER (WHERE note IS NOT NULL) AS note, max(page_id) AS page_id FROM p WHERE page_id % 3 = 0 GROUP BY 1)
+    SELECT coalesce(n.c, o.c) AS c, coalesce(n.note, o.note, -1) AS note, coalesce(n.page_id, o.page_id) AS page_id FROM o FULL JOIN n ON o.c = n.c""")
 def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select(url.canonical(F.col("url")).alias("c"), "page_id")
-    old = p.where("page_id % 2 = 0").groupBy("c").agg(F.min("page_id").alias("first"), F.max("page_id").alias("seen"))
-    new = p.where("page_id % 3 = 0").groupBy("c").agg(F.lit(None).cast("long").alias("first"), F.max("page_id").alias("seen"))
-    return publish.upserted_history(old, new, "c").na.fill({"first": -1})
+    """History and found rows, both with repeated addresses; the last note that isn't null counts."""
+    p = table(spark, sf_dir, "pages").select(url.canonical(F.col("url")).alias("c"), "page_id", F.when(F.col("page_id") % 4 != 0, F.col("page_id")).alias("note"))
+    return publish.upserted_history(p.where("page_id % 2 = 0"), p.where("page_id % 3 = 0"), "c", "page_id").na.fill({"note": -1}).select("c", "note", "page_id")
 
 
 @query("fn33_compact_export", f"WITH {DOC_ITEMS} SELECT id, id % 3 AS tab, CASE WHEN quality IS NOT NULL THEN lower(title) ELSE title END AS t, title AS ot, CASE WHEN id % 4 = 0 THEN '' ELSE 'img' || id END AS img, source AS s, coalesce(quality, -1) AS k, id % 700 > 365 AS old FROM docs")
