@@ -40,7 +40,7 @@ from .common import cut, documents
 BLOCK_CHARS = 1_000_000
 BLOCK_ROWS = 2_000
 KNOWN_CHARS, CHUNKS_AT_ONCE = 4_000_000, 300
-_CHUNK = re.compile(r"(?= [\w!-/:-@\[-`{-~])")
+_CUT = r"(?<=[\w!-/:-@\[-`{-~])(?= [\w!-/:-@\[-`{-~])"
 _SPACE = "▁"
 
 
@@ -71,40 +71,69 @@ class Tokenizers:
             raise ValueError("a pair of ids must fit into 31 bits")
         self.a_size, self.b_size = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
         said = lambda v, ends: np.array([[f"{k}{e}" for k in range(len(v))] for e in ends], object)
-        self.known, self.known_chars = {}, 0
+        inside = any(_SPACE in p.lstrip(_SPACE) for k, p in enumerate(pieces) if not self.b.is_byte(k))
+        self.cut, self.b_space = re.compile("$^" if inside else _CUT), [self.b.piece_to_id(_SPACE)]
+        self.forget()
         self.a_said, self.b_said = said(self.a_bytes, ",|"), said(self.b_bytes, [",", ";", ""])
 
-    def a_ids(self, texts: list[str]) -> list[list[int]]:
-        """Ids of A. A token of A never reaches over a space before a letter, digit or sign, so texts are cut there and each chunk is encoded once."""
+    def learn(self, chunks: list[str]) -> None:
+        """Encodes chunks that weren't seen yet and notes whether the bytes of their tokens are theirs."""
         if self.known_chars > KNOWN_CHARS:
-            self.known, self.known_chars = {}, 0
-        chunks = [_CHUNK.split(t) for t in texts]
-        heads = list({cs[0] for cs in chunks} - self.known.keys())  # all later chunks begin with a space where texts are cut
-        self.known.update(zip(heads, [e.ids for e in self.a.encode_batch_fast(heads, add_special_tokens=False)], strict=True))
-        new = list(set(chain.from_iterable(chunks)) - self.known.keys())
+            self.forget()
+        new = list(set(chunks) - self.known.keys())
+        if not new:
+            return
         joined = ["".join(new[k : k + CHUNKS_AT_ONCE]) for k in range(0, len(new), CHUNKS_AT_ONCE)]
-        ids = [i for e in self.a.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids]
-        ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in new])
-        at = [0, *(np.searchsorted(np.cumsum(self.a_size[ids]), ends) + 1).tolist()]
-        self.known.update((c, ids[i:k]) for c, i, k in zip(new, at, at[1:], strict=False))
-        self.known_chars += sum(map(len, new)) + sum(map(len, heads))
-        return [list(chain.from_iterable(map(self.known.__getitem__, cs))) for cs in chunks]
-
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and of B for each text; none where the bytes don't match."""
-        some = [t or "" for t in texts]
-        a = self.a_ids([" " + t for t in some])
-        b = self.b.encode(some, num_threads=1)
-        for k, t in enumerate(some):
-            want = (" " + t).encode()
-            if not t or b"".join([self.a_bytes[i] for i in a[k]]) != want or b"".join([self.b_bytes[i] for i in b[k]]) != want:
-                a[k], b[k] = [], []
-        return a, b
-
-
-def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in ids], np.int64)
-    return np.array([i for x in ids for i in x], np.int64), sizes
+        a = np.array([i for e in self.a.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.int32)
+        a_ends = np.searchsorted(np.cumsum(self.a_size[a]), np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in new])) + 1
+        b = [ids if c != " " else self.b_space for c, ids in zip(new, self.b.encode([c[1:] for c in new], num_threads=1), strict=True)]
+        b_ends = np.cumsum([len(ids) for ids in b])
+        b = np.array(list(chain.from_iterable(b)), np.int32)
+        first = len(self.known)
+        self.known.update(zip(new, range(first, first + len(new)), strict=True))
+        self.a_flat, self.b_flat = np.concatenate([self.a_flat, a]), np.concatenate([self.b_flat, b])
+        self.a_at = np.concatenate([self.a_at, self.a_at[-1] + a_ends])
+        self.b_at = np.concatenate([self.b_at, self.b_at[-1] + b_ends])
+        same = [self._same(new, entries, ids, ends) for entries, ids, ends in ((self.a_bytes, a, a_ends), (self.b_bytes, b, b_ends))]
+        self.same = np.concatenate([self.same, same[0] & same[1]])
+        self.known_chars += sum(map(len, new))
+
+    @staticmethod
+    def _same(chunks: list[str], entries: list[bytes], ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which chunks are the bytes of their tokens: all at once, and one by one only if any isn't."""
+        said, sizes = [entries[i] for i in ids.tolist()], [len(c) if c.isascii() else len(c.encode()) for c in chunks]
+        upto = np.concatenate([[0], np.cumsum([len(x) for x in said])])[ends]
+        if np.array_equal(upto, np.cumsum(sizes)) and b"".join(said) == "".join(chunks).encode():
+            return np.ones(len(chunks), bool)
+        return np.array([b"".join(said[i:k]) == c.encode() for c, i, k in zip(chunks, [0, *ends], ends, strict=False)])
+
+    def forget(self) -> None:
+        self.known, self.known_chars, self.same = {}, 0, np.empty(0, bool)
+        self.a_flat = self.b_flat = np.empty(0, np.int32)
+        self.a_at = self.b_at = np.zeros(1, np.int64)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of A, number of each text, ids of B, number of each text); none where the bytes don't match.
+
+        No token of either tokenizer reaches over a space that has a sign or letter at both of its sides, so texts are
+        cut there and each distinct chunk is encoded once. (A starts a token there by its pattern; B has no entry with
+        a space after another character, which is tested when it is read, else its texts are one chunk.)
+        """
+        chunks = [self.cut.split(" " + t) if t else [] for t in texts]
+        every = list(chain.from_iterable(chunks))
+        self.learn(every)
+        k = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        text = np.repeat(np.arange(len(texts)), [len(cs) for cs in chunks])
+        good = np.bincount(text, ~self.same[k], len(texts)) == 0
+        k, text = k[good[text]], text[good[text]]
+        a, b = self._gather(self.a_flat, self.a_at, k), self._gather(self.b_flat, self.b_at, k)
+        n_a, n_b = (np.bincount(text, (at[1:] - at[:-1])[k], len(texts)).astype(np.int64) for at in (self.a_at, self.b_at))
+        return a, n_a, b, n_b
+
+    @staticmethod
+    def _gather(flat: np.ndarray, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+        sizes = at[k + 1] - at[k]
+        return flat[np.repeat(at[k] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())].astype(np.int64)
 
 
 def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -113,7 +142,7 @@ def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 def align_block(t: Tokenizers, texts: list[str | None]) -> dict[str, list | np.ndarray]:
     """Numbers of tokens, groups and links of each text, its groups as text, and its distinct pairs with their links."""
-    (a, n_a), (b, n_b) = map(_flat, t.encode(texts))
+    a, n_a, b, n_b = t.encode(texts)
     a_ends, b_ends = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
     total = int(a_ends[-1]) if len(a_ends) else 0
     of_text = np.concatenate([[0], a_ends])[np.cumsum(n_a)]  # where each text's bytes end
