@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import select
-from ..streaming import streams
+from ..operators.rounds import shared_folder
+from ..streaming import state, streams
 from .registry import query
 from .tables import table
 
@@ -113,6 +116,26 @@ def recent_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.cap_per_group(e.select("event_id", "user_id", "ts"), "user_id", [F.desc("ts"), F.desc("event_id")], 5).select("event_id", "user_id")
 
 
+@query("str07_source_states", """WITH r AS (SELECT 'u' || user_id AS source, ts, event_id % 10 < user_id % 10 AS keep, event_id % 8 AS sharp FROM events),
+    g AS (SELECT source, count(*) AS seen, count(*) FILTER (WHERE keep) AS kept, avg(sharp) AS sharp, max(CAST(ts AS DATE)) AS last FROM r GROUP BY 1), n AS (SELECT CAST(max(ts) + INTERVAL 1 SECOND AS DATE) AS today FROM r)
+    SELECT source, seen, CASE WHEN seen >= 8 AND kept / CAST(seen AS DOUBLE) < 0.2 AND sharp < 4.5 AND today - last < 3 THEN 'demoted' WHEN seen >= 6 AND kept / CAST(seen AS DOUBLE) >= 0.6 THEN 'trusted' ELSE 'watch' END AS status FROM g, n""")
+def source_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-07, STR-10: the states of a stream that is started anew for each third of the events; demotions end after three unseen days."""
+    root = f"{shared_folder(spark)}/states-{uuid.uuid4().hex}"
+    e = _events(spark, sf_dir)
+    cols = "source string, ts timestamp, keep boolean, sharpness double"
+    rows = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), "ts", (F.col("event_id") % 10 < F.col("user_id") % 10).alias("keep"), (F.col("event_id") % 8).cast("double").alias("sharpness"))
+    low, high = e.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    third = F.least(F.lit(2), F.floor((F.unix_seconds("ts") - low) * 3 / max(high - low, 1)))
+    clock = rows.agg(F.max("ts").alias("ts")).select(F.lit("clock").alias("source"), (F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("ts"), F.lit(True).alias("keep"), F.lit(5.0).alias("sharpness"))
+    parts = [rows.where(third == k) for k in range(3)] + [clock, clock.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 SECOND"))]
+    for part in parts:
+        part.write.mode("append").parquet(f"{root}/in")
+        state.follow_sources(spark.readStream.schema(cols).parquet(f"{root}/in"), f"{root}/out", f"{root}/checkpoint", 3, "0 seconds").awaitTermination()
+    seen = rows.groupBy("source").agg(F.count("*").alias("seen"))
+    return state.latest_states(spark, f"{root}/out").where("source <> 'clock'").select("source", "status").join(seen, "source").select("source", "seen", "status")
+
+
 @query("cls24_taste_boost", """WITH a AS (SELECT user_id, event_type, CAST(sum(CASE WHEN CAST(props->>'k' AS INT) >= 50 THEN 1 ELSE -1 END) AS BIGINT) AS affinity FROM events GROUP BY 1, 2)
     SELECT user_id, event_type, affinity, greatest(-1.5, least(1.5, 0.25 * affinity)) AS boost FROM a""")
 def taste_boost(spark: SparkSession, sf_dir: str) -> DataFrame:

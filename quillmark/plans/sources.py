@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality
-from ..sources import feeds, registry_files
+from ..sources import crawl, feeds, registry_files
 from .registry import query
-from .tables import DOC_ITEMS, doc_items, table
+from .tables import CANONICAL, DOC_ITEMS, doc_items, table
 
 
 #: Ids of one landed page of a feed, a sitemap or posts; a page is one string.
@@ -74,6 +74,20 @@ def _sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(F.floor(F.col("page_id") / PAGE).alias("m")).agg(F.array_join(F.collect_list(one), "\n").alias("x")).select(F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("xml"))
 
 
+@query("src14_sitemap_walk", f"SELECT DISTINCT {CANONICAL} AS url FROM pages")
+def sitemap_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a landed sitemap tree: an index of indexes of sitemaps, which name their index again."""
+    name = lambda kind, n: F.concat(F.lit(f"https://maps.example.com/{kind}"), n.cast("string"), F.lit(".xml"))
+    entry = lambda u: F.concat(F.lit("<sitemap><loc>"), u, F.lit("</loc></sitemap>"))
+    inside = lambda xs: F.concat(F.lit("<sitemapindex>"), F.array_join(F.sort_array(F.collect_list(xs)), ""), F.lit("</sitemapindex>"))
+    maps = table(spark, sf_dir, "pages").withColumn("m", F.floor(F.col("page_id") / PAGE)).groupBy("m").agg(F.array_join(F.collect_list(F.concat(F.lit("<url><loc>"), _xml(F.col("url")), F.lit("</loc></url>"))), "\n").alias("x"))
+    maps = maps.select(F.floor(F.col("m") / PAGE).alias("i"), name("m", F.col("m")).alias("url"), F.concat(F.lit("<urlset>"), "x", entry(F.lit("https://maps.example.com/index.xml")), F.lit("</urlset>")).alias("xml"))
+    parts = maps.groupBy("i").agg(inside(entry(F.col("url"))).alias("xml")).select(name("i", F.col("i")).alias("url"), "xml")
+    top = parts.agg(inside(entry(F.col("url"))).alias("xml")).select(F.lit("https://maps.example.com/index.xml").alias("url"), "xml")
+    landed = maps.select("url", "xml").unionByName(parts).unionByName(top)
+    return crawl.walk_sitemaps(landed, top.select(F.lit("maps").alias("source"), "url"), most=1 << 30)[0].select("url")
+
+
 @query("src10_posts", f"WITH {DOC_ITEMS} SELECT id, {_CLEAN.format('title')} AS title FROM docs WHERE title <> ''")
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = feeds.parse_posts(_posts(spark, sf_dir))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import url
 from ..operators import publish, select, tabs
+from ..operators.rounds import shared_folder
+from ..sources import site, versions
 from .registry import query
 from .tables import CANONICAL, DOC_ITEMS, PAGE_ITEMS, doc_items, page_items, table
 
@@ -289,6 +293,29 @@ def compact_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", (F.col("id") % 3).alias("tab"), F.coalesce(title, "title").alias("t"), F.col("title").alias("ot"), F.coalesce(image, F.lit("")).alias("img"), F.col("source").alias("s"), F.coalesce("quality", F.lit(-1)).alias("k"), (F.col("id") % 700 > 365).alias("old"))
 
 
+@query("snk07_site_export", f"""WITH {DOC_ITEMS}, i AS (SELECT id, coalesce(lang, 'none') AS tab, source, CAST(DATE '2024-01-01' + CAST(id % 50 AS INT) AS VARCHAR) AS day, quality = 1 AS keep, CASE WHEN quality IS NOT NULL THEN 1 + id % 10 END AS sh FROM docs),
+    d AS (SELECT tab, day, count(*) AS n, row_number() OVER (PARTITION BY tab ORDER BY day DESC) AS r FROM i GROUP BY 1, 2),
+    t AS (SELECT i.tab, count(*) AS item_count, count(DISTINCT i.day) AS date_count, max(i.day) AS latest, count(sh) AS read_count, count(*) FILTER (WHERE sh IS NOT NULL AND keep) AS keep_count, count(*) FILTER (WHERE r <= 21) AS recent FROM i JOIN d ON d.tab = i.tab AND d.day = i.day GROUP BY 1),
+    l AS (SELECT DISTINCT day FROM i ORDER BY day DESC LIMIT 3),
+    k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sh DESC, day DESC, id) AS c FROM i WHERE keep AND day IN (SELECT day FROM l)),
+    p AS (SELECT tab, sh, day, id FROM k WHERE c <= 2 ORDER BY sh DESC, day DESC, id LIMIT 12)
+    SELECT t.*, coalesce(n, 0) AS picks FROM t LEFT JOIN (SELECT tab, count(*) AS n FROM p GROUP BY 1) q ON q.tab = t.tab""")
+def site_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-07: the site's tables, published as one commit and read back by their manifest: totals, recent rows and picks of each tab."""
+    root, none = f"{shared_folder(spark)}/site-{uuid.uuid4().hex}", F.lit(None).cast("string")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 50 * 86_400)
+    read = F.col("quality").isNotNull()
+    items = doc_items(spark, sf_dir).select(
+        "id", F.coalesce("lang", F.lit("none")).alias("tab"), at.alias("at"), at.alias("archived_at"), (at - F.expr("INTERVAL 3 DAYS")).alias("original"), "title", none.alias("article_title"),
+        none.alias("title_ko"), F.when(read, F.upper("title")).alias("deep_title"), none.alias("url"), none.alias("image"), none.alias("image_kind"), "source", F.col("text").alias("summary"),
+        none.alias("summary_ko"), none.alias("deep_summary"), none.alias("deep_category"), (F.col("quality") == 1).alias("keep"), F.when(read, 1 + F.col("id") % 10).cast("int").alias("sharpness"),
+    )
+    site.export(items, root, F.lit("other"))
+    n = lambda name, said: versions.read(spark, root, name).groupBy("tab").agg(F.count("*").alias(said))
+    meta = versions.read(spark, root, "meta").select("tab", "item_count", "date_count", "latest", "read_count", "keep_count")
+    return meta.join(n("recent", "recent"), "tab", "left").join(n("today", "picks"), "tab", "left").na.fill({"picks": 0})
+
+
 @query("agg08_source_max", f"WITH {DOC_ITEMS}, n AS (SELECT lang, source, count(*) AS n FROM docs GROUP BY 1, 2) SELECT lang, max(n) AS most, count(*) AS sources FROM n GROUP BY 1")
 def source_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = doc_items(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"))
