@@ -37,9 +37,13 @@ def by_age(age: Column, steps: tuple[tuple[int, int], ...], older: int) -> Colum
     return out
 
 
+#: A word's edge between a-z, 0-9 or _ and anything else, accented letters too: what \\b means in the rule lists.
+_EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
 def hit_count(x: Column, patterns: tuple[str, ...]) -> Column:
-    """How many of the patterns match."""
-    return sum((F.coalesce(x.rlike(p), F.lit(False)).cast("int") for p in patterns), F.lit(0))
+    """How many of the patterns match; an edge of a word is one of plain letters, digits and underscores."""
+    return sum((F.coalesce(x.rlike(p.replace(r"\b", _EDGE)), F.lit(False)).cast("int") for p in patterns), F.lit(0))
 
 
 def update_words(title: Column, summary: Column, address: Column) -> Column:

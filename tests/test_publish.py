@@ -74,6 +74,7 @@ def test_update_reasons(spark):
     assert soft.eligible and soft.score >= 35 and soft.rejected == soft.soft == ["outside-creative-practice", "no-creative-point-of-view"]
     assert score("A film design", long, "https://e.com/open-call").eligible and not score("A film design", long, "https://e.com/?x=open call").eligible
     assert score("A coupon film design", long).rejected[0] == "commercial-noise" and not score("A coupon film design", long).eligible
+    assert not score("A coupon-film design", long).eligible and score("A couponä film design", long).rejected[0] == "commercial-noise"  # edges are of plain letters
     assert score(None, None).rejected[:1] == ["insufficient-evidence"] and not score(None, None).eligible
 
 
