@@ -37,7 +37,7 @@ def by_age(age: Column, steps: tuple[tuple[int, int], ...], older: int) -> Colum
     return out
 
 
-#: A word's edge between a-z, 0-9 or _ and anything else, accented letters too: what \\b means in the rule lists.
+#: A word's edge between a-z, 0-9 or _ and anything else, accented letters too: what \b means in the rule lists.
 _EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
