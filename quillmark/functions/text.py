@@ -125,8 +125,10 @@ def hits(text: Column, terms: list[str]) -> Column:
 # Sentences that publishing systems append to feed summaries.
 FEED_TAILS = (
     r"(?i)The post .{0,200}? appeared first on .{0,80}?\.?$",
+    r".{0,120}\| .{0,60} 에 처음 등장했습니다\.?",
+    r".{0,80}에 처음 등장했습니다\.?",
     r"(?i)appeared first on [^.]{0,80}\.?",
-    r"\[(?:Watch|Read more|Read More|…|\.\.\.)\]",
+    r"\[(?:Watch|Read more|Read More|자세히 읽기|더 읽기|보기|…|\.\.\.)\]",
     r"(?i)\s*(?:Continue reading|Read more)\s*(?:\.{3}|…)?\s*$",
 )
 

@@ -45,6 +45,8 @@ def test_texts(spark):
     assert one(spark, text.has_term(F.col("t"), "ai"), t="ai시대") is True
     assert one(spark, text.has_term(F.col("t"), "ai"), t="paint") is False
     assert one(spark, text.clean_feed(F.col("t")), t="Good text. The post A appeared first on B.") == "Good text."
+    assert one(spark, text.clean_feed(F.col("t")), t="[보기] 글 [더 읽기]") == "글"
+    assert one(spark, text.clean_feed(F.col("t")), t="좋은 글이다. 제목 | 잡지 에 처음 등장했습니다.") == ""
     assert one(spark, text.same_meaning(F.col("a"), F.col("b")), a="A-B c", b="xx abc yy") is True
     assert one(spark, text.loose_json(F.col("t"), "a int"), t='```json\n{"a": 3}\n```')["a"] == 3
 
