@@ -13,7 +13,8 @@ Spark adds up. So every training token is learned from ``PASSES`` times. Bounded
 * the counts of the ``FREQUENT`` most frequent training tokens are broadcast (a few MB); the others of a document are
   counted a document at a time and joined with the table of counts, as rows of (row, 64-bit hash, times).
 
-Output: P(symbol) = P(class) * P(symbol in class), classes being bands of frequency. Scoring runs documents side
+Output: P(symbol) = P(class) * P(symbol in class), classes being bands of frequency, narrow where
+symbols are frequent. Scoring runs documents side
 by side in ``LANES`` lanes (longest first onto the shortest lane) and in windows of ``WINDOW`` steps; the state
 is carried from window to window and set to zero where a document begins, so each document is scored whole.
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, id_mod
 
-SHARE, GROUPS, CLASSES, FREQUENT = 4e-5, 48, 40, 100_000
+SHARE, GROUPS, CLASSES, FREQUENT = 4e-5, 48, 32, 100_000
 PASSES, SHARD_TOKENS, TRAIN_BLOCK, WEIGHTS = 3, 1_000_000, 1_000_000, 4096
 HIDDEN, INPUT, LANES, WINDOW = 24, 24, 512, 64
 TRAIN_LANES, TRAIN_WINDOW, LEAST_STEPS = 256, 32, 64
@@ -155,7 +156,10 @@ class GatedModel:
 
     def __init__(self, frequency: np.ndarray, classes: int = CLASSES, seed: int = 3):
         random, s = np.random.default_rng(seed), len(frequency)
-        self.bounds = np.unique(np.linspace(0, s, min(classes, s) + 1).astype(int))
+        # bands of equal sums of square roots of frequency: of all bands, those with the fewest expected symbols a token
+        roots = np.cumsum(np.sqrt(frequency))
+        inner = np.searchsorted(roots, roots[-1] * np.arange(1, min(classes, s)) / min(classes, s)) if s else []
+        self.bounds = np.unique([0, *inner, s]).astype(int)
         self.class_of = np.searchsorted(self.bounds, np.arange(s), side="right") - 1
         c = len(self.bounds) - 1
         small = lambda *shape: random.normal(0, 0.1, shape).astype(np.float32)
