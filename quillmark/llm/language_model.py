@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import cut, documents, id_mod
 
 SHARE, GROUPS, CLASSES, FREQUENT = 4e-5, 48, 32, 100_000
-PASSES, SHARD_TOKENS, TRAIN_BLOCK, WEIGHTS = 3, 1_000_000, 1_000_000, 4096
+PASSES, SHARD_TOKENS, TRAIN_BLOCK, WEIGHTS, FAN = 3, 1_000_000, 1_000_000, 4096, 64
 HIDDEN, INPUT, LANES, WINDOW = 24, 24, 512, 64
 TRAIN_LANES, TRAIN_WINDOW, LEAST_STEPS = 256, 32, 64
 BLOCK_TOKENS = 3_000_000
@@ -405,7 +405,9 @@ def fit_round(parts: DataFrame, model: GatedModel, end: int, turn: int) -> int:
         return pa.table({"k": table.column("k").slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "w": pa.array([w.tobytes()], pa.binary())})
 
     fitted = parts.select("shard", "symbols").mapInArrow(run, "k int, n long, w binary")
-    got = sorted(fitted.groupBy("k").applyInArrow(add, "k int, n long, w binary").collect())
+    # the weights of FAN tasks are added up first, then those sums
+    some = fitted.withColumn("fan", F.floor(F.spark_partition_id() / FAN)).groupBy("k", "fan").applyInArrow(add, "k int, n long, w binary")
+    got = sorted(some.groupBy("k").applyInArrow(add, "k int, n long, w binary").collect())
     if not got:
         return 0
     model.take(np.concatenate([np.frombuffer(bytes(r.w), np.float64) for r in got]) / got[0].n)
