@@ -21,6 +21,20 @@ def decode_entities(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def decode_numeric(text: Column) -> Column:
+    """Numeric entities, decimal and hexadecimal, each decoded once; those of no character stay as they are."""
+    found = r"&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+
+    def char(code: Column) -> Column:
+        point = F.when(F.lower(code).startswith("x"), F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).cast("int")
+        real = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
+        return F.when(real, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(F.concat(F.lit("&#"), code, F.lit(";")))
+
+    codes = F.regexp_extract_all(text, F.lit(found), F.lit(1))
+    joined = F.array_join(F.zip_with(F.split(text, found), F.transform(codes, char), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(text.contains("&#"), joined).otherwise(text)
+
+
 def strip_html(html: Column) -> Column:
     """The text of a page: no scripts, styles or tags, entities decoded."""
     for tag in ("script", "style", "noscript"):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text
+
 # Tracking parameters that the canonical form drops.
 TRACKING = r"^(utm_.*|fbclid|gclid|mc_cid|mc_eid|ref|source|lang)$"
 # Locale segments and slug prefixes that identity keys ignore.
@@ -52,6 +54,64 @@ def host_suffixes(h: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without . and .. segments (also as %2e); one that ends in such a segment ends in a slash."""
+    parts = F.split(path, "/")
+    # a segment that is ., .. or neither
+    dots = lambda x: F.length(F.regexp_replace(F.regexp_replace(x, "(?i)%2e", "."), r"^(?!\.{1,2}$).*", ""))
+
+    def step(kept: Column, x: Column) -> Column:
+        # the first, empty part stands for the root and is never taken away
+        up = F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+        return F.when(dots(x) == 1, kept).when(dots(x) == 2, up).otherwise(F.concat(kept, F.array(x)))
+
+    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    last = dots(F.element_at(parts, -1)) > 0
+    return F.when(path.rlike(r"(?i)(?:^|/)(?:\.|%2e){1,2}(?:/|$)"), F.when(last, F.concat(joined, F.lit("/"))).otherwise(joined)).otherwise(path)
+
+
+def absolute(value: Column, base: Column) -> Column:
+    """An address as a page at ``base`` means it: whole ones as they are, others after the base's scheme, host or folder.
+
+    Entities are decoded, backslashes of paths are slashes, dot segments are resolved, an empty path is /. Null where the
+    value is null or empty, or where neither it nor the base names a host; schemes other than http and https are kept as
+    they are.
+    """
+    v = F.trim(text.decode_numeric(text.decode_entities(value)))
+    scheme, host_of = F.lower(F.regexp_extract(v, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), r"^([^/?#]*)"
+    web = scheme.isin("http", "https")
+    root = F.concat(F.lower(part(base, 1)), F.lit(":"))
+    path, query, fragment = F.regexp_extract(v, r"^([^?#]*)", 1), F.regexp_extract(v, r"^[^?#]*(\?[^#]*)", 1), F.regexp_extract(v, r"(#.*)$", 1)
+    path = F.translate(path, "\\", "/")
+    after = F.regexp_replace(path, "^[^:/]*:(?=/)", "")  # of whole addresses: what follows the scheme
+    whole = F.when(web, after).when((scheme == "") & path.startswith("//"), path)
+    authority = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    own = F.regexp_extract(F.regexp_replace(whole, "^/+", ""), host_of, 1)
+    own_path = F.regexp_replace(F.regexp_replace(whole, "^/+", ""), host_of, "")
+    base_path = F.when(part(base, 4) == "", "/").otherwise(part(base, 4))
+    found = (
+        F.when(whole.isNotNull(), own_path)
+        .when(path.startswith("/"), path)
+        .when(path == "", base_path)
+        .otherwise(F.concat(F.regexp_replace(base_path, "[^/]*$", ""), path))
+    )
+    found = F.when(found == "", "/").otherwise(without_dots(found))
+    asked = F.when(whole.isNull() & (path == "") & (query == ""), part(base, 5)).otherwise(query)
+    start = F.when(web, F.concat(scheme, F.lit(":"))).otherwise(root)
+    at = F.lower(F.when(whole.isNotNull(), own).otherwise(authority))
+    made = F.concat(start, F.lit("//"), at, found, asked, fragment)
+    usable = F.when(whole.isNotNull(), (own != "") & (web | is_url(base))).otherwise(is_url(base))
+    return F.when(F.coalesce(v, F.lit("")) == "", None).when((scheme != "") & ~web, v).when(usable, made)
+
+
+def decoded(path: Column) -> Column:
+    """Percent-encoded UTF-8 as text; a path with an escape that is none, or whose bytes are no UTF-8, as it is."""
+    bad, plain = "%(?![0-9A-Fa-f]{2})", F.replace(path, F.lit("+"), F.lit("%2B"))
+    out = F.try_url_decode(plain)
+    lost = out.contains("\ufffd") & ~path.rlike("(?i)%EF%BF%BD|\ufffd")
+    return F.when(path.rlike(bad) | F.coalesce(lost, F.lit(True)), path).otherwise(out)
+
+
 def path_segments(url: Column) -> Column:
     return F.filter(F.split(part(url, 4), "/"), lambda p: p != "")
 
@@ -68,11 +128,16 @@ def normal_title(title: Column, h: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, "['’‘\"“”`]", ""), r"[^\p{L}\p{N}]+", " "))
 
 
-def identity_keys(url: Column, title: Column) -> Column:
-    """Keys of which any shared one says two rows are the same reference: u: address, p: path, s: slug, t: title."""
-    u = canonical(url)
-    h = F.regexp_replace(F.lower(part(u, 2)), r"^(?:www\d?|m|amp)\.", "")
-    path = F.regexp_replace(F.regexp_replace(F.lower(part(u, 4)), r"/amp/?$", "/"), "/+$", "")
+def identity_keys(url: Column, title: Column, second: Column | None = None, source: Column | None = None) -> Column:
+    """Keys of which any shared one says two rows are the same reference: u: address, p: path, s: slug, t: title.
+
+    A second address (of an aggregator) gives a key u: of its own; rows whose address names no host have their titles
+    compared within their source's name. Paths are compared with their percent-encoded text decoded.
+    """
+    u, named = canonical(url), F.lit("") if source is None else F.lower(F.coalesce(source, F.lit("")))
+    other = F.lit(None).cast("string") if second is None else F.when(second != "", F.concat(F.lit("u:"), canonical(second)))
+    h = F.when(is_url(url), F.regexp_replace(F.lower(part(u, 2)), r"^(?:www\d?|m|amp)\.", "")).otherwise(named)
+    path = F.regexp_replace(F.regexp_replace(F.lower(decoded(part(u, 4))), r"/amp/?$", "/"), "/+$", "")
     bare, search = F.regexp_replace(path, LOCALE, ""), part(u, 5)
     last = F.regexp_replace(F.regexp_extract(bare, "([^/]*)$", 1), r"\.(?:html?|php|aspx?)$", "")
     slug = F.regexp_replace(last, SLUG_LOCALE, "")
@@ -82,6 +147,7 @@ def identity_keys(url: Column, title: Column) -> Column:
         F.array_compact(
             F.array(
                 F.when(F.coalesce(url, F.lit("")) != "", F.concat(F.lit("u:"), u)),
+                other,
                 F.when(own, F.concat(F.lit("p:"), h, bare, search)),
                 F.when(own & (search == "") & (F.length(slug) >= 24) & (F.size(F.split(slug, "-")) >= 4) & ~slug.rlike(r"^\d+$"), F.concat(F.lit("s:"), h, F.lit("/"), slug)),
                 F.when((F.length(words) >= 24) & (F.size(F.split(words, " ")) >= 4), F.concat(F.lit("t:"), h, F.lit("|"), words)),

@@ -14,16 +14,22 @@ HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))
 PATH = r"regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
 STRIP = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g'))"""
 IDENTITY = rf"""ident AS (
-  SELECT *, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^(www\d?|m|amp)\.', '') AS ih,
-         regexp_replace(regexp_replace(regexp_replace(lower({PATH}), '/amp/?$', '/'), '/+$', ''), '^/(ko|kr|en|fr|de|ja|jp|zh|cn|es|it|pt|nl)([-_][a-z]{{2,4}})?/', '/') AS ip,
+  SELECT *, regexp_replace(lower(regexp_extract({CANONICAL}, '^[A-Za-z]+://([^/?#:]*)', 1)), '^(www\d?|m|amp)\.', '') AS ih,
+         regexp_replace(regexp_replace(regexp_replace(lower(url_decode({PATH})), '/amp/?$', '/'), '/+$', ''), '^/(ko|kr|en|fr|de|ja|jp|zh|cn|es|it|pt|nl)([-_][a-z]{{2,4}})?/', '/') AS ip,
          regexp_extract({CANONICAL}, '^[^?#]*(\?[^#]*)', 1) AS iq,
-         trim(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[''’‘"“”`]', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS it,
+         regexp_replace(regexp_replace(regexp_replace(lower(coalesce(title, '')), '&#8211;|&#8212;|&ndash;|&mdash;', '-', 'g'), '&#0?38;|&amp;', '&', 'g'), '&#8217;|&#8216;|&rsquo;|&lsquo;', '''', 'g') AS t0,
          {CANONICAL} AS canon
   FROM items),
+tails AS (SELECT *, regexp_extract(t0, '(\s+[-–—|]\s+[^-–—|]{{2,40}})$', 1) AS tail,
+         regexp_replace(regexp_replace(regexp_extract(ip, '([^/]*)$', 1), '\.(html?|php|aspx?)$', ''), '^(ph|hk|sg|my|id|th|kr|jp|uk|us|au|ca|in)-', '') AS slug FROM ident),
+named AS (SELECT *, trim(regexp_replace(regexp_replace(
+         CASE WHEN tail <> '' AND (contains(tail, split_part(ih, '.', 1)) OR regexp_matches(tail, 'magazine|news|times|herald|\.com')) THEN left(t0, length(t0) - length(tail)) ELSE t0 END,
+         '[''’‘"“”`]', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS it FROM tails),
 keys AS (
   SELECT id, day, unnest(list_filter(['u:' || canon, CASE WHEN ip <> '' THEN 'p:' || ih || ip || iq END,
+         CASE WHEN ip <> '' AND iq = '' AND length(slug) >= 24 AND len(string_split(slug, '-')) >= 4 AND NOT regexp_matches(slug, '^[0-9]+$') THEN 's:' || ih || '/' || slug END,
          CASE WHEN length(it) >= 24 AND len(string_split(it, ' ')) >= 4 THEN 't:' || ih || '|' || it END], lambda x: x IS NOT NULL)) AS k
-  FROM ident)"""
+  FROM named)"""
 
 
 @query("fn01_canonical_url", f"SELECT page_id, {CANONICAL} AS canonical FROM pages")
@@ -151,6 +157,34 @@ def archive_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(archive, "canonical", "left_anti").select("page_id", "canonical")
 
 
+@query("fn05_reference_keys", rf"""WITH {PAGE_ITEMS.replace("items AS", "pages_ AS", 1)}, items AS (SELECT id, day, 'https://www.' || host || '/en/' || CASE id % 3 WHEN 0 THEN 'work/' WHEN 1 THEN 'caf%C3%A9/' ELSE '' END || regexp_replace(lower(title), '[^a-z]+', '-', 'g') || CASE WHEN id % 2 = 0 THEN '.html' ELSE '' END || CASE WHEN id % 5 = 0 THEN '?id=' || id ELSE '?utm_source=x' END AS url,
+    title || CASE id % 3 WHEN 0 THEN ' | Some Magazine' WHEN 1 THEN ' &ndash; ' || split_part(host, '.', 1) ELSE ' - by another' END AS title, CASE WHEN id % 4 = 0 THEN 'https://news.example.org/' || (id % 9) || '/' END AS second FROM pages_ WHERE title IS NOT NULL AND host IS NOT NULL),
+    {IDENTITY} SELECT id, k FROM keys UNION ALL SELECT id, 'u:https://news.example.org/' || (id % 9) FROM items WHERE second IS NOT NULL""")
+def reference_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All kinds of keys: encoded paths, slugs, titles with and without a site's tail, second addresses."""
+    i, n = page_items(spark, sf_dir).where("title IS NOT NULL AND host IS NOT NULL"), F.col("id") % 3
+    folder = F.when(n == 0, "work/").when(n == 1, "caf%C3%A9/").otherwise("")
+    asked = F.when(F.col("id") % 5 == 0, F.concat(F.lit("?id="), F.col("id").cast("string"))).otherwise("?utm_source=x")
+    u = F.concat(F.lit("https://www."), "host", F.lit("/en/"), folder, F.regexp_replace(F.lower("title"), "[^a-z]+", "-"), F.when(F.col("id") % 2 == 0, ".html").otherwise(""), asked)
+    tail = F.when(n == 0, " | Some Magazine").when(n == 1, F.concat(F.lit(" &ndash; "), F.element_at(F.split("host", r"\."), 1))).otherwise(" - by another")
+    second = F.when(F.col("id") % 4 == 0, F.concat(F.lit("https://news.example.org/"), (F.col("id") % 9).cast("string"), F.lit("/")))
+    return i.select("id", F.explode(url.identity_keys(u, F.concat("title", tail), second)).alias("k"))
+
+
+@query("fn04_absolute_url", r"""WITH l AS (SELECT page_id, url, unnest(list_distinct(regexp_extract_all(html, '(?i)(?:href|src)=["'']([^"'']*)', 1))) AS v FROM pages),
+    b AS (SELECT *, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS folder FROM l WHERE starts_with(v, '/') AND NOT contains(v, '..') AND regexp_matches(url, '^[A-Za-z]+://[^/?#:]+')),
+    c AS (SELECT *, CASE WHEN folder = '' THEN '/' ELSE folder END AS f FROM b)
+    SELECT page_id, v, scheme || '://' || host || v AS rooted, scheme || '://' || host || '/a/c' || v AS dotted, scheme || '://' || host || regexp_replace(f, '[^/]+/$', '') || substr(v, 2) AS above, 'https://x.org' || v AS whole FROM c""")
+def absolute_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-04: each page's links as they stand, with dot segments, from the folder above, and without a scheme."""
+    v = F.col("v")
+    p = table(spark, sf_dir, "pages").where(url.is_url(F.col("url"))).select("page_id", "url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r"""(?i)(?:href|src)=["']([^"']*)"""), F.lit(1)))).alias("v"))
+    p = p.where(v.startswith("/") & ~v.contains(".."))
+    to = lambda x: url.absolute(x, F.col("url"))
+    above, whole = F.concat(F.lit("./../"), F.substring(v, F.lit(2), F.length(v))), F.when(F.col("page_id") % 2 == 0, "https://x.org").otherwise("HTTPS://X.org")
+    return p.select("page_id", "v", to(v).alias("rooted"), to(F.concat(F.lit("/a/b/%2E./c"), v)).alias("dotted"), to(above).alias("above"), to(F.concat(whole, v)).alias("whole"))
+
+
 @query("jn03_identity_anti_join", f"WITH {PAGE_ITEMS}, {IDENTITY} SELECT id FROM items WHERE id % 3 <> 0 AND id NOT IN (SELECT a.id FROM keys a JOIN keys b ON a.k = b.k WHERE b.id % 3 = 0)")
 def identity_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that share no identity key with the archive."""
