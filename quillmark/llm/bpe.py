@@ -8,10 +8,10 @@ once (a text with other or repeated white space is split whole):
 * all others become words of byte ids in DuckDB. A recursive query unnests them into token-position rows,
   joins neighbours with the merge table (left id, right id -> rank of the joined bytes), contracts each word's
   leftmost pair of minimum rank, and goes on with the words that still had a pair.
-* A piece of over ``LONG_PIECE`` bytes is a table of its own, which each round replaces. A round contracts every
-  pair that no merge near it can forestall (no token that a pair within reach of the longest token could become
-  part of has a lower rank) and the leftmost pair of minimum rank, which gives the tokens of one contraction at a
-  time in rounds that hardly depend on the length.
+* Pieces of over ``LONG_PIECE`` bytes are a table, all of a block together (``LONG_BYTES_A_QUERY`` bytes; a longer
+  piece alone), which each round replaces. A round contracts every pair that no merge near it can forestall (no token
+  that a pair within reach of the longest token could become part of has a lower rank) and each piece's leftmost pair
+  of minimum rank, which gives the tokens of one contraction at a time in rounds that hardly depend on the length.
 
 The merge table holds every split of every token into two tokens, which makes the joins equal to looking the
 joined bytes up among the ranks. Decoding joins (document, position, id) rows with the vocabulary and
@@ -44,7 +44,7 @@ from .common import documents
 BLOCK_CHARS = 2_000_000
 WORDS_A_QUERY = 20_000
 CACHED_CHUNKS, CACHED_PIECES = 250_000, 150_000
-LONG_PIECE = 256
+LONG_PIECE, LONG_BYTES_A_QUERY = 256, 500_000
 MEMORY_LIMIT = "120MB"
 
 ENCODE_SQL = """
@@ -61,35 +61,39 @@ WITH RECURSIVE step AS (
 )
 SELECT ids FROM step WHERE NOT open ORDER BY w
 """
-#: A round over a long piece, which is the table ``piece`` (p, id). A pair is contracted if neither neighbour comes
-#: first and no pair within {reach} places that does come before it can lead to a token of no higher rank (and, where its
-#: own token is part of one of lower rank, if no pair there comes before it at all); the leftmost of least rank always.
-#: Ranks are doubled, so that a bound can lie between two.
+#: A round over long pieces, which are the table ``piece`` (w, p, id; p counts on over all pieces). A pair is contracted
+#: if neither neighbour comes first and no pair within {reach} places that does come before it can lead to a token of no
+#: higher rank (and, where its own token is part of one of lower rank, if no pair there comes before it at all); the leftmost
+#: of least rank of each piece always. Ranks are doubled, so that a bound can lie between two.
 LONG_TAKEN_SQL = """
 CREATE OR REPLACE TABLE taken AS
 WITH ranked AS (
-    SELECT p, rank, after, CASE WHEN after > rank THEN 2 * after ELSE 2 * rank END AS soon
-    FROM (SELECT p, CAST(id AS BIGINT) * 4294967296 + lead(id) OVER (ORDER BY p) AS pair FROM piece) LEFT JOIN near USING (pair)),
+    SELECT w, p, rank, after, CASE WHEN after > rank THEN 2 * after ELSE 2 * rank END AS soon
+    FROM (SELECT w, p, CAST(id AS BIGINT) * 4294967296 + lead(id) OVER (PARTITION BY w ORDER BY p) AS pair FROM piece) LEFT JOIN near USING (pair)),
   seen AS (
-    SELECT p, rank, after, lag(rank) OVER (ORDER BY p) AS left_rank, lead(rank) OVER (ORDER BY p) AS right_rank,
-           min(rank) OVER (ORDER BY p ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS lowest,
-           min(soon) OVER (ORDER BY p ROWS BETWEEN {reach} PRECEDING AND 1 PRECEDING) AS before,
-           min(soon + CAST(after < rank AS INTEGER)) OVER (ORDER BY p ROWS BETWEEN 1 FOLLOWING AND {reach} FOLLOWING) AS behind,
-           min(rank * 4294967296 + p) OVER () AS first
-    FROM ranked),
+    SELECT w, p, rank, after, lag(rank) OVER o AS left_rank, lead(rank) OVER o AS right_rank,
+           min(rank) OVER (PARTITION BY w ORDER BY p ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS lowest,
+           min(soon) OVER (PARTITION BY w ORDER BY p ROWS BETWEEN {reach} PRECEDING AND 1 PRECEDING) AS before,
+           min(soon + CAST(after < rank AS INTEGER)) OVER (PARTITION BY w ORDER BY p ROWS BETWEEN 1 FOLLOWING AND {reach} FOLLOWING) AS behind,
+           min(rank * 4294967296 + p) OVER (PARTITION BY w) AS first
+    FROM ranked WINDOW o AS (PARTITION BY w ORDER BY p)),
   judged AS (
-    SELECT p, rank, p - row_number() OVER (PARTITION BY rank ORDER BY p) AS run,
+    SELECT w, p, rank, p - row_number() OVER (PARTITION BY w, rank ORDER BY p) AS run,
            rank * 4294967296 + p = first
            OR 2 * rank < coalesce(before, 2 * rank + 1) AND 2 * rank < coalesce(behind, 2 * rank + 1)
               AND rank <= coalesce(left_rank, rank) AND rank <= coalesce(right_rank, rank) AND (after > rank OR rank = lowest) AS safe
     FROM seen WHERE rank IS NOT NULL)
-SELECT p, rank FROM (SELECT p, rank, row_number() OVER w AS k, bool_and(safe) OVER w AS safe FROM judged WINDOW w AS (PARTITION BY rank, run ORDER BY p))
+SELECT w, p, rank FROM (SELECT w, p, rank, row_number() OVER o AS k, bool_and(safe) OVER o AS safe
+                        FROM judged WINDOW o AS (PARTITION BY w, rank, run ORDER BY p))
 WHERE safe AND k % 2 = 1
 """
+#: A piece of which nothing was taken has no pair left, as the leftmost of least rank would have been.
+LONG_DONE_SQL = "INSERT INTO done SELECT w, p, id FROM piece WHERE w NOT IN (SELECT w FROM taken)"
 LONG_CONTRACTED_SQL = """
 CREATE OR REPLACE TABLE piece AS
-SELECT row_number() OVER (ORDER BY r.p) AS p, CAST(coalesce(t.rank, r.id) AS INTEGER) AS id
-FROM piece r LEFT JOIN taken t ON t.p = r.p WHERE r.p - 1 NOT IN (SELECT p FROM taken)
+SELECT r.w, row_number() OVER (ORDER BY r.p) AS p, CAST(coalesce(t.rank, r.id) AS INTEGER) AS id
+FROM piece r LEFT JOIN taken t ON t.p = r.p
+WHERE r.w IN (SELECT w FROM taken) AND r.p - 1 NOT IN (SELECT p FROM taken)
 """
 #: Rows are put in order of document and position before they are aggregated, by one thread.
 DECODE_SQL = """
@@ -137,6 +141,8 @@ class Codec:
                     rank.append(r)
         left, right, rank = (np.array(x, np.int64) for x in (left, right, rank))
         self.merges = left, right, rank
+        of = [(r, (t[i] << 16) | (t[i + 1] << 8) | t[i + 2]) for t, r in ranks.items() for i in range(len(t) - 2)]
+        self.triples = np.array(of, np.int32).reshape(-1, 2).T.copy()
         self.create("merges", pa.table({"pair": left * (1 << 32) + right, "rank": rank}))
         self.create("vocabulary", pa.table({"id": np.fromiter(ranks.values(), np.int32, len(ranks)), "piece": [t.decode("latin-1") for t in ranks]}))
 
@@ -162,25 +168,35 @@ class Codec:
         flat, ends = out.flatten().to_numpy().astype(np.int32).tobytes(), (np.cumsum(out.value_lengths().to_numpy()) * 4).tolist()
         return [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
-    def contract_long(self, raw: bytes) -> bytes:
-        """Token ids of one long word: rounds over a table that holds the present tokens only."""
-        ids = self.byte_ids[np.frombuffer(raw, np.uint8)]
+    def possible(self, data: np.ndarray) -> np.ndarray:
+        """Of each rank, whether the bytes hold every three bytes in a row of its token (other tokens can't come up)."""
+        seen = np.zeros(1 << 24, bool)
+        seen[(data[:-2].astype(np.int32) << 16) | (data[1:-1].astype(np.int32) << 8) | data[2:]] = True
+        known = np.ones(max(self.ranks.values()) + 1, bool)
+        known[self.triples[0][~seen[self.triples[1]]]] = False
+        return known
+
+    def contract_long(self, raw: list[bytes]) -> list[bytes]:
+        """Token ids, as bytes of int32, of each of the given long words: rounds over a table of their present tokens."""
+        n, data = np.array([len(x) for x in raw]), np.frombuffer(b"".join(raw), np.uint8)
+        ids = self.byte_ids[data]
         if (ids < 0).any():
             raise ValueError("the vocabulary lacks a byte")
-        held = [(len(token), r) for token, r in self.ranks.items() if token in raw]  # no other token can come up
-        known = np.zeros(max(self.ranks.values()) + 1, bool)
-        known[[r for _, r in held]] = True
+        known = self.possible(data)
         left, right, rank = (x[known[self.merges[2]]] for x in self.merges)
         after = np.full(len(known), 1 << 31)  # the least rank of a pair with the token
         np.minimum.at(after, left, rank)
         np.minimum.at(after, right, rank)
         self.create("near", pa.table({"pair": left * (1 << 32) + right, "rank": rank, "after": after[rank]}))
-        self.create("piece", pa.table({"p": np.arange(1, len(ids) + 1), "id": ids}))
-        while True:
-            self.con.execute(LONG_TAKEN_SQL.format(reach=max(held)[0]))
-            if not self.con.execute("SELECT count(*) FROM taken").fetchall()[0][0]:
-                return self.con.sql("SELECT id FROM piece ORDER BY p").to_arrow_table().column(0).to_numpy().astype(np.int32).tobytes()
-            self.con.execute(LONG_CONTRACTED_SQL)
+        self.create("piece", pa.table({"w": np.repeat(np.arange(len(raw)), n), "p": np.arange(1, len(ids) + 1), "id": ids}))
+        self.con.execute("CREATE OR REPLACE TABLE done AS FROM piece LIMIT 0")
+        reach = max(len(token) for token, r in self.ranks.items() if known[r])
+        while self.con.execute("SELECT count(*) FROM piece").fetchall()[0][0]:
+            for sql in (LONG_TAKEN_SQL.format(reach=reach), LONG_DONE_SQL, LONG_CONTRACTED_SQL):
+                self.con.execute(sql)
+        out = self.con.sql("SELECT w, id FROM done ORDER BY w, p").to_arrow_table()
+        flat, ends = out.column(1).to_numpy().astype(np.int32).tobytes(), (np.cumsum(np.bincount(out.column(0).to_numpy(), minlength=len(raw))) * 4).tolist()
+        return [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
     def learn_pieces(self, pieces: set[str]) -> None:
         """Puts the tokens of pieces into the cache."""
@@ -196,9 +212,9 @@ class Codec:
         for i in range(0, len(short), WORDS_A_QUERY):
             part = short[i : i + WORDS_A_QUERY]
             self.pieces.update(zip([w for w, _ in part], self.contract([raw for _, raw in part]), strict=True))
-        for w, raw in rest:
-            if len(raw) > LONG_PIECE:
-                self.pieces[w] = self.contract_long(raw)
+        long = [x for x in rest if len(x[1]) > LONG_PIECE]
+        for i, j in _blocks(np.array([len(raw) for _, raw in long], np.int64), LONG_BYTES_A_QUERY):
+            self.pieces.update(zip([w for w, _ in long[i:j]], self.contract_long([raw for _, raw in long[i:j]]), strict=True))
 
     def chunked(self, text: str) -> list[str] | None:
         """Chunks that the pattern splits alike alone and in place: cut at single spaces and line ends.

@@ -86,6 +86,20 @@ def test_bpe_long_pieces():
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [own.encode_ordinary(t) for t in long]
 
 
+def test_bpe_long_pieces_of_a_block(monkeypatch):
+    """Scripts without spaces: all long pieces of a block are contracted together, also over several tables."""
+    ranks, pattern, own = tiktoken_encoding()
+    r = random.Random(9)
+    scripts = [[chr(c) for c in range(a, b)] for a, b in ((0xE01, 0xE2F), (0x4E00, 0x5200), (0x61, 0x7B), (0x41, 0x43))]
+    texts = [" ".join("".join(r.choices(r.choice(scripts), k=r.randint(80, 400))) for _ in range(60)) for _ in range(6)]
+    texts += ["", None, texts[0], "=" * 5000, " ".join(["ab" * 300] * 5), " ".join("".join(r.choices(scripts[0], k=120)) for _ in range(2500))]
+    for size in (bpe.LONG_BYTES_A_QUERY, 1000):
+        monkeypatch.setattr(bpe, "LONG_BYTES_A_QUERY", size)
+        some = texts if size > 1000 else texts[:9]
+        ids, n = bpe.Codec(ranks, pattern).encode(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [own.encode_ordinary(t or "") for t in some]
+
+
 # 2
 
 
