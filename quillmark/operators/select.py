@@ -43,7 +43,7 @@ def interleave(two: DataFrame, one: DataFrame, pos: str, limit: int) -> DataFram
     return a.unionByName(b, allowMissingColumns=True).orderBy("turn", "list", "_n").limit(limit)
 
 
-def select_novel(candidates: DataFrame, limit: int, per_source: int, similarity: float = 0.82, loose_per_source: int | None = None, group: str = "tab") -> DataFrame:
+def select_novel(candidates: DataFrame, limit: int, per_source: int, similarity: float = 0.82, loose_per_source: int | None = None, group: str = "tab", seeds: DataFrame | None = None) -> DataFrame:
     """Greedy selection a group: skip rows that share an identity key or title with a chosen one, whose source is
     full, or whose title is too like a chosen one; a second pass has a looser cap.
 
@@ -52,14 +52,18 @@ def select_novel(candidates: DataFrame, limit: int, per_source: int, similarity:
     clash with what was chosen so far (at most ``limit`` rows a group), and a task a group settles the next
     ``8 * limit`` of the others in order. The first of them clashes with nothing, so each round chooses a row of
     every group that isn't through. Rows without keys are never chosen; null groups and sources are groups and sources.
+    seeds, a bounded list with the columns of candidates, count as chosen before, but not against the limit.
     """
     none = F.array().cast("array<string>")
-    rows = candidates.select(
-        F.col(group).alias("tab"), "pos", F.col("id").cast("long").alias("id"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("source"),
-        F.coalesce("title_key", F.lit("")).alias("title"), F.array_compact(F.col("keys").cast("array<string>")).alias("keys"),
-        F.array_distinct(F.array_compact(F.coalesce(F.col("words").cast("array<string>"), none))).alias("words"),
-    ).where(F.size("keys") > 0)
-    rows = written(rows)
+
+    def compared(df: DataFrame) -> DataFrame:
+        return df.select(
+            F.col(group).alias("tab"), "pos", F.col("id").cast("long").alias("id"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("source"),
+            F.coalesce("title_key", F.lit("")).alias("title"), F.array_compact(F.coalesce(F.col("keys").cast("array<string>"), none)).alias("keys"),
+            F.array_distinct(F.array_compact(F.coalesce(F.col("words").cast("array<string>"), none))).alias("words"),
+        )
+
+    rows = written(compared(candidates).where(F.size("keys") > 0))
 
     def like(w: Column) -> Column:
         shared = F.size(F.array_intersect(F.col("words"), w))
@@ -70,7 +74,7 @@ def select_novel(candidates: DataFrame, limit: int, per_source: int, similarity:
         if chosen is None:
             return rows.withColumns({"n": F.lit(0).cast("long"), "of_source": F.lit(0)})
         state = chosen.groupBy(F.col("tab").alias("of")).agg(
-            F.count("*").alias("n"), F.flatten(F.collect_list("keys")).alias("used"), F.collect_list("title").alias("titles"),
+            F.count_if(F.col("rank") > 0).alias("n"), F.flatten(F.collect_list("keys")).alias("used"), F.collect_list("title").alias("titles"),
             F.collect_list("words").alias("compared"), F.collect_list("source").alias("sources"),
         )
         d = rows.join(state, F.col("tab").eqNullSafe(F.col("of")), "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -95,20 +99,22 @@ def select_novel(candidates: DataFrame, limit: int, per_source: int, similarity:
                 used.update(r.keys)
                 titles.add(r.title)
                 of_source[r.source] = in_source + 1
-            return pd.DataFrame(chosen, columns=["tab", "id", "rank", "source", "title", "keys", "words"])
+            out = pd.DataFrame(chosen, columns=["tab", "id", "rank", "source", "title", "keys", "words"])
+            return out.assign(more=len(frame) >= 8 * limit and len(chosen) > 0 and chosen[-1][2] < limit)
 
         return settle
 
-    kind, chosen = rows.schema["tab"].dataType.simpleString(), None
+    kind = rows.schema["tab"].dataType.simpleString()
+    chosen = None if seeds is None else compared(seeds).select("tab", "id", F.lit(0).cast("long").alias("rank"), "source", "title", "keys", "words")
     for cap in sorted({per_source, max(per_source, per_source if loose_per_source is None else loose_per_source)}):
         while True:
             block = cap_per_group(still_open(chosen, cap), "tab", ["pos", "id"], 8 * limit)
-            schema = f"tab {kind}, id long, rank long, source string, title string, keys array<string>, words array<string>"
-            more = written(block.groupBy("tab").applyInPandas(choose(cap), schema))
-            chosen = more if chosen is None else chosen.unionByName(more)
-            if more.isEmpty():
+            schema = f"tab {kind}, id long, rank long, source string, title string, keys array<string>, words array<string>, more boolean"
+            new = written(block.groupBy("tab").applyInPandas(choose(cap), schema))
+            chosen = new.drop("more") if chosen is None else chosen.unionByName(new.drop("more"))
+            if new.where("more").isEmpty():  # the blocks held all open rows of their groups
                 break
-    return chosen.select(F.col("tab").alias(group), "id", "rank")
+    return chosen.where(F.col("rank") > 0).select(F.col("tab").alias(group), "id", "rank")
 
 
 def select_balanced(items: DataFrame, lanes: list[str], limit: int, per_source: int) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registers all queries."""
 
-from . import aggregates, curation, documents, events, gates, landed, pages, relations, search, sources, tabs, vectors  # noqa: F401
+from . import aggregates, curation, documents, events, gates, landed, pages, relations, search, sources, tabs, updates, vectors  # noqa: F401
