@@ -12,13 +12,15 @@ ENTITIES = (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&g
 # Words of paragraphs that are not content.
 BOILERPLATE = "cookie|subscribe|newsletter|sign up|all rights reserved|privacy policy|advertisement"
 SPACE = r"[\s ﻿]+"
+# The same runs but single plain spaces, which stay as they are; texts are mostly those.
+_OTHER_SPACE = rf"(?!\x20){SPACE}|\x20{SPACE}"
 
 
 def decode_entities(text: Column) -> Column:
     """Five named entities, in order; runs of white space become one space."""
     for name, char in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(text, SPACE, " "))
+    return F.trim(F.regexp_replace(text, _OTHER_SPACE, " "))
 
 
 def decode_numeric(text: Column) -> Column:
@@ -147,11 +149,34 @@ FEED_TAILS = (
 )
 
 
+# Every match of a tail holds one of these; the two Korean tails hold the second.
+_TAIL_SIGNS = r"(?i)appeared first on|에 처음 등장했습니다|continue reading|read more|\[(?:watch|자세히|더|보기|…|\.)"
+_KOREAN_TAIL = "에 처음 등장했습니다"
+
+
+def _once(x: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def clean_feed(text: Column) -> Column:
-    """A feed summary without the sentences that publishing systems append."""
-    for pattern in FEED_TAILS:
-        text = F.regexp_replace(text, pattern, "")
-    return F.trim(F.regexp_replace(text, SPACE, " "))
+    """A feed summary without the sentences that publishing systems append.
+
+    Tails begin with open stretches, which are tried at every character, so texts without the fixed part of a tail are
+    told by one scan and left as they are.
+    """
+
+    def without(t: Column, patterns: tuple[str, ...]) -> Column:
+        for pattern in patterns:
+            t = F.regexp_replace(t, pattern, "")
+        return t
+
+    def tails(t: Column) -> Column:
+        t = _once(without(t, FEED_TAILS[:1]), lambda u: F.when(u.contains(_KOREAN_TAIL), without(u, FEED_TAILS[1:3])).otherwise(u))
+        return without(t, FEED_TAILS[3:])
+
+    text = _once(text, lambda t: F.when(t.rlike(_TAIL_SIGNS), tails(t)).otherwise(t))
+    return F.trim(F.regexp_replace(text, _OTHER_SPACE, " "))
 
 
 def loose_json(text: Column, schema: str) -> Column:

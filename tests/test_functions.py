@@ -149,6 +149,29 @@ def test_range_join(spark):
     assert got == sorted([(float(v), "a") for v in range(2, 5)] + [(float(v), "b") for v in range(5, 19)])
 
 
+def test_clean_feed_leaves_plain_texts_at_one_scan(spark):
+    """Each pattern in turn says the same, and a long text without a tail costs little."""
+    import time
+
+    said = [
+        "a  b \n c ", " x", "", None, "The post On |y appeared first on Some Site.", "it APPEARED FIRST ON x. More", "a | Site 에 처음 등장했습니다. b", "Site에 처음 등장했습니다",
+        "[Watch] me [Read more] [자세히 읽기] [더 읽기] [보기] […] [...] [watch]", "go Continue reading …", "Read more", "Read mo[Watch]re", "| 에 처음 등장", "appeared [Watch]first on x",
+    ]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, t string")
+    want = F.col("t")
+    for pattern in text.FEED_TAILS:
+        want = F.regexp_replace(want, pattern, "")
+    want = F.trim(F.regexp_replace(want, text.SPACE, " "))
+    got = df.select("i", text.clean_feed(F.col("t")).alias("got"), want.alias("want")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    long = spark.range(1).select(F.repeat(F.lit("word | of a text "), 100_000).alias("t"))
+    text_of = lambda f: long.select(F.length(f(F.col("t")))).first()
+    text_of(text.clean_feed)
+    start = time.monotonic()
+    text_of(text.clean_feed)
+    assert time.monotonic() - start < 1.5
+
+
 def test_evidence_sentence_ties_go_to_the_earlier(spark, tmp_path):
     """The sentences n and n + 20 have equal scores, at any n."""
     from quillmark.plans import documents
