@@ -8,17 +8,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values
+from .rounds import written
 from .select import cap_per_group
 
 
+#: Members of a class that are paired as one list.
+_CHUNK = 256
+
+
+def _classes(df: DataFrame, row_id: str, words: str, least: int, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Classes (c, w, size, group) of rows with equal token sets of at least so many tokens, and lists of members (c, ids)."""
+    sets = df.select(F.col(row_id).alias("id"), *group, F.array_sort(F.array_distinct(words)).alias("w")).where((F.size("w") >= least) & F.col("id").isNotNull())
+    classes = written(sets.groupBy(*group, "w").agg(F.count("*").alias("size")).withColumn("c", F.monotonically_increasing_id()))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / _CHUNK)).alias("part")
+    return classes, sets.join(classes, [*group, "w"]).groupBy("c", part).agg(F.collect_list("id").alias("ids")).drop("part")
+
+
+def _expanded(pairs: DataFrame, classes: DataFrame, members: DataFrame, name: str) -> DataFrame:
+    """Pairs (ca, cb, shared, ``name``) of classes, and classes with themselves, as pairs (a, b, shared, ``name``) of rows.
+
+    What is joined and dealt over tasks are lists of members, so that no class is one task's.
+    """
+    own = classes.where("size > 1").select(F.col("c").alias("ca"), F.col("c").alias("cb"), F.size("w").alias("shared"), F.lit(1.0).alias(name))
+    members = written(members)
+    lists = pairs.unionByName(own).join(members.toDF("ca", "x"), "ca").join(members.toDF("cb", "y"), "cb")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = lists.repartition(tasks, F.element_at("x", 1), F.element_at("y", 1), "ca", "cb")
+    each = lists.withColumn("a", F.explode("x")).drop("x").withColumn("b", F.explode("y"))
+    each = each.where(F.when(F.col("ca") == F.col("cb"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
+    return each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", name)
+
+
 def similar_titles(df: DataFrame, row_id: str, words: str, threshold: float = 0.82, least: int = 3) -> DataFrame:
     """Pairs (a, b, similarity) of token sets with an overlap coefficient of at least the threshold.
 
+    Rows with equal sets are one class; only classes are compared, and pairs of classes become pairs of rows at the end.
     The coefficient is over the smaller set, so a pair shares one of the smaller set's first
     n - ceil(threshold * n) + 1 tokens, rarest first. Those are joined with all tokens of the other side; the
     frequent tokens that make an inverted index explode are in no set's first tokens unless they are all it has.
     """
-    sets = df.select(F.col(row_id).alias("id"), F.array_distinct(words).alias("w")).where(F.size("w") >= least)
+    classes, members = _classes(df, row_id, words, least, [])
+    sets = classes.select(F.col("c").alias("id"), "w")
     entries = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("t"))
     rarity = entries.groupBy("t").agg(F.count("*").alias("df"))
     ranked = entries.join(rarity, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("by"))
@@ -28,17 +58,19 @@ def similar_titles(df: DataFrame, row_id: str, words: str, threshold: float = 0.
     pairs = a.join(b, "t").where(smaller).select("a", "b").distinct()
     x, y = sets.toDF("a", "wa"), sets.toDF("b", "wb")
     shared = F.size(F.array_intersect("wa", "wb"))
-    scored = pairs.join(x, "a").join(y, "b").select("a", "b", shared.alias("shared"), (shared / F.least(F.size("wa"), F.size("wb"))).alias("similarity"))
+    scored = pairs.join(x, "a").join(y, "b").select(F.col("a").alias("ca"), F.col("b").alias("cb"), shared.alias("shared"), (shared / F.least(F.size("wa"), F.size("wb"))).alias("similarity"))
     scored = scored.where((F.col("shared") >= least) & (F.col("similarity") >= threshold))
-    return scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    return _expanded(scored, classes, members, "similarity").select("a", "b", "similarity")
 
 
 def sharing_tokens(df: DataFrame, row_id: str, group: str, words: str, least: int) -> DataFrame:
     """Pairs (a, b, shared, overlap) of rows of one group that share at least so many tokens.
 
-    With tokens of a group rarest first, the first token that a pair shares stands before the last least - 1 of each.
+    Rows of a group with equal sets are one class, as in ``similar_titles``. With tokens of a group rarest first, the
+    first token that a pair shares stands before the last least - 1 of each.
     """
-    sets = df.select(F.col(row_id).alias("id"), F.col(group).alias("g"), F.array_distinct(words).alias("w")).where(F.size("w") >= least)
+    classes, members = _classes(df.where(F.col(group).isNotNull()).withColumn("g", F.col(group)), row_id, words, least, ["g"])
+    sets = classes.select(F.col("c").alias("id"), "g", "w")
     entries = sets.select("id", "g", F.explode("w").alias("t"))
     rarity = entries.groupBy("g", "t").agg(F.count("*").alias("df"))
     ranked = entries.join(rarity, ["g", "t"]).groupBy("id", "g").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("by"))
@@ -46,8 +78,8 @@ def sharing_tokens(df: DataFrame, row_id: str, group: str, words: str, least: in
     pairs = first.toDF("a", "g", "t").join(first.toDF("b", "g", "t"), ["g", "t"]).where("a < b").select("a", "b").distinct()
     x, y = sets.select(F.col("id").alias("a"), F.col("w").alias("wa")), sets.select(F.col("id").alias("b"), F.col("w").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
-    scored = pairs.join(x, "a").join(y, "b").select("a", "b", shared.alias("shared"), (shared / F.least(F.size("wa"), F.size("wb"))).alias("overlap"))
-    return scored.where(F.col("shared") >= least)
+    scored = pairs.join(x, "a").join(y, "b").select(F.col("a").alias("ca"), F.col("b").alias("cb"), shared.alias("shared"), (shared / F.least(F.size("wa"), F.size("wb"))).alias("overlap"))
+    return _expanded(scored.where(F.col("shared") >= least), classes, members, "overlap")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
