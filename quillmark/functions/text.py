@@ -16,6 +16,11 @@ SPACE = r"[\s ﻿]+"
 _OTHER_SPACE = rf"(?!\x20){SPACE}|\x20{SPACE}"
 
 
+def once(x: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def decode_entities(text: Column) -> Column:
     """Five named entities, in order; runs of white space become one space."""
     for name, char in ENTITIES:
@@ -51,7 +56,8 @@ def first_match(html: Column, pattern: str) -> Column:
 def page_title(html: Column) -> Column:
     named = first_match(html, r"(?is)<title[^>]*>(.*?)</title>")
     shared = first_match(html, r"""(?i)<meta[^>]+property=["']og:title["'][^>]+content=["']([^"']+)["']""")
-    return F.coalesce(F.nullif(named, F.lit("")), F.nullif(shared, F.lit("")))
+    some = lambda t: once(t, lambda x: F.nullif(x, F.lit("")))
+    return F.coalesce(some(named), some(shared))
 
 
 def meta_content(html: Column, name: str) -> Column:
@@ -154,11 +160,6 @@ _TAIL_SIGNS = r"(?i)appeared first on|에 처음 등장했습니다|continue rea
 _KOREAN_TAIL = "에 처음 등장했습니다"
 
 
-def _once(x: Column, f) -> Column:
-    """f of a value that is computed once, however often f names it."""
-    return F.element_at(F.transform(F.array(x), f), 1)
-
-
 def clean_feed(text: Column) -> Column:
     """A feed summary without the sentences that publishing systems append.
 
@@ -172,10 +173,10 @@ def clean_feed(text: Column) -> Column:
         return t
 
     def tails(t: Column) -> Column:
-        t = _once(without(t, FEED_TAILS[:1]), lambda u: F.when(u.contains(_KOREAN_TAIL), without(u, FEED_TAILS[1:3])).otherwise(u))
+        t = once(without(t, FEED_TAILS[:1]), lambda u: F.when(u.contains(_KOREAN_TAIL), without(u, FEED_TAILS[1:3])).otherwise(u))
         return without(t, FEED_TAILS[3:])
 
-    text = _once(text, lambda t: F.when(t.rlike(_TAIL_SIGNS), tails(t)).otherwise(t))
+    text = once(text, lambda t: F.when(t.rlike(_TAIL_SIGNS), tails(t)).otherwise(t))
     return F.trim(F.regexp_replace(text, _OTHER_SPACE, " "))
 
 

@@ -33,14 +33,19 @@ def host(url: Column) -> Column:
 
 def canonical(url: Column) -> Column:
     """https, lower-case host without www., no fragment or default port, no tracking parameters, sorted ones."""
-    pairs = F.filter(F.split(F.regexp_replace(part(url, 5), r"^\?", ""), "&"), lambda p: (p != "") & ~F.lower(F.regexp_extract(p, "^([^=]*)", 1)).rlike(TRACKING))
-    # by parameter name, in input order where names are equal
-    keyed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(F.regexp_extract(p, "^([^=]*)", 1).alias("k"), i.alias("i"), p.alias("p"))))
-    query = F.array_join(F.transform(keyed, lambda x: x["p"]), "&")
-    port = F.when(part(url, 3).isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), part(url, 3)))
-    path = F.when(part(url, 4).isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(part(url, 4), "/+$", ""))
-    made = F.concat(F.lit("https://"), host(url), port, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(is_url(url), made).otherwise(F.trim(url))
+
+    def made(u: Column) -> Column:
+        name = lambda p: F.regexp_extract(p, "^([^=]*)", 1)
+        pairs = F.filter(F.split(F.regexp_replace(part(u, 5), r"^\?", ""), "&"), lambda p: (p != "") & ~F.lower(name(p)).rlike(TRACKING))
+        # by parameter name, in input order where names are equal
+        keyed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(name(p).alias("k"), i.alias("i"), p.alias("p"))))
+        query = text.once(F.array_join(F.transform(keyed, lambda x: x["p"]), "&"), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+        port = text.once(part(u, 3), lambda n: F.when(n.isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), n)))
+        path = text.once(F.regexp_replace(part(u, 4), "/+$", ""), lambda p: F.when(p == "", "/").otherwise(p))
+        www = F.regexp_replace(F.lower(part(u, 2)), r"^www\.", "")
+        return F.when(is_url(u), F.concat(F.lit("https://"), www, port, path, query)).otherwise(u)
+
+    return text.once(F.trim(url), made)
 
 
 def history_url(url: Column) -> Column:
@@ -106,10 +111,13 @@ def absolute(value: Column, base: Column) -> Column:
 
 def decoded(path: Column) -> Column:
     """Percent-encoded UTF-8 as text; a path with an escape that is none, or whose bytes are no UTF-8, as it is."""
-    bad, plain = "%(?![0-9A-Fa-f]{2})", F.replace(path, F.lit("+"), F.lit("%2B"))
-    out = F.try_url_decode(plain)
-    lost = out.contains("\ufffd") & ~path.rlike("(?i)%EF%BF%BD|\ufffd")
-    return F.when(path.rlike(bad) | F.coalesce(lost, F.lit(True)), path).otherwise(out)
+
+    def plain(p: Column) -> Column:
+        lost = lambda out: F.coalesce(out.contains("\ufffd") & ~p.rlike("(?i)%EF%BF%BD|\ufffd"), F.lit(True))
+        read = text.once(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), lambda out: F.when(lost(out), p).otherwise(out))
+        return F.when(~p.contains("%") | p.rlike("%(?![0-9A-Fa-f]{2})"), p).otherwise(read)
+
+    return text.once(path, plain)
 
 
 def path_segments(url: Column) -> Column:
@@ -121,10 +129,10 @@ def normal_title(title: Column, h: Column) -> Column:
     t = F.lower(F.coalesce(title, F.lit("")))
     for pattern, by in TITLE_ENTITIES:
         t = F.regexp_replace(t, pattern, by)
-    tail = F.regexp_extract(t, r"(?U)(\s+[-–—|]\s+[^-–—|]{2,40})$", 1)
     site = F.element_at(F.split(h, r"\."), 1)
-    named = (tail != "") & (tail.contains(site) | tail.rlike(SITE_WORDS))
-    t = F.when(named, F.left(t, F.length(t) - F.length(tail))).otherwise(t)
+    tail = lambda x: F.regexp_extract(x, r"(?U)(\s+[-–—|]\s+[^-–—|]{2,40})$", 1)
+    named = lambda e: (e != "") & (e.contains(site) | e.rlike(SITE_WORDS))
+    t = text.once(t, lambda x: text.once(tail(x), lambda e: F.when(named(e), F.left(x, F.length(x) - F.length(e))).otherwise(x)))
     return F.trim(F.regexp_replace(F.regexp_replace(t, "['’‘\"“”`]", ""), r"[^\p{L}\p{N}]+", " "))
 
 
@@ -132,28 +140,33 @@ def identity_keys(url: Column, title: Column, second: Column | None = None, sour
     """Keys of which any shared one says two rows are the same reference: u: address, p: path, s: slug, t: title.
 
     A second address (of an aggregator) gives a key u: of its own; rows whose address names no host have their titles
-    compared within their source's name. Paths are compared with their percent-encoded text decoded.
+    compared within their source's name. Paths are compared with their percent-encoded text decoded. Each step is
+    computed once a row: written into the next, the address would be taken apart hundreds of times.
     """
-    u, named = canonical(url), F.lit("") if source is None else F.lower(F.coalesce(source, F.lit("")))
-    other = F.lit(None).cast("string") if second is None else F.when(second != "", F.concat(F.lit("u:"), canonical(second)))
-    h = F.when(is_url(url), F.regexp_replace(F.lower(part(u, 2)), r"^(?:www\d?|m|amp)\.", "")).otherwise(named)
-    path = F.regexp_replace(F.regexp_replace(F.lower(decoded(part(u, 4))), r"/amp/?$", "/"), "/+$", "")
-    bare, search = F.regexp_replace(path, LOCALE, ""), part(u, 5)
-    last = F.regexp_replace(F.regexp_extract(bare, "([^/]*)$", 1), r"\.(?:html?|php|aspx?)$", "")
-    slug = F.regexp_replace(last, SLUG_LOCALE, "")
-    words = normal_title(title, h)
-    own = is_url(url) & (path != "")
-    return F.array_distinct(
-        F.array_compact(
-            F.array(
-                F.when(F.coalesce(url, F.lit("")) != "", F.concat(F.lit("u:"), u)),
-                other,
-                F.when(own, F.concat(F.lit("p:"), h, bare, search)),
-                F.when(own & (search == "") & (F.length(slug) >= 24) & (F.size(F.split(slug, "-")) >= 4) & ~slug.rlike(r"^\d+$"), F.concat(F.lit("s:"), h, F.lit("/"), slug)),
-                F.when((F.length(words) >= 24) & (F.size(F.split(words, " ")) >= 4), F.concat(F.lit("t:"), h, F.lit("|"), words)),
-            )
-        )
-    )
+    named = F.lit("") if source is None else F.lower(F.coalesce(source, F.lit("")))
+    other = F.lit(None).cast("string") if second is None else text.once(second, lambda x: F.when(x != "", F.concat(F.lit("u:"), canonical(x))))
+    size = lambda x, by: F.size(F.split(x, by))
+
+    def placed(a: Column) -> Column:
+        """Host, path without its locale, query of a canonical address, and whether there is a path."""
+        h = F.when(a["web"], F.regexp_replace(F.lower(part(a["u"], 2)), r"^(?:www\d?|m|amp)\.", "")).otherwise(named)
+        path = F.regexp_replace(F.regexp_replace(F.lower(decoded(part(a["u"], 4))), r"/amp/?$", "/"), "/+$", "")
+        bare = text.once(path, lambda p: F.struct(F.regexp_replace(p, LOCALE, "").alias("bare"), (a["web"] & (p != "")).alias("own")))
+        return text.once(bare, lambda b: F.struct(h.alias("h"), b["bare"].alias("bare"), b["own"].alias("own"), part(a["u"], 5).alias("search")))
+
+    def keys(x: Column, u: Column, p: Column) -> Column:
+        last = F.regexp_replace(F.regexp_extract(p["bare"], "([^/]*)$", 1), r"\.(?:html?|php|aspx?)$", "")
+        slugs = lambda s: (p["search"] == "") & (F.length(s) >= 24) & (size(s, "-") >= 4) & ~s.rlike(r"^\d+$")
+        slug = text.once(F.regexp_replace(last, SLUG_LOCALE, ""), lambda s: F.when(p["own"] & slugs(s), F.concat(F.lit("s:"), p["h"], F.lit("/"), s)))
+        words = text.once(normal_title(title, p["h"]), lambda w: F.when((F.length(w) >= 24) & (size(w, " ") >= 4), F.concat(F.lit("t:"), p["h"], F.lit("|"), w)))
+        address = F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit("u:"), u))
+        return F.array(address, other, F.when(p["own"], F.concat(F.lit("p:"), p["h"], p["bare"], p["search"])), slug, words)
+
+    def made(x: Column) -> Column:
+        known = F.struct(canonical(x).alias("u"), is_url(x).alias("web"))
+        return text.once(known, lambda a: text.once(placed(a), lambda p: keys(x, a["u"], p)))
+
+    return F.array_distinct(F.array_compact(text.once(url, made)))
 
 
 def title_from_slug(url: Column) -> Column:

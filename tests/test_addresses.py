@@ -72,3 +72,9 @@ def test_numeric_entities(spark):
 def test_keys_that_two_rows_share(spark, a, b, shared):
     one, two = _all(spark, url.identity_keys, [a, b])
     assert set(one) & set(two) == shared
+
+
+def test_an_address_is_taken_apart_once_a_key(spark):
+    made = spark.range(3).select(url.identity_keys(F.concat(F.lit("https://a.org/x/"), F.col("id").cast("string")), F.lit("a title"), F.lit("https://b.org/")).alias("k"))
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") < 60 and plan.count("https://a.org/x/") == 1
