@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,9 +42,16 @@ def by_age(age: Column, steps: tuple[tuple[int, int], ...], older: int) -> Colum
 _EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
+def _edges(pattern: str) -> str:
+    """The pattern with its edges spelled out; beside plain letters after the letter, so that most places fail at once."""
+    pattern = re.sub(r"(?<![\\A-Za-z0-9_{])([A-Za-z0-9_]+)\\b", r"\1(?![A-Za-z0-9_])", pattern)
+    pattern = re.sub(r"(?<!\\)\\b([A-Za-z0-9_])(?![?*+{])", r"\1(?<![A-Za-z0-9_]\1)", pattern)
+    return pattern.replace(r"\b", _EDGE)
+
+
 def hit_count(x: Column, patterns: tuple[str, ...]) -> Column:
     """How many of the patterns match; an edge of a word is one of plain letters, digits and underscores."""
-    return sum((F.coalesce(x.rlike(p.replace(r"\b", _EDGE)), F.lit(False)).cast("int") for p in patterns), F.lit(0))
+    return sum((F.coalesce(x.rlike(_edges(p)), F.lit(False)).cast("int") for p in patterns), F.lit(0))
 
 
 def update_words(title: Column, summary: Column, address: Column) -> Column:
@@ -58,27 +66,36 @@ def update_score(words: Column, summary: Column, image: Column, age: Column, boo
     Only noise, announcements and missing evidence rule an update out; the other reasons are soft flags: they stand
     in ``rejected`` and in ``soft``, and leave it eligible. A null image or bookmark counts as none, a null age as old.
     """
-    n = F.length(F.trim(F.coalesce(summary, F.lit(""))))
-    seen = {k: text.hits_exact(words, list(getattr(terms, k))) for k in ("perspective", "transferable", "evidence", "artifact", "craft")}
-    view = F.least(F.lit(30), 7 * seen["perspective"] + 4 * seen["craft"] + F.when((seen["perspective"] > 0) | (seen["craft"] > 0), 2).otherwise(0))
-    use = F.least(F.lit(25), 4 * seen["transferable"] + F.when(seen["transferable"] > 0, 5).otherwise(0))
-    proof = F.least(F.lit(20), F.when(n >= 90, 8).when(n >= 60, 4).otherwise(0) + 4 * seen["evidence"] + F.when(image, 4).otherwise(0))
-    score = view + use + proof + by_age(age, UPDATE_RECENCY, 2) + F.when(bookmarked, 8).otherwise(10)
-    documented = (n >= 90) & (seen["craft"] >= 1) & (seen["evidence"] >= 1) & (seen["transferable"] >= 2)
-    reasons = [
-        (hit_count(words, terms.noise) > 0, "commercial-noise"),
-        (hit_count(words, terms.announcements) > 0, "announcement-news"),
-        ((n < 60) & (seen["evidence"] == 0), "insufficient-evidence"),
-        (seen["transferable"] == 0, "not-transferable"),
-        (seen["artifact"] == 0, "outside-creative-practice"),
-        ((seen["perspective"] == 0) & (seen["craft"] < 2) & ~documented, "no-creative-point-of-view"),
-    ]
-    said = lambda pairs: F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in pairs]))
-    soft = said([x for x in reasons if x[1] not in HARD_REASONS])
-    hard = F.lit(False)
-    for test, name in reasons:
-        hard = hard | test if name in HARD_REASONS else hard
-    return F.struct(score.alias("score"), (~hard & (score >= LEAST_UPDATE_SCORE)).alias("eligible"), said(reasons).alias("rejected"), soft.alias("soft"))
+    kinds = ("perspective", "transferable", "evidence", "artifact", "craft")
+
+    def counted(w: Column) -> Column:
+        found = [text.hits_exact(w, list(getattr(terms, k))).alias(k) for k in kinds]
+        return F.struct(*found, hit_count(w, terms.noise).alias("noise"), hit_count(w, terms.announcements).alias("announcements"), F.length(F.trim(F.coalesce(summary, F.lit("")))).alias("n"))
+
+    def scored(seen: Column) -> Column:
+        n = seen["n"]
+        view = F.least(F.lit(30), 7 * seen["perspective"] + 4 * seen["craft"] + F.when((seen["perspective"] > 0) | (seen["craft"] > 0), 2).otherwise(0))
+        use = F.least(F.lit(25), 4 * seen["transferable"] + F.when(seen["transferable"] > 0, 5).otherwise(0))
+        proof = F.least(F.lit(20), F.when(n >= 90, 8).when(n >= 60, 4).otherwise(0) + 4 * seen["evidence"] + F.when(image, 4).otherwise(0))
+        score = view + use + proof + by_age(age, UPDATE_RECENCY, 2) + F.when(bookmarked, 8).otherwise(10)
+        documented = (n >= 90) & (seen["craft"] >= 1) & (seen["evidence"] >= 1) & (seen["transferable"] >= 2)
+        reasons = [
+            (seen["noise"] > 0, "commercial-noise"),
+            (seen["announcements"] > 0, "announcement-news"),
+            ((n < 60) & (seen["evidence"] == 0), "insufficient-evidence"),
+            (seen["transferable"] == 0, "not-transferable"),
+            (seen["artifact"] == 0, "outside-creative-practice"),
+            ((seen["perspective"] == 0) & (seen["craft"] < 2) & ~documented, "no-creative-point-of-view"),
+        ]
+        said = lambda pairs: F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in pairs]))
+        soft = said([x for x in reasons if x[1] not in HARD_REASONS])
+        hard = F.lit(False)
+        for test, name in reasons:
+            hard = hard | test if name in HARD_REASONS else hard
+        return F.struct(score.alias("score"), (~hard & (score >= LEAST_UPDATE_SCORE)).alias("eligible"), said(reasons).alias("rejected"), soft.alias("soft"))
+
+    # the words are read once for all counts, and a count once for all it says
+    return text.once(text.once(words, counted), scored)
 
 
 def korean_score(words: Column, title: Column, summary: Column, age: Column, bookmarked: Column, quality: tuple, korean: tuple, trusted: tuple, low: tuple) -> Column:

@@ -175,3 +175,34 @@ def test_sitemap_trees_as_a_plain_walk(spark):
         assert {(x.source, x.url): x.map for x in pages.collect()} == want
     pages, found = crawl.walk_sitemaps(spark.createDataFrame([], "url string, xml string"), spark.createDataFrame([], "source string, url string"))
     assert pages.count() == found.count() == 0
+
+
+def test_the_export_makes_items_compact_once(spark, tmp_path):
+    calls, one = spark.sparkContext.accumulator(0), F.lit(None).cast("string")
+
+    def said(x):
+        calls.add(1)
+        return "other"
+
+    at, texts = F.timestamp_seconds(F.lit(1_704_067_200)), ("title", "article_title", "title_ko", "deep_title", "url", "image", "image_kind", "summary", "summary_ko", "deep_summary", "deep_category")
+    items = spark.range(6).select("id", F.lit("u").alias("tab"), at.alias("at"), at.alias("archived_at"), at.alias("original"), *[one.alias(c) for c in texts], F.lit("s").alias("source"), F.lit(True).alias("keep"), F.lit(1).alias("sharpness"))
+    site.export(items, str(tmp_path / "site"), F.udf(said)("id"))
+    assert calls.value == 6
+
+
+def test_an_updates_words_are_made_once(spark):
+    terms = tabs.UpdateTerms(("idea",), ("tool",), ("built",), ("room",), ("wood",), ("sale",), (r"\bmit\b",))
+    score = tabs.update_score(tabs.update_words(F.lit("known title"), F.col("s"), F.lit("")), F.col("s"), F.lit(True), F.lit(1), F.lit(False), terms)
+    plan = spark.createDataFrame([("x",)], "s string").select(score.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("known title") == 1
+
+
+def test_word_edges_after_their_letter(spark):
+    import re
+
+    r = random.Random(5)
+    texts = ["".join(r.choice(["mit", "m", "a", "b", " ", "é", "_", "-", "2"]) for _ in range(r.randint(0, 6))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for p in (r"\bmit\b", r"a\b", r"\bab?\b", r"\bb?a", r"a2\b|\bm", r"[ab]\b"):
+        want = [len(re.findall(p, t, re.A)) > 0 for t in texts]
+        assert [x.n == 1 for x in df.select("i", tabs.hit_count(F.col("t"), (p,)).alias("n")).orderBy("i").collect()] == want
