@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -155,16 +157,18 @@ FEED_TAILS = (
 )
 
 
-# Every match of a tail holds one of these; the two Korean tails hold the second.
-_TAIL_SIGNS = r"(?i)appeared first on|에 처음 등장했습니다|continue reading|read more|\[(?:watch|자세히|더|보기|…|\.)"
+# Every match of a tail holds one of these (in lower case) or a bracket with one of those; the two Korean
+# tails hold the second.
+_TAIL_SIGNS, _BRACKETS = ("appeared first on", "에 처음 등장했습니다", "continue reading", "read more"), r"(?i)\[(?:watch|자세히|더|보기|…|\.)"
 _KOREAN_TAIL = "에 처음 등장했습니다"
 
 
-def clean_feed(text: Column) -> Column:
-    """A feed summary without the sentences that publishing systems append.
+def clean_feed(text: Column, most: int | None = None) -> Column:
+    """A feed summary without the sentences that publishing systems append; its first so many characters.
 
     Tails begin with open stretches, which are tried at every character, so texts without the fixed part of a tail are
-    told by one scan and left as they are.
+    told by plain scans and left as they are. Where only the beginning is asked for, white space of the beginning is
+    reduced first, and that of the whole text only if this leaves too little.
     """
 
     def without(t: Column, patterns: tuple[str, ...]) -> Column:
@@ -176,8 +180,16 @@ def clean_feed(text: Column) -> Column:
         t = once(without(t, FEED_TAILS[:1]), lambda u: F.when(u.contains(_KOREAN_TAIL), without(u, FEED_TAILS[1:3])).otherwise(u))
         return without(t, FEED_TAILS[3:])
 
-    text = once(text, lambda t: F.when(t.rlike(_TAIL_SIGNS), tails(t)).otherwise(t))
-    return F.trim(F.regexp_replace(text, _OTHER_SPACE, " "))
+    def signed(t: Column) -> Column:
+        found = once(F.lower(t), lambda low: reduce(Column.__or__, [low.contains(x) for x in _TAIL_SIGNS]))
+        return found | t.contains("[") & t.rlike(_BRACKETS)
+
+    spaced = lambda t: F.trim(F.regexp_replace(t, _OTHER_SPACE, " "))
+    text = once(text, lambda t: F.when(signed(t), tails(t)).otherwise(t))
+    if most is None:
+        return spaced(text)
+    enough = lambda t, start: F.when(F.length(start) >= most, start).otherwise(spaced(t))
+    return F.left(once(text, lambda t: once(spaced(F.left(t, F.lit(4 * most))), lambda start: enough(t, start))), F.lit(most))
 
 
 def loose_json(text: Column, schema: str) -> Column:

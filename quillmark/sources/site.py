@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, values
+from ..operators.rounds import written
 from ..operators.select import capped_top
 from . import versions
 
@@ -29,14 +30,15 @@ def compact(items: DataFrame, category: Column, template: str = "$^") -> DataFra
     rows without a reading. Null times have no day; an unread row has null k and sh.
     """
     at = F.coalesce("at", "archived_at")
-    local, original = text.clean_feed(F.coalesce("summary_ko", F.lit(""))), F.left(text.clean_feed(F.coalesce("summary", F.lit(""))), F.lit(SUMMARY_CHARS))
+    local, original = text.clean_feed(F.coalesce("summary_ko", F.lit(""))), text.clean_feed(F.coalesce("summary", F.lit("")), SUMMARY_CHARS)
+    summary = text.once(local, lambda x: F.when(x.rlike(template), original).otherwise(x))
     age = (F.unix_seconds(at) - F.unix_seconds("original")) / 86400
     return items.select(
         "id", "tab", values.kst_day(at).cast("string").alias("day"), at.alias("at"), _first("deep_title", "title_ko", "article_title", "title").alias("t"),
         _first("article_title", "title").alias("ot"), F.col("url").alias("u"),
         F.when(F.coalesce(F.col("image_kind").isin(*FOREIGN_IMAGES), F.lit(False)), "").otherwise(F.coalesce("image", F.lit(""))).alias("img"),
         F.coalesce("source", F.lit("")).alias("s"), F.col("original").alias("od"),
-        F.coalesce(_first("deep_summary"), F.when(local.rlike(template), original).otherwise(local)).alias("sum"), F.coalesce(_first("deep_category"), category).alias("cat"),
+        F.coalesce(_first("deep_summary"), summary).alias("sum"), F.coalesce(_first("deep_category"), category).alias("cat"),
         F.coalesce(age > OLD_DAYS, F.lit(False)).alias("old"), F.col("keep").cast("int").alias("k"), F.col("sharpness").alias("sh"),
     )
 
@@ -67,9 +69,10 @@ def todays_picks(rows: DataFrame) -> DataFrame:
 def export(items: DataFrame, root: str, category: Column, template: str = "$^", replaces: int | None = None) -> int:
     """Commits the tables all, recent (both by tab), meta and today as one state; returns its version.
 
-    Readers see the four tables of one version or of the one before, never a mixture.
+    Readers see the four tables of one version or of the one before, never a mixture. Items are read and made compact
+    once; the four tables are made from the compact rows.
     """
-    rows = compact(items, category, template)
+    rows = written(compact(items, category, template))
     recent = rows.join(ranked_days(rows).where(F.col("r") <= RECENT_DAYS).select("tab", "day"), ["tab", "day"], "left_semi")
     tables = {"all": rows, "recent": recent.select(*rows.columns), "meta": tab_totals(rows), "today": todays_picks(rows)}
     return versions.commit(items.sparkSession, root, tables, partition_by={"all": ["tab"], "recent": ["tab"]}, replaces=replaces)

@@ -181,3 +181,13 @@ def test_evidence_sentence_ties_go_to_the_earlier(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = documents.evidence_sentence(spark, str(tmp_path)).collect()
     assert len(got) == 30 and {r.evidence for r in got} == {middle}
+
+
+def test_the_beginning_of_a_feed_summary(spark):
+    import random
+
+    r, signs = random.Random(2), ["[Read More]", " Appeared first on x. ", "[", "... continue reading", "\ufeff\n ", " " * 30, "word", " ", "[…]", "에 처음 등장했습니다"]
+    texts = [None, "", *("".join(r.choice(signs) for _ in range(r.randint(1, 14))) for _ in range(200))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(text.clean_feed(F.col("t"), 8).alias("a"), F.left(text.clean_feed(F.col("t")), F.lit(8)).alias("b")).collect()
+    assert [x.a for x in got] == [x.b for x in got]
