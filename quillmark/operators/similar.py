@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import values
 from .rounds import written
 from .select import cap_per_group
 
@@ -82,18 +84,90 @@ def sharing_tokens(df: DataFrame, row_id: str, group: str, words: str, least: in
     return _expanded(scored.where(F.col("shared") >= least), classes, members, "overlap")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+#: Rows of vectors that are multiplied at once; what a block of scores takes is this times the queries of a block.
+_ROWS = 1024
+
+
+def _vectors(column: pa.Array, width: int) -> np.ndarray:
+    """Lists as a matrix of doubles; what is null, or missing at the end, adds nothing, as in SQL's sums."""
+    flat, size = column.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64), np.diff(column.offsets.to_numpy())
+    if (size == width).all():
+        return flat.reshape(len(size), width)
+    out, place = np.zeros((len(size), width)), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    inside = place < width
+    out[np.repeat(np.arange(len(size)), size)[inside], place[inside]] = flat[inside]
+    return out
+
+
+def _sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, added up from the first element on, as SQL does."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
+class _Best:
+    """The k best rows of each query so far, as exact sums; ties go to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.sizes = np.abs(vectors).sum(1)
+        self.least = np.full(len(ids), -np.inf)
+        self.held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]  # place of the query, id, score
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        # A product of matrices adds up in any order: what it rules out is below the k-th score by more than that can be.
+        # (NaN rules nothing out.)
+        slack = 1e-15 * vectors.shape[1] * self.sizes * np.abs(vectors).max(initial=0.0)
+        rows, places = np.nonzero(~(vectors @ self.vectors.T < self.least - slack))
+        other = ids[rows] != self.ids[places]
+        rows, places = rows[other], places[other]
+        if not len(rows):
+            return
+        score = np.concatenate([_sums(self.vectors[p], vectors[r]) for p, r in zip(np.array_split(places, len(places) // 65536 + 1), np.array_split(rows, len(rows) // 65536 + 1), strict=True)])
+        place, near, score = (np.concatenate(x) for x in zip(self.held, (places, ids[rows], score), strict=True))
+        order = np.lexsort((near, -score, ~np.isnan(score), place))
+        place, near, score = place[order], near[order], score[order]
+        rank = np.arange(len(place)) - np.searchsorted(place, place)
+        full = place[rank == self.k - 1]
+        self.least[full] = score[rank == self.k - 1]
+        self.held = [x[rank < self.k] for x in (place, near, score)]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
     """(query, neighbour, score): the k rows of largest dot product for each stated query.
 
-    Queries are taken in blocks of about ``block`` by a hash of their ids; a block is broadcast (a few MB), so what a
-    task holds doesn't grow with the queries. Spark's window group limit keeps k rows a query in each task before the
-    shuffle, so what moves is k rows a query and task.
+    Queries are taken in blocks of about ``block`` by a hash of their ids; a block is sent to all tasks (a few MB), so
+    what a task holds doesn't grow with the queries. A task multiplies a batch of rows with a block as matrices, which
+    rules out all pairs but those near a query's k-th score so far; these are summed exactly, in the order of the
+    elements, so that equal vectors tie. What moves is k rows a query and task. Every query meets every row.
+
+    Edge cases: rows without an id or a vector are no neighbours and no queries; repeated ids are rows each, and none
+    is a neighbour of its own id; null elements and those that the other vector lacks add nothing; scores that are no
+    number are the largest; no queries give no rows.
     """
-    q = queries.select(F.col(row_id).alias("query"), F.col(vector).alias("qv"))
-    blocks = max(1, -(-q.count() // block))
-    found = []
+    spark, kind, own = vectors.sparkSession, "query long, neighbour long, score double", vectors.schema[row_id].dataType
+    rows, q = (df.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("v")).dropna() for df in (vectors, queries))
+    blocks, found = max(1, -(-q.count() // block)), []
     for i in range(blocks):
-        part = F.broadcast(q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i))
-        scored = vectors.join(part, F.col(row_id) != F.col("query")).select("query", F.col(row_id).alias("neighbour"), values.dot(F.col("qv"), F.col(vector)).alias("score"))
-        found.append(cap_per_group(scored, "query", [F.desc("score"), "neighbour"], k))
-    return reduce(DataFrame.unionByName, found).select("query", "neighbour", "score")
+        table = q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow().combine_chunks()
+        lists = table.column("v").combine_chunks()
+        of = _vectors(lists, int(np.diff(lists.offsets.to_numpy()).max(initial=0)))
+        found.append(rows.mapInArrow(_compared(spark.sparkContext.broadcast((table.column("id").to_numpy(), of)), k), kind))
+    best = cap_per_group(reduce(DataFrame.unionByName, found), "query", [F.desc("score"), "neighbour"], k)
+    return best.select(F.col("query").cast(own).alias("query"), F.col("neighbour").cast(own).alias("neighbour"), "score")
+
+
+def _compared(sent, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, of = sent.value
+        best = _Best(ids, of, k)
+        for batch in batches:
+            near, v = batch.column(0).to_numpy(), _vectors(batch.column(1), of.shape[1])
+            for at in range(0, len(near), _ROWS):
+                best.add(near[at : at + _ROWS], v[at : at + _ROWS])
+        place, near, score = best.held
+        yield pa.RecordBatch.from_arrays([pa.array(ids[place]), pa.array(near), pa.array(score)], ["query", "neighbour", "score"])
+
+    return run

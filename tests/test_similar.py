@@ -30,3 +30,39 @@ def test_repeated_and_missing_ids(spark):
     df = spark.createDataFrame(rows, "id long, source string, w array<string>")
     assert {(r.a, r.b) for r in similar.similar_titles(df, "id", "w").collect()} == {(1, 2), (1, 3), (2, 3)}
     assert {(r.a, r.b) for r in similar.sharing_tokens(df, "id", "source", "w", 3).collect()} == {(1, 2)}
+
+
+def _by_loop(vectors, queries, k):
+    out = set()
+    for q, qv in queries:
+        scores = []
+        for n, v in vectors:
+            if n != q:
+                s = 0.0
+                for x, y in zip(qv, v, strict=False):
+                    s += 0.0 if x is None or y is None else x * y
+                scores.append((-s, n))
+        out |= {(q, n, -s) for s, n in sorted(scores)[:k]}
+    return out
+
+
+def test_nearest_vectors_as_a_plain_loop(spark):
+    import random
+
+    r = random.Random(4)
+    kinds = [[r.gauss(0, 1) for _ in range(7)] for _ in range(60)]
+    data = [(i, list(r.choice(kinds[:3]) if i % 2 else r.choice(kinds))) for i in range(3000)]
+    data[5] = (5, data[5][1][:4])
+    data[7] = (7, [None, *data[7][1][1:]])
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    asked = [x for x in data if x[0] % 100 in (0, 5)]
+    got = similar.nearest(df, df.where("vec_id % 100 IN (0, 5)"), 5, block=7)
+    assert {tuple(x) for x in got.collect()} == _by_loop(data, asked, 5)
+    assert similar.nearest(df, df.limit(0), 5).count() == 0 and similar.nearest(df.limit(0), df, 5).count() == 0
+
+
+def test_nearest_multiplies_in_tasks_of_arrays(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "vec_id int, embedding array<double>")
+    found = similar.nearest(df, df.where("vec_id < 5"), 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "NestedLoop" not in plan and found.schema["query"].dataType.simpleString() == "int"
