@@ -16,6 +16,8 @@ from .select import cap_per_group
 
 #: Members of a class that are paired as one list.
 _CHUNK = 256
+#: Rows of one token that meet each other in one task.
+_BLOCK = 2048
 
 
 def _classes(df: DataFrame, row_id: str, words: str, least: int, group: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -32,7 +34,6 @@ def _expanded(pairs: DataFrame, classes: DataFrame, members: DataFrame, name: st
     What is joined and dealt over tasks are lists of members, so that no class is one task's.
     """
     own = classes.where("size > 1").select(F.col("c").alias("ca"), F.col("c").alias("cb"), F.size("w").alias("shared"), F.lit(1.0).alias(name))
-    members = written(members)
     lists = pairs.unionByName(own).join(members.toDF("ca", "x"), "ca").join(members.toDF("cb", "y"), "cb")
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = lists.repartition(tasks, F.element_at("x", 1), F.element_at("y", 1), "ca", "cb")
@@ -62,26 +63,39 @@ def similar_titles(df: DataFrame, row_id: str, words: str, threshold: float = 0.
     shared = F.size(F.array_intersect("wa", "wb"))
     scored = pairs.join(x, "a").join(y, "b").select(F.col("a").alias("ca"), F.col("b").alias("cb"), shared.alias("shared"), (shared / F.least(F.size("wa"), F.size("wb"))).alias("similarity"))
     scored = scored.where((F.col("shared") >= least) & (F.col("similarity") >= threshold))
-    return _expanded(scored, classes, members, "similarity").select("a", "b", "similarity")
+    return _expanded(scored, classes, written(members), "similarity").select("a", "b", "similarity")
 
 
 def sharing_tokens(df: DataFrame, row_id: str, group: str, words: str, least: int) -> DataFrame:
     """Pairs (a, b, shared, overlap) of rows of one group that share at least so many tokens.
 
-    Rows of a group with equal sets are one class, as in ``similar_titles``. With tokens of a group rarest first, the
-    first token that a pair shares stands before the last least - 1 of each.
+    Rows of a group with equal sets are one class, as in ``similar_titles``. With tokens of a group rarest first, and
+    without those of one class, the first token that a pair shares stands before the last least - 1 of each. Classes go
+    by each such token with all their tokens and a list of their rows, so that a pair is told, counted where that
+    token is its first, and expanded in one task; no pair is moved. A token of many rows is dealt over blocks of
+    ``_BLOCK`` rows, and each two blocks meet in a task of their own.
     """
     classes, members = _classes(df.where(F.col(group).isNotNull()).withColumn("g", F.col(group)), row_id, words, least, ["g"])
-    sets = classes.select(F.col("c").alias("id"), "g", "w")
-    entries = sets.select("id", "g", F.explode("w").alias("t"))
-    rarity = entries.groupBy("g", "t").agg(F.count("*").alias("df"))
-    ranked = entries.join(rarity, ["g", "t"]).groupBy("id", "g").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("by"))
-    first = ranked.select("id", "g", F.explode(F.slice("by", F.lit(1), F.size("by") - (least - 1))).alias("x")).where("x.df > 1").select("id", "g", "x.t")
-    pairs = first.toDF("a", "g", "t").join(first.toDF("b", "g", "t"), ["g", "t"]).where("a < b").select("a", "b").distinct()
-    x, y = sets.select(F.col("id").alias("a"), F.col("w").alias("wa")), sets.select(F.col("id").alias("b"), F.col("w").alias("wb"))
-    shared = F.size(F.array_intersect("wa", "wb"))
-    scored = pairs.join(x, "a").join(y, "b").select(F.col("a").alias("ca"), F.col("b").alias("cb"), shared.alias("shared"), (shared / F.least(F.size("wa"), F.size("wb"))).alias("overlap"))
-    return _expanded(scored.where(F.col("shared") >= least), classes, members, "overlap")
+    members = written(members)
+    entries = classes.select("c", "g", F.size("w").alias("n"), F.explode("w").alias("t"))
+    shared = written(entries.groupBy("g", "t").agg(F.count("*").alias("df")).where("df > 1").withColumn("k", F.monotonically_increasing_id()))
+    ranked = entries.join(shared, ["g", "t"]).groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("by"))
+    ranked = ranked.where(F.size("by") >= least).select("c", "n", F.transform("by", lambda x: x["k"]).alias("by"))
+    lists = written(ranked.join(members, "c"))
+    keyed = lists.withColumn("k", F.explode(F.slice("by", F.lit(1), F.size("by") - (least - 1))))
+    wide = keyed.groupBy("k").agg(F.sum(F.size("ids")).alias("m")).where(F.col("m") > _BLOCK).select("k", F.ceil(F.col("m") / _BLOCK).cast("int").alias("blocks"))
+    placed = keyed.join(F.broadcast(wide), "k", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int"))
+    rows = [F.col(c).alias(c + side) for side in "xy" for c in ("c", "n", "by", "ids")]
+    x = placed.select("k", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), *rows[:4])
+    y = placed.select("k", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), *rows[4:])
+    common = F.array_intersect("byx", "byy")
+    met = x.join(y, ["k", "i", "j"]).where(F.when(F.col("i") == F.col("j"), F.col("cx") < F.col("cy")).otherwise(F.col("cx") != F.col("cy")))
+    met = met.withColumn("common", common).where((F.size("common") >= least) & (F.col("common")[0] == F.col("k")))
+    met = met.select("idsx", "idsy", F.size("common").alias("shared"), (F.size("common") / F.least("nx", "ny")).alias("overlap"))
+    each = met.withColumn("a", F.explode("idsx")).drop("idsx").withColumn("b", F.explode("idsy")).where("a <> b")
+    none = df.sparkSession.createDataFrame([], "ca long, cb long, shared int, overlap double")
+    own = _expanded(none, classes, members, "overlap")
+    return own.unionByName(each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", "overlap"))
 
 
 #: Rows of vectors that are multiplied at once; what a block of scores takes is this times the queries of a block.

@@ -66,3 +66,28 @@ def test_nearest_multiplies_in_tasks_of_arrays(spark):
     found = similar.nearest(df, df.where("vec_id < 5"), 2)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "NestedLoop" not in plan and found.schema["query"].dataType.simpleString() == "int"
+
+
+def test_pairs_of_one_group_are_not_moved(spark):
+    moved = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    w = F.array(*[F.lit(x) for x in ("red", "blue", "green")], F.col("id").cast("string"))
+    plan = similar.sharing_tokens(spark.range(1500).select("id", F.lit("s").alias("source"), w.alias("w")), "id", "source", "w", 3)
+    before = moved()
+    assert plan.count() == 1500 * 1499 // 2
+    assert moved() - before < 1_500_000
+
+
+def test_tokens_of_many_rows_meet_in_blocks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(similar, "_BLOCK", 9)
+    monkeypatch.setattr(similar, "_CHUNK", 2)
+    r = random.Random(8)
+    data = [(i, r.choice("xyz"), [r.choice("abcdefgh") for _ in range(r.randint(0, 7))]) for i in range(150)]
+    got = similar.sharing_tokens(spark.createDataFrame(data, "id long, source string, w array<string>"), "id", "source", "w", 3).collect()
+    want = []
+    for a, s, u in data:
+        for b, t, v in data:
+            if a < b and s == t and len(set(u) & set(v)) >= 3:
+                want.append((a, b, len(set(u) & set(v)), len(set(u) & set(v)) / min(len(set(u)), len(set(v)))))
+    assert sorted(map(tuple, got)) == sorted(want)
