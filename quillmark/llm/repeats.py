@@ -19,7 +19,9 @@ meet in one task, whatever documents they stand in, and no task may get an unbou
    make a block too large; its windows are told apart by their own 128-bit hashes, in rows that Spark counts.
 5. Each segment's repeated windows are joined back to all its occurrences, and a last pass cuts the texts.
 
-Tables of places are broadcast if they have at most ``BROADCAST_BYTES`` bytes, else joined by a shuffle.
+Tables of places are broadcast if they have at most ``BROADCAST_BYTES`` bytes, else joined by a shuffle. Bitmaps of keys
+(``MOST_BITS`` bits, 32 MB at most, broadcast) keep rows of grams that occur once, and texts without places, out of
+shuffles; what they let through is joined exactly, so more keys than bits cost shuffles, not results.
 
 Edge cases: a null text counts as empty; texts shorter than ``length`` lose nothing; overlapping repeats inside
 one document count; rows with equal ids and equal texts are two documents, so both go (from length on); rows
@@ -42,7 +44,8 @@ GRAM = 32
 BLOCK_BYTES = 1 << 20
 MOST_SEGMENTS = 4096
 BROADCAST_BYTES, KEY_BYTES, ROW_BYTES = 32 << 20, 64, 40  # of an entry's key and of one of its places
-_PIECE = 1 << 23
+MOST_BITS, _BUCKET = 1 << 28, 1 << 15
+_PIECE, _TOGETHER = 1 << 23, 1 << 16
 _PLACE = np.uint64((1 << 24) - 1)
 _RANDOM = np.random.default_rng(9)
 _OF_BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
@@ -62,87 +65,139 @@ def grams(x: np.ndarray) -> np.ndarray:
     return _mixed(h)
 
 
-def _ranges(x: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    for base in range(0, len(x) - length + 1, _PIECE):
-        h = grams(x[base : base + _PIECE + length - 1])
-        a = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
-        width, step = length - GRAM + 1, 1
-        while 2 * step <= width:
-            a = np.minimum(a[:-step], a[step:])
-            step *= 2
-        if width > step:
-            a = np.minimum(a[: len(a) - (width - step)], a[width - step :])
-        at = (a & _PLACE).astype(np.int64)
-        lo = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-        hi = np.concatenate([lo[1:], [len(at)]]) - 1
-        size = hi - lo + length
-        s = _mixed(h[hi + length - GRAM] + size.astype(np.uint64) * _FACTORS[5])
-        for k in range(2 * length // GRAM + 1):
-            inside = (k + 1) * GRAM <= size
-            if inside.any():
-                s[inside] = _mixed(s[inside] * _FACTORS[6] + h[lo[inside] + k * GRAM])
-        yield h[at[lo]].view(np.int64), s.view(np.int64), lo + base, hi + base
+def _ranges(x: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(gram, hash of the segment, first window, last window) of texts that stand one after the other in x."""
+    h = grams(x)
+    a = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+    width, step = length - GRAM + 1, 1
+    while 2 * step <= width:
+        a = np.minimum(a[:-step], a[step:])
+        step *= 2
+    if width > step:
+        a = np.minimum(a[: len(a) - (width - step)], a[width - step :])
+    at = (a & _PLACE).astype(np.int64)
+    # windows that run over the end of their text are none; a gram of the next text begins a segment of its own
+    inside = np.ones(len(at), bool)
+    for end in starts[1:].tolist():
+        inside[max(end - length + 1, 0) : end] = False
+    window = np.flatnonzero(inside)
+    at = at[window]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))[: len(at)]
+    lo, hi = window[first], window[np.concatenate([first[1:], [len(at)]])[: len(first)] - 1]
+    size = hi - lo + length
+    s = _mixed(h[hi + length - GRAM] + size.astype(np.uint64) * _FACTORS[5])
+    for k in range(2 * length // GRAM + 1):
+        more = np.flatnonzero((k + 1) * GRAM <= size)
+        s[more] = _mixed(s[more] * _FACTORS[6] + h[lo[more] + k * GRAM])
+    return h[at[first]].view(np.int64), s.view(np.int64), lo, hi
+
+
+def all_segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """(gram, hash of the segment, number of the text, first window, last window) of all segments of texts.
+
+    Short texts are read together, so many that their hashes stay in a cache; long ones in pieces of ``_PIECE`` windows.
+    """
+    found, some, size = [np.empty((5, 0), np.int64)], [], 0
+
+    def read(some: list[int], base: int = 0) -> None:
+        raw = texts[some[0]][base : base + _PIECE + length - 1] if len(some) == 1 else b"".join(texts[i] for i in some)
+        sizes = np.array([len(texts[i]) for i in some])
+        starts = np.cumsum(sizes) - sizes
+        g, s, lo, hi = _ranges(np.frombuffer(raw, np.uint8), starts, length)
+        of = np.searchsorted(starts, lo, side="right") - 1
+        found.append(np.stack([g, s, np.array(some)[of], lo - starts[of] + base, hi - starts[of] + base]))
+
+    for i, t in enumerate(texts):
+        if len(t) < length:
+            continue
+        if len(t) > _PIECE:
+            for base in range(0, len(t) - length + 1, _PIECE):
+                read([i], base)
+            continue
+        if some and size + len(t) > _TOGETHER:
+            read(some)
+            some, size = [], 0
+        some.append(i)
+        size += len(t)
+    if some:
+        read(some)
+    return tuple(np.concatenate(found, axis=1))
 
 
 def segments(x: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(gram, hash of the segment, first window, last window) of a text's segments."""
-    found = list(_ranges(x, length)) if len(x) >= length else []
-    if not found:
-        return tuple(np.empty(0, np.int64) for _ in range(4))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+    g, s, _, lo, hi = all_segments([x.tobytes()], length)
+    return g, s, lo, hi
+
+
+def first_bytes(x: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number (zeros past the end)."""
+    key = np.concatenate([x, np.zeros(7, np.uint8)]).astype(np.uint64)
+    for size in (1, 2, 4):
+        key = (key[:-size] << np.uint64(8 * size)) | key[size:]
+    return key
 
 
 def suffix_order(x: np.ndarray, length: int) -> np.ndarray:
     """Start places in the order of their first ``length`` bytes at least (the text is followed by zeros)."""
-    n = len(x)
-    padded = np.concatenate([x, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : n + i]
-    step = 8
+    n, bits = len(x), int(len(x)).bit_length()  # of a rank; two of them and a place are one number, if they fit
+    key = first_bytes(x)
+    order = np.argsort(key)  # equal keys may stand in any order
+    rank, slots = np.zeros(n + 1, np.int64), np.arange(n)
+    held, step = key[order], 8
     while True:
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])]) + 1
-        if step >= length or int(rank.max()) == n:
+        # rank: one more than the first slot of all equal ones; 0 past the end
+        heads = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))[: len(held)]
+        sizes = np.diff(np.concatenate([heads, [len(held)]]))
+        rank[order[slots]] = np.repeat(slots[heads] + 1, sizes)
+        slots = slots[np.repeat(sizes > 1, sizes)]  # those that are alone have their place
+        if step >= length or not len(slots):
             return order
-        after = np.zeros(n, np.uint64)
-        after[: max(n - step, 0)] = rank[step:]
-        key = (rank << np.uint64(32)) | after
+        at = order[slots]
+        held = (rank[at] << bits) | rank[np.minimum(at + step, n)]
+        if bits <= 21:
+            packed = np.sort((held << bits) | at)
+            held, at = packed >> bits, packed & ((1 << bits) - 1)
+        else:
+            by = np.argsort(held)
+            held, at = held[by], at[by]
+        order[slots] = at
         step *= 2
 
 
 def prefix_borders(x: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """border[i]: suffixes i - 1 and i of the order share less than ``length`` bytes (border[0] and [n] hold).
 
-    Breadth-first extension to the left over the Burrows-Wheeler transform; an interval is (first, last).
+    Breadth-first extension to the left over the Burrows-Wheeler transform; an interval is (first, last). It begins
+    with strings of eight bytes, as one number tells those apart: the intervals that the shorter ones would have left.
     """
     n = len(x)
-    bwt = x[order - 1].astype(np.int64)  # of place 0: the last byte, a closing mark
+    bwt = x[order - 1]  # of place 0: the last byte, a closing mark
     step_left = np.empty(n, np.int64)
     step_left[np.argsort(bwt, kind="stable")] = np.arange(n)
-    border = np.zeros(n + 1, bool)
-    border[0] = border[n] = True
-    ends = np.cumsum(np.bincount(x, minlength=256))
-    starts = ends - np.bincount(x, minlength=256)
-    used = ends > starts
-    first, last = starts[used], ends[used] - 1
-    border[last + 1] = True
-    for _ in range(1, length):  # the intervals at hand are of strings of this length
-        single = first == last
-        to = step_left[first[single]]
-        a, b = first[~single], last[~single]
-        size = b - a + 1
-        where = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        tag = np.repeat(np.arange(len(a)), size) * 256 + bwt[where]
-        by = np.argsort(tag, kind="stable")
-        tag, where = tag[by], where[by]
-        change = np.flatnonzero(tag[1:] != tag[:-1]) + 1
-        heads = np.concatenate([[0], change]) if len(tag) else change
-        tails = np.concatenate([change, [len(tag)]]) - 1 if len(tag) else change
-        first = np.concatenate([to, step_left[where[heads]]])
-        last = np.concatenate([to, step_left[where[tails]]])
+    bwt = bwt.astype(np.int64)
+    key = first_bytes(x)[order]
+    border = np.concatenate([[True], key[1:] != key[:-1], [True]])
+    ends = np.flatnonzero(border)
+    first, last = ends[:-1], ends[1:] - 1
+    # the others end where already strings of seven bytes do
+    new = np.flatnonzero((key[last[:-1]] >> np.uint64(8)) == (key[first[1:]] >> np.uint64(8)))
+    first, last = first[new], last[new]
+    for _ in range(8, length):  # the intervals at hand are of strings of this length
+        size = last - first + 1
+        one, a = first[size == 1], first[size == 2]
+        same = bwt[a] == bwt[a + 1]
+        left, right = step_left[a], step_left[a + 1]
+        apart = ~same
+        a, size = first[size > 2], size[size > 2]
+        where = np.repeat(a - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
+        # by interval and byte, then place: one number each, as a block has far less than 2 ** 24 places
+        tagged = np.sort((((np.repeat(np.arange(len(a)), size) << 8) | bwt[where]) << 31) | where)
+        tag, where = tagged >> 31, tagged & ((1 << 31) - 1)
+        head = np.flatnonzero(np.concatenate([[True], tag[1:] != tag[:-1]]))[: len(tag)]
+        tail = np.concatenate([head[1:], [len(tag)]])[: len(head)] - 1
+        first = np.concatenate([step_left[one], left, right[apart], step_left[where[head]]])
+        last = np.concatenate([first[: len(one)], np.where(same, right, left), right[apart], step_left[where[tail]]])
         new = ~border[last + 1]
         first, last = first[new], last[new]
         if not len(first):
@@ -192,24 +247,42 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for i, t in enumerate(batch.column(2)):
-                g, s, lo, hi = segments(np.frombuffer(_raw(t.as_py()), np.uint8), length)
-                parts.append((g, s, np.full(len(g), i), lo, hi))
-            g, s, i, lo, hi = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.empty(0, np.int64)] * 5
+            g, s, i, lo, hi = all_segments([_raw(t) for t in batch.column(2).to_pylist()], length)
             i = pa.array(i)
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(s), batch.column(0).take(i), batch.column(1).take(i), pa.array(lo), pa.array(hi)], ["gram", "s", "id", "h", "lo", "hi"])
 
     return docs.select("id", "h", "text").mapInArrow(run, "gram long, s long, id long, h long, lo long, hi long")
 
 
+def marks(keys: DataFrame, *cols: str) -> tuple[int, DataFrame]:
+    """(number of bits, table of bitmaps by bucket): a bit a key's hash is set, out of 8 to 16 a key, ``MOST_BITS`` at most."""
+    bits = min(MOST_BITS, max(_BUCKET, 1 << int(8 * keys.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(*cols), F.lit(bits))
+    slots = keys.select(F.floor(slot / _BUCKET).alias("bucket"), (slot % _BUCKET).alias("bit")).repartition("bucket")
+    return bits, cut(slots.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")))
+
+
+def marked(df: DataFrame, of: tuple[int, DataFrame], *cols: str) -> DataFrame:
+    """df with a column may: false for rows whose key is certainly none of those marked. Nothing is shuffled."""
+    slot = F.pmod(F.xxhash64(*cols), F.lit(of[0]))
+    byte = F.substring("map", F.floor(F.col("slot") % _BUCKET / 8).cast("int") + 1, F.lit(1))
+    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), (F.col("slot") % 8).cast("int"))
+    df = df.withColumn("slot", slot).withColumn("bucket", F.floor(F.col("slot") / _BUCKET)).join(F.broadcast(of[1]), "bucket", "left")
+    return df.withColumn("may", F.coalesce(bit == 1, F.lit(False))).drop("slot", "bucket", "map")
+
+
 def _with_places(docs: DataFrame, places: DataFrame, places_col: str, how: str = "inner") -> DataFrame:
-    """docs joined with a table of one row a text of an id (id, h), broadcast if its places are few."""
+    """docs joined with a table of one row a text of an id (id, h), broadcast if its places are few; else only those
+    texts are shuffled that a bitmap of the table's keys doesn't rule out."""
     places = cut(places)
     size = places.agg(F.coalesce(F.sum(KEY_BYTES + ROW_BYTES * F.size(places_col)), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
-        places = F.broadcast(places)
-    return docs.join(places, ["id", "h"], how)
+        return docs.join(F.broadcast(places), ["id", "h"], how)
+    told = marked(docs, marks(places, "id", "h"), "id", "h")
+    rows = told.where("may").drop("may").join(places, ["id", "h"], how)
+    if how == "left":
+        rows = rows.unionByName(told.where(~F.col("may")).drop("may"), allowMissingColumns=True)
+    return rows
 
 
 def cut_out(docs: DataFrame, spots: DataFrame, length: int) -> DataFrame:
@@ -289,12 +362,13 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     place = F.struct("id", "h", "lo", "hi")
     distinct = cut(occurrences(docs, length).groupBy("gram", "s").agg(F.count("*").alias("c"), F.min(place).alias("at")))
     of_gram = cut(distinct.groupBy("gram").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")).where("n > 1"))
-    shared = cut(distinct.join(of_gram, "gram").select("gram", "s", "c", "kinds", "at.*"))
+    grams_kept = marks(of_gram, "gram")  # most grams occur once: their rows stay where they are
+    shared = cut(marked(distinct, grams_kept, "gram").where("may").join(of_gram, "gram").select("gram", "s", "c", "kinds", "at.*"))
     whole = shared.where("c > 1").select("gram", "s", F.lit(0).cast("long").alias("a"), (F.col("hi") - F.col("lo")).alias("b"))
     mixed = shared.where(F.col("kinds").between(2, MOST_SEGMENTS))
     parts = expand_blocks(cut_out(docs, mixed, length), length)
     flagged = cut(whole.unionByName(parts))
-    runs = occurrences(docs, length).join(flagged, ["gram", "s"]).select("id", "h", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b") + length).alias("end"))
+    runs = marked(occurrences(docs, length), grams_kept, "gram").where("may").join(flagged, ["gram", "s"]).select("id", "h", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b") + length).alias("end"))
     many = cut(shared.where(F.col("kinds") > MOST_SEGMENTS).where("c = 1"))
     if not many.isEmpty():
         # Segments that occur once, and one occurrence of those that occur twice, so that their windows meet.
