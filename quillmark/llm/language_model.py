@@ -42,7 +42,7 @@ SHARE, GROUPS, CLASSES, FREQUENT = 4e-5, 48, 32, 100_000
 PASSES, SHARD_TOKENS, TRAIN_BLOCK, WEIGHTS, FAN = 3, 1_000_000, 1_000_000, 4096, 64
 HIDDEN, INPUT, LANES, WINDOW = 24, 24, 512, 64
 TRAIN_LANES, TRAIN_WINDOW, LEAST_STEPS = 256, 32, 64
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_000_000
 COUNTED = 400_000
 END = b""
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -56,6 +56,21 @@ def tokens(text: str | None) -> list[bytes]:
     return ws
 
 
+def blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[list[bytes]]]]:
+    """(keys, tokens of each text) of a batch (key, text), cut after every ``BLOCK_TOKENS`` tokens as they are counted:
+    neither the length of words nor the rows of a batch make a block larger, only a single text can."""
+    keys, docs, total = [], [], 0
+    for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        keys.append(key)
+        docs.append(tokens(text.as_py()))
+        total += len(docs[-1])
+        if total >= BLOCK_TOKENS:
+            yield keys, docs
+            keys, docs, total = [], [], 0
+    if keys:
+        yield keys, docs
+
+
 def group_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % GROUPS
 
@@ -349,15 +364,19 @@ def shards(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()  # deals rows of the same id and text out over the shards
-        for batch in batches:
-            docs = [tokens(t.as_py()) for t in batch.column(1)]
+
+        def written(keys: list[int], docs: list[list[bytes]]) -> pa.RecordBatch:
             symbols = sent.value.read(docs)[1].astype(np.uint16)
-            parts = [x.tobytes() for x in np.split(symbols, np.cumsum([len(d) for d in docs])[:-1])] if docs else []
+            parts = [x.tobytes() for x in np.split(symbols, np.cumsum([len(d) for d in docs])[:-1])]
             dealt = []
-            for h in batch.column(0).to_pylist():
+            for h in keys:
                 dealt.append((h + seen[h]) % n)
                 seen[h] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(dealt, pa.int32()), batch.column(0), pa.array(parts, pa.binary())], ["shard", "h", "symbols"])
+            return pa.RecordBatch.from_arrays([pa.array(dealt, pa.int32()), pa.array(keys, pa.int64()), pa.array(parts, pa.binary())], ["shard", "h", "symbols"])
+
+        for batch in batches:
+            for keys, docs in blocks(batch):
+                yield written(keys, docs)
 
     rows = docs.select(F.xxhash64("id", "text").alias("h"), "text").mapInArrow(run, "shard int, h long, symbols binary")
     return cut(rows.repartition(n, "shard").sortWithinPartitions("shard", "h"))
@@ -440,6 +459,28 @@ def learn(docs: DataFrame) -> tuple[Vocabulary, dict[bytes, int], GatedModel, Da
     return vocabulary, frequent, model, others.join(F.broadcast(held), "h", "left_anti") if held is not None else others
 
 
+def score_block(keys: list[int], docs: list[list[bytes]], lexicon: Lexicon, end: int, model: GatedModel) -> pa.RecordBatch:
+    """What is known of a block of documents: numbers of tokens, sums of logarithms, their rare tokens, the model's score."""
+    size = np.array([len(ws) for ws in docs])
+    ends = np.cumsum(size)
+    at, symbols, rare, groups = lexicon.read(docs)
+    missing = np.flatnonzero(at < 0)
+    known, inside, share = lexicon.known[at].astype(np.int64), lexicon.log[at], lexicon.share[at]
+    known[missing], inside[missing], share[missing] = 0, 0.0, -lexicon.tail[groups]
+    known, inside, share = (np.add.reduceat(x, ends - size) for x in (known, inside, share))
+    found = np.searchsorted(missing, np.concatenate([[0], ends]))
+    # a token of a document is one row (hash, times) of the join
+    hashed = np.array([token_hash(w) for w in rare], np.int64)
+    parts = [np.unique(hashed[i:j], return_counts=True) for i, j in zip(found[:-1], found[1:], strict=True)]
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]), pa.int32())
+    hashes, times = (pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int64())) for x in zip(*parts, strict=True))
+    neural = model.score(np.split(symbols, ends[:-1]), end)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys, pa.int64()), pa.array(size), pa.array(known), pa.array(inside), pa.array(share), hashes, times, pa.array(neural)],
+        ["id", "n_tokens", "known", "inside", "share", "rare", "times", "neural"],
+    )
+
+
 def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_tokens, n_known, train_tokens, base_score and score; training marks the rows to learn from."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), training.alias("training"))
@@ -449,38 +490,9 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, end, model = sent.value
 
-        def scored(block: list) -> pa.RecordBatch:
-            docs = [tokens(text) for _, text in block]
-            size = np.array([len(ws) for ws in docs])
-            ends = np.cumsum(size)
-            at, symbols, rare, groups = lexicon.read(docs)
-            del docs
-            missing = np.flatnonzero(at < 0)
-            known, inside, share = lexicon.known[at].astype(np.int64), lexicon.log[at], lexicon.share[at]
-            known[missing], inside[missing], share[missing] = 0, 0.0, -lexicon.tail[groups]
-            known, inside, share = (np.add.reduceat(x, ends - size) for x in (known, inside, share))
-            found = np.searchsorted(missing, np.concatenate([[0], ends]))
-            # a token of a document is one row (hash, times) of the join
-            hashed = np.array([token_hash(w) for w in rare], np.int64)
-            parts = [np.unique(hashed[i:j], return_counts=True) for i, j in zip(found[:-1], found[1:], strict=True)]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]), pa.int32())
-            hashes, times = (pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int64())) for x in zip(*parts, strict=True))
-            neural = model.score(np.split(symbols, ends[:-1]), end)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([key for key, _ in block], pa.int64()), pa.array(size), pa.array(known), pa.array(inside), pa.array(share), hashes, times, pa.array(neural)],
-                ["id", "n_tokens", "known", "inside", "share", "rare", "times", "neural"],
-            )
-
-        block, total = [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                block.append((key, text.as_py()))
-                total += len(block[-1][1] or "") // 6 + 1
-                if total >= BLOCK_TOKENS:
-                    yield scored(block)
-                    block, total = [], 0
-        if block:
-            yield scored(block)
+            for keys, docs in blocks(batch):
+                yield score_block(keys, docs, lexicon, end, model)
 
     done = rows.select("id", "text").mapInArrow(run, "id long, n_tokens long, known long, inside double, share double, rare array<long>, times array<long>, neural double")
     done = cut(done.withColumn("row", F.monotonically_increasing_id()))
