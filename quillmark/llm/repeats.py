@@ -9,7 +9,7 @@ meet in one task, whatever documents they stand in, and no task may get an unbou
 2. Equal segments of a gram are collapsed and counted (map-side first). A segment that occurs twice is repeated
    as a whole. Grams of one occurrence drop out, which is most of the text.
 3. Grams with different segments go, as blocks of about ``BLOCK_BYTES``, through a Burrows-Wheeler transform
-   each. Starting from the empty string, the intervals of all strings of length 1, 2, 3 ... are found breadth
+   each. Starting from strings of eight bytes, the intervals of all longer strings, byte by byte, are found breadth
    first by extension to the left; the first interval that ends at a place of the suffix order fixes the common
    prefix there, in increasing order. At the minimum length the search stops: suffixes between two fixed
    places share a prefix of at least that length, so windows that stand together there are repeated.
