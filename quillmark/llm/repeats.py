@@ -6,8 +6,9 @@ meet in one task, whatever documents they stand in, and no task may get an unbou
 1. Every window of ``length`` bytes names its minimizer, the 32-byte gram of least hash inside it. Equal windows
    name equal grams at equal places, so only windows of one gram can be equal. The windows that share one
    minimizer follow each other; their bytes are a segment. Segments are a hundredth of the text in rows.
-2. Equal segments of a gram are collapsed and counted (map-side first). A segment that occurs twice is repeated
-   as a whole. Grams of one occurrence drop out, which is most of the text.
+2. Grams are counted alone first, so that those of one occurrence, most of the text, drop out before anything else of
+   a segment is shuffled or written. Equal segments of the other grams are collapsed and counted (map-side first). A
+   segment that occurs twice is repeated as a whole.
 3. Grams with different segments go, as blocks of about ``BLOCK_BYTES``, through a Burrows-Wheeler transform
    each. Starting from strings of eight bytes, the intervals of all longer strings, byte by byte, are found breadth
    first by extension to the left; the first interval that ends at a place of the suffix order fixes the common
@@ -19,6 +20,7 @@ meet in one task, whatever documents they stand in, and no task may get an unbou
    make a block too large; its windows are told apart by their own 128-bit hashes, in rows that Spark counts.
 5. Each segment's repeated windows are joined back to all its occurrences, and a last pass cuts the texts.
 
+Texts become Python objects in slices of about ``SLICE_BYTES``, as a worker keeps the memory of its largest step.
 Tables of places are broadcast if they have at most ``BROADCAST_BYTES`` bytes, else joined by a shuffle. Bitmaps of keys
 (``MOST_BITS`` bits, 32 MB at most, broadcast) keep rows of grams that occur once, and texts without places, out of
 shuffles; what they let through is joined exactly, so more keys than bits cost shuffles, not results.
@@ -35,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,7 @@ from .common import cut, documents
 GRAM = 32
 BLOCK_BYTES = 1 << 20
 MOST_SEGMENTS = 4096
+SLICE_BYTES = 1 << 21
 BROADCAST_BYTES, KEY_BYTES, ROW_BYTES = 32 << 20, 64, 40  # of an entry's key and of one of its places
 MOST_BITS, _BUCKET = 1 << 28, 1 << 15
 _PIECE, _TOGETHER = 1 << 23, 1 << 16
@@ -132,32 +136,42 @@ def segments(x: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
 
 def first_bytes(x: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as one number (zeros past the end)."""
-    key = np.concatenate([x, np.zeros(7, np.uint8)]).astype(np.uint64)
+    key = np.zeros(len(x) + 7, np.uint64)
+    key[: len(x)] = x
     for size in (1, 2, 4):
-        key = (key[:-size] << np.uint64(8 * size)) | key[size:]
+        part = key[:-size] << np.uint64(8 * size)
+        part |= key[size:]
+        key = part
     return key
 
 
 def suffix_order(x: np.ndarray, length: int) -> np.ndarray:
     """Start places in the order of their first ``length`` bytes at least (the text is followed by zeros)."""
     n, bits = len(x), int(len(x)).bit_length()  # of a rank; two of them and a place are one number, if they fit
-    key = first_bytes(x)
-    order = np.argsort(key)  # equal keys may stand in any order
-    rank, slots = np.zeros(n + 1, np.int64), np.arange(n)
-    held, step = key[order], 8
+    kind = np.int32 if bits < 32 else np.int64
+    held = first_bytes(x)
+    order = np.argsort(held).astype(kind)  # equal keys may stand in any order
+    rank, slots = np.zeros(n + 1, kind), np.arange(n, dtype=kind)
+    held, step = held[order], 8
     while True:
         # rank: one more than the first slot of all equal ones; 0 past the end
-        heads = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))[: len(held)]
-        sizes = np.diff(np.concatenate([heads, [len(held)]]))
+        heads = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))[: len(held)].astype(kind)
+        del held
+        sizes = np.diff(np.concatenate([heads, [len(slots)]]))
         rank[order[slots]] = np.repeat(slots[heads] + 1, sizes)
         slots = slots[np.repeat(sizes > 1, sizes)]  # those that are alone have their place
         if step >= length or not len(slots):
             return order
         at = order[slots]
-        held = (rank[at] << bits) | rank[np.minimum(at + step, n)]
+        held = rank[at].astype(np.int64)
+        held <<= bits
+        held |= rank[np.minimum(at + step, n)]
         if bits <= 21:
-            packed = np.sort((held << bits) | at)
-            held, at = packed >> bits, packed & ((1 << bits) - 1)
+            held <<= bits
+            held |= at
+            held.sort()
+            at = (held & ((1 << bits) - 1)).astype(kind)
+            held >>= bits
         else:
             by = np.argsort(held)
             held, at = held[by], at[by]
@@ -173,16 +187,17 @@ def prefix_borders(x: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """
     n = len(x)
     bwt = x[order - 1]  # of place 0: the last byte, a closing mark
-    step_left = np.empty(n, np.int64)
-    step_left[np.argsort(bwt, kind="stable")] = np.arange(n)
-    bwt = bwt.astype(np.int64)
+    step_left = np.empty(n, order.dtype)
+    step_left[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=order.dtype)
     key = first_bytes(x)[order]
     border = np.concatenate([[True], key[1:] != key[:-1], [True]])
-    ends = np.flatnonzero(border)
-    first, last = ends[:-1], ends[1:] - 1
     # the others end where already strings of seven bytes do
-    new = np.flatnonzero((key[last[:-1]] >> np.uint64(8)) == (key[first[1:]] >> np.uint64(8)))
+    key >>= np.uint64(8)
+    ends = np.flatnonzero(border).astype(order.dtype)
+    first, last = ends[:-1], ends[1:] - 1
+    new = np.flatnonzero(key[last[:-1]] == key[first[1:]])
     first, last = first[new], last[new]
+    del key, ends
     for _ in range(8, length):  # the intervals at hand are of strings of this length
         size = last - first + 1
         one, a = first[size == 1], first[size == 2]
@@ -192,8 +207,13 @@ def prefix_borders(x: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
         a, size = first[size > 2], size[size > 2]
         where = np.repeat(a - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
         # by interval and byte, then place: one number each, as a block has far less than 2 ** 24 places
-        tagged = np.sort((((np.repeat(np.arange(len(a)), size) << 8) | bwt[where]) << 31) | where)
-        tag, where = tagged >> 31, tagged & ((1 << 31) - 1)
+        tag = np.repeat(np.arange(len(a)), size)
+        for bits, part in ((8, bwt[where]), (31, where)):
+            tag <<= bits
+            tag |= part
+        tag.sort()
+        where = (tag & ((1 << 31) - 1)).astype(order.dtype)
+        tag >>= 31
         head = np.flatnonzero(np.concatenate([[True], tag[1:] != tag[:-1]]))[: len(tag)]
         tail = np.concatenate([head[1:], [len(tag)]])[: len(head)] - 1
         first = np.concatenate([step_left[one], left, right[apart], step_left[where[head]]])
@@ -242,11 +262,34 @@ def _raw(text) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in order, without a copy, in slices of at most ``SLICE_BYTES`` bytes of their column text, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            most = (ends[at - 1] if at else 0) + SLICE_BYTES
+            upto = max(at + 1, int(np.searchsorted(ends, most, side="right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
+def gram_counts(docs: DataFrame, length: int) -> DataFrame:
+    """(gram, n): how many segments name each gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            g, n = np.unique(all_segments([_raw(t) for t in batch.column(0).to_pylist()], length)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n, pa.int64())], ["gram", "n"])
+
+    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def occurrences(docs: DataFrame, length: int) -> DataFrame:
     """(gram, s, id, h, lo, hi): every segment of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             g, s, i, lo, hi = all_segments([_raw(t) for t in batch.column(2).to_pylist()], length)
             i = pa.array(i)
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(s), batch.column(0).take(i), batch.column(1).take(i), pa.array(lo), pa.array(hi)], ["gram", "s", "id", "h", "lo", "hi"])
@@ -292,7 +335,7 @@ def cut_out(docs: DataFrame, spots: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = set()  # rows of one id and text hold the same spots; each is sent once a task
-        for batch in batches:
+        for batch in slices(batches, 2):
             out = [[] for _ in range(6)]
             for key, h, text, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, h) in done:
@@ -360,15 +403,19 @@ def window_hashes(pieces: DataFrame, length: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     """(id, h, start, end): stretches of bytes covered by repeated windows; they may overlap."""
     place = F.struct("id", "h", "lo", "hi")
-    distinct = cut(occurrences(docs, length).groupBy("gram", "s").agg(F.count("*").alias("c"), F.min(place).alias("at")))
+    grams_kept = marks(cut(gram_counts(docs, length).where("n > 1").select("gram")), "gram")  # rows of other grams stay where they are
+
+    def kept() -> DataFrame:
+        return marked(occurrences(docs, length), grams_kept, "gram").where("may").drop("may")
+
+    distinct = cut(kept().groupBy("gram", "s").agg(F.count("*").alias("c"), F.min(place).alias("at")))
     of_gram = cut(distinct.groupBy("gram").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")).where("n > 1"))
-    grams_kept = marks(of_gram, "gram")  # most grams occur once: their rows stay where they are
-    shared = cut(marked(distinct, grams_kept, "gram").where("may").join(of_gram, "gram").select("gram", "s", "c", "kinds", "at.*"))
+    shared = cut(distinct.join(of_gram, "gram").select("gram", "s", "c", "kinds", "at.*"))
     whole = shared.where("c > 1").select("gram", "s", F.lit(0).cast("long").alias("a"), (F.col("hi") - F.col("lo")).alias("b"))
     mixed = shared.where(F.col("kinds").between(2, MOST_SEGMENTS))
     parts = expand_blocks(cut_out(docs, mixed, length), length)
     flagged = cut(whole.unionByName(parts))
-    runs = marked(occurrences(docs, length), grams_kept, "gram").where("may").join(flagged, ["gram", "s"]).select("id", "h", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b") + length).alias("end"))
+    runs = kept().join(flagged, ["gram", "s"]).select("id", "h", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b") + length).alias("end"))
     many = cut(shared.where(F.col("kinds") > MOST_SEGMENTS).where("c = 1"))
     if not many.isEmpty():
         # Segments that occur once, and one occurrence of those that occur twice, so that their windows meet.
@@ -389,7 +436,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _with_places(docs, by_doc, "runs", "left").select("given", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             out = [[] for _ in range(6)]
             for given, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw, kept, at, gone, spans = _raw(text), [], 0, 0, 0

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +58,29 @@ def test_blocks_of_short_alphabets_and_zero_bytes():
         c = Counter(t[i : i + 34] for t in block for i in range(len(t) - 33))
         for t, flags in zip(block, repeats.repeated_starts(block, 34), strict=True):
             assert flags.tolist() == [c[t[i : i + 34]] > 1 for i in range(len(t) - 33)]
+
+
+def test_texts_become_objects_in_slices(monkeypatch):
+    """However many texts an Arrow batch has, a slice has a bounded number of their bytes; nothing is lost or reordered."""
+    monkeypatch.setattr(repeats, "SLICE_BYTES", 1000)
+    texts = ["", None, *("x" * n for n in (400, 500, 100, 1, 3000, 999)), "\u00e9" * 300, *["y" * 10] * 250, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["id", "text"])
+    got = list(repeats.slices(iter([batch, batch.slice(0, 0), batch.slice(3, 4)]), 1))
+    assert [x for part in got for x in part.column(0).to_pylist()] == [*range(len(texts)), 3, 4, 5, 6]
+    assert [x for part in got for x in part.column(1).to_pylist()] == texts + texts[3:7]
+    assert all(len(part) == 1 or sum(len((t or "").encode()) for t in part.column(1).to_pylist()) <= 1000 for part in got)
+
+
+def test_only_grams_that_occur_twice_are_written(spark, monkeypatch):
+    """What is written of a corpus with hardly any repeats is a small share of its segments; gram counts are of all of them."""
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(900)) for _ in range(60)]
+    texts.append(texts[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("h", F.xxhash64("text")).repartition(3)
+    want = Counter(g for t in texts for g in repeats.segments(np.frombuffer(t.encode(), np.uint8), 200)[0].tolist())
+    assert Counter({x.gram: x.n for x in repeats.gram_counts(docs, 200).collect()}) == want
+    written, cut = [], repeats.cut
+    monkeypatch.setattr(repeats, "cut", lambda df: written.append(cut(df)) or written[-1])
+    runs = {(x.id, x.start, x.end) for x in repeats.repeated_runs(docs, 200).collect()}
+    assert {i for i, _, _ in runs} == {0, 60}
+    assert max(df.count() for df in written) < sum(want.values()) / 4
