@@ -105,9 +105,11 @@ def title_key(title: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
 
 
-def title_tokens(title: Column, stop_words: Column) -> Column:
-    """Distinct tokens of a title, without years and stop words."""
-    t = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"(?<![A-Za-z0-9_])(?:19|20)[0-9]{2}(?![A-Za-z0-9_])", " ")
+def title_tokens(title: Column, stop_words: Column, years: bool = False) -> Column:
+    """Distinct tokens of a title, without stop words and, unless they are asked for, without years."""
+    t = F.lower(F.coalesce(title, F.lit("")))
+    if not years:
+        t = F.regexp_replace(t, r"(?<![A-Za-z0-9_])(?:19|20)[0-9]{2}(?![A-Za-z0-9_])", " ")
     return F.array_distinct(F.filter(F.regexp_extract_all(t, F.lit(r"([\p{L}\p{N}]{2,})"), F.lit(1)), lambda w: ~F.array_contains(stop_words, w)))
 
 

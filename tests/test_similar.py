@@ -1,8 +1,12 @@
 """Similar titles: rows with equal token sets are paired as classes."""
 
+import duckdb
+import pytest
+from conftest import rows
 from pyspark.sql import functions as F
 
 from quillmark.operators import similar
+from quillmark.plans import registry
 
 
 def _titles(spark):
@@ -91,3 +95,16 @@ def test_tokens_of_many_rows_meet_in_blocks(spark, monkeypatch):
             if a < b and s == t and len(set(u) & set(v)) >= 3:
                 want.append((a, b, len(set(u) & set(v)), len(set(u) & set(v)) / min(len(set(u)), len(set(v)))))
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["fn28_title_overlap", "jn13_similar_titles"])
+def test_years_are_tokens_of_titles_as_in_the_sql(spark, tmp_path, name):
+    titles = ["Alpha beta 1999", "alpha BETA 1999 gamma", "Call 555-2058 alpha now", "call 555-2058", "2024 2025 2026", "2026 2025 2024", "x2024 alpha beta"]
+    docs = [(i, t + "\nbody", "en", "s", len(t) + 5) for i, t in enumerate(titles)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    want = rows(con.execute(registry.oracle_sql()[name]).fetchdf())
+    assert len(want[1]) == 3 and rows(registry.queries()[name](spark, str(tmp_path)).toPandas()) == want
