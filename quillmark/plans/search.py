@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from ..operators import search_index
 from ..operators.rounds import shared_folder
 from .registry import query
-from .tables import doc_items
+from .tables import table
 
 FIELDS = ["title", "bookmark", "text"]
 BLOCK = "id div 64"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_items(spark, sf_dir).select("id", "title", F.col("source").alias("bookmark"), "text")
+    """Documents as the index takes them, as ``doc_items`` has them but without a join of their labels."""
+    title = F.left(F.substring_index("text", "\n", 1), F.lit(80))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), title.alias("title"), F.col("source").alias("bookmark"), "text")
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> str:
@@ -39,11 +41,9 @@ _WORDS = r"""WITH d AS (SELECT doc_id AS id, doc_id // 64 AS block, lower(left(r
 @query("str08_index_increments", _WORDS + """ SELECT block, count(DISTINCT id) AS docs, count(DISTINCT word) AS words, count(*) AS entries, CAST(sum(bit) AS BIGINT) AS bits FROM f WHERE word <> '' GROUP BY 1""")
 def index_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-08: what the index holds of each block after three increments, as if it had been made at once."""
-    p = search_index.current(spark, indexed(spark, sf_dir), "postings")
-    each = p.select("block", "word", F.explode("entries").alias("e"))
-    one = each.groupBy("block", "word").agg(F.count("*").alias("n"), F.sum("e.bit").alias("bits"))
-    docs = each.groupBy("block").agg(F.countDistinct("e.id").alias("docs"))
-    return one.groupBy("block").agg(F.count("*").alias("words"), F.sum("n").alias("entries"), F.sum("bits").alias("bits")).join(docs, "block").select("block", "docs", "words", "entries", "bits")
+    p = search_index.blocks_of_postings(spark, indexed(spark, sf_dir))
+    bits = F.aggregate("entries", F.lit(0).cast("long"), lambda total, e: total + e.bitwiseAND(255))
+    return p.select("block", F.size("ids").cast("long").alias("docs"), F.size("words").cast("long").alias("words"), F.size("entries").cast("long").alias("entries"), bits.alias("bits"))
 
 
 #: A query for each document whose id is divisible by 100: five tokens of its title, the first three of them required.

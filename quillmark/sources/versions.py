@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -71,10 +72,13 @@ def checked(spark: SparkSession, root: str, table: str, version: int | None = No
 
 
 def commit(
-    spark: SparkSession, root: str, tables: dict[str, DataFrame], tag: str | None = None, add: bool = False,
+    spark: SparkSession, root: str, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], tag: str | None = None, add: bool = False,
     partition_by: dict[str, list[str]] | None = None, replaces: int | None = None,
 ) -> int:
-    """Stages all tables and makes them the state; returns its version. Tables that aren't given stay as they are."""
+    """Stages all tables and makes them the state; returns its version. Tables that aren't given stay as they are.
+
+    They are staged as listed; a table may be given as a function of those that were staged before it.
+    """
     if tag is not None and (done := committed(spark, root, tag)) is not None:
         return done
     before = head(spark, root)
@@ -82,10 +86,13 @@ def commit(
     if replaces is not None and replaces != old:
         raise ValueError(f"{root} is at version {old}, not {replaces}")
     paths, rows, schemas = (dict(before[c]) if before else {} for c in ("tables", "rows", "schemas"))
+    staged: dict[str, DataFrame] = {}
     for name, df in tables.items():
         folder = f"{root}/data/{old + 1:010d}-{uuid.uuid4().hex}/{name}"
+        df = df(staged) if callable(df) else df
         df.write.partitionBy(*(partition_by or {}).get(name, [])).parquet(folder)
-        n = spark.read.schema(df.schema).parquet(folder).count()
+        staged[name] = spark.read.schema(df.schema).parquet(folder)
+        n = staged[name].count()
         paths[name] = [*(paths.get(name, []) if add else []), folder]
         rows[name] = n + (rows.get(name, 0) if add else 0)
         schemas[name] = df.schema.json()
